@@ -34,7 +34,7 @@ MONTHS = ["january", "february", "march", "april", "may", "june", "july", "augus
 _MONTH = {n: i + 1 for i, m in enumerate(MONTHS) for n in (m, m[:3])} | {"sept": 9}
 
 _ZONE = r"(?: ?(?P<abbr>A{3,5}|A))?(?: ?(?P<sign>[+-])(?P<oh>99)(?::?(?P<om>99))?)?(?: ?\[(?P<region>[A9/_+-]+)\])?(?: \([A ]+\))?"
-_CLOCK = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9{1,12}))?)?(?: (?P<ap>AA))?"
+_CLOCK = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9{1,12}))?)?(?: (?P<ap>AA)(?!A))?"
 _DAY = r"(?:A{3,9},? )?"
 _FORMS = [
     re.compile(x + "$")
