@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import leakage, mixing, topn
+from . import leakage, mixing, mojibake, topn
 
 P2 = """
 WITH norm AS (
@@ -27,6 +27,9 @@ QUERIES = {
     "p7_leaked_items": (leakage.p7_leaked_items, None),
     "p8_mixture": (mixing.p8_mixture, None),
     "p8_shares": (mixing.p8_shares, None),
+    "p9_found": (mojibake.p9_found, None),
+    "p9_restored": (mojibake.p9_restored, None),
+    "p9_mappings": (mojibake.p9_mappings, None),
 }
 
 
