@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [quality]
+MODULES = [quality, scans]
 
 
 def entries() -> dict[str, tuple[Query, str | None]]:
