@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import FULL_SHA, commit_key, dna_key
+from ..session import Cut
 from ..sources.tables import commit_rows, table
 from .lookup import HOT_ROWS, HOT_SHARE, resolve_short
 
@@ -86,9 +87,9 @@ def history_references(spark: SparkSession, where: str) -> tuple[DataFrame, Data
     full = resolve_short(to_commits, shas)
     is_short = F.length("ref") < FULL_SHA
     to_commits = to_commits.where(is_short).join(full, "ref", "left").withColumn("key", F.coalesce("full", "ref")).drop("full").unionByName(
-        to_commits.where(~is_short | F.col("ref").isNull()).withColumn("key", F.col("ref"))
+        to_commits.where(~is_short).withColumn("key", F.col("ref"))
     )
-    every = reduce(DataFrame.unionByName, [d.withColumn("key", F.col("ref")) for d in to_dna], to_commits)
+    every = reduce(DataFrame.unionByName, [d.withColumn("key", F.col("ref")) for d in to_dna], to_commits).where("key IS NOT NULL")
 
     targets = commits.select(F.lit(COMMIT).alias("kind"), commit_key(F.col("sha")).alias("key"), "load_batch").unionByName(
         table(spark, where, "symbol_versions").select(F.lit(DNA).alias("kind"), dna_key(F.col("dna_id")).alias("key"), "load_batch")
@@ -98,19 +99,23 @@ def history_references(spark: SparkSession, where: str) -> tuple[DataFrame, Data
     return every.drop("ref"), surviving_keys(targets, purges)
 
 
-def count_references(spark: SparkSession, where: str) -> int:
-    """Rows that hold references; Parquet answers this from its footers."""
-    return sum(table(spark, where, t).count() for t in ("files", "commits_metadata", "symbols", "dna_decision_log"))
+def history_orphans(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
+    """(references, orphan counts) of the change-history tables.
+
+    Each is written once in the shared folder: both are read several times, by
+    the hot and the remaining keys.
+    """
+    cut = Cut(spark, "orphans")
+    refs, alive = history_references(spark, where)
+    refs, alive = cut.put(refs)[1], cut.put(alive)[1]
+    return refs, cut.put(orphan_counts(refs, alive, refs.count()))[1]
 
 
 def p1_found(spark: SparkSession, where: str) -> DataFrame:
-    refs, alive = history_references(spark, where)
-    return orphan_records(refs, orphan_counts(refs, alive, count_references(spark, where)))
+    return orphan_records(*history_orphans(spark, where))
 
 
 def p1_orphans_per_period(spark: SparkSession, where: str) -> DataFrame:
-    """Distinct orphan records and orphan keys per table and load batch."""
-    refs, alive = history_references(spark, where)
-    counts = orphan_counts(refs, alive, count_references(spark, where))
-    keys = counts.groupBy("table_name", "load_batch").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_references"))
-    return keys
+    """Orphan keys and orphaned references (copies counted) per table and load batch."""
+    counts = history_orphans(spark, where)[1]
+    return counts.groupBy("table_name", "load_batch").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_references"))
