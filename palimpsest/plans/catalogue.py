@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, scans
+from . import quality, relations, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [quality, scans]
+MODULES = [quality, scans, relations]
 
 
 def entries() -> dict[str, tuple[Query, str | None]]:
