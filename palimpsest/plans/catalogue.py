@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, relations, scans
+from . import matching, quality, relations, scalars, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [quality, scans, relations]
+MODULES = [quality, scans, relations, scalars, matching]
 
 
 def entries() -> dict[str, tuple[Query, str | None]]:
