@@ -7,6 +7,7 @@ after every round by a written table, and stop when nothing new is reached.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import Cut
@@ -54,6 +55,13 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, dire
     return out
 
 
+def reverse_index(edges: DataFrame, size: int) -> DataFrame:
+    """(node, part, incoming): callers of each node in sorted arrays of at most ``size``, so no array grows with a hub."""
+    order = F.row_number().over(W.partitionBy("dst").orderBy("src"))
+    parts = edges.select("src", "dst").distinct().withColumn("part", F.floor((order - 1) / size))
+    return parts.groupBy(F.col("dst").alias("node"), "part").agg(F.sort_array(F.collect_list("src")).alias("incoming"))
+
+
 def weighted_neighbourhood(edges: DataFrame, roots: DataFrame, confidence: str, max_depth: int = 3) -> DataFrame:
     """(node, weight): undirected neighbourhood, each edge into a node at depth d from depth d - 1 adding confidence / (d + 1)."""
     depths = Cut(edges.sparkSession, "near").put(reach(edges, roots, max_depth, directed=False))[1]
@@ -118,3 +126,20 @@ def entry_point(name: Column, kind: Column, path: Column, fan_in: Column, fan_ou
     serves = (kind == "class") & lower.rlike("controller|service|provider|component|view|page")
     placed = where.rlike(r"controller|route|middleware|bootstrap|app\.|main\.|index\.")
     return F.coalesce(F.when(accessor, False).when(runs, True).when(serves, True).when(placed, True).otherwise((fan_in == 0) & (fan_out > 0)), F.lit(False))
+
+
+def dag_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level): rounds after which each node's predecessors are all done (Kahn's levels); nodes on or behind a cycle have none."""
+    cut = Cut(edges.sparkSession, "levels")
+    links = cut.put(edges.select("src", "dst").distinct())[1]
+    rest = cut.put(nodes.select("node").distinct())[1]
+    done, level = None, 0
+    while True:
+        open_links = links.join(rest.select(F.col("node").alias("src")), "src", "left_semi")
+        ready = cut.put(rest.join(open_links.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))[1]
+        if ready.isEmpty():
+            break
+        done = ready if done is None else done.unionByName(ready)
+        rest = cut.put(rest.join(ready.select("node"), "node", "left_anti"))[1]
+        level += 1
+    return done if done is not None else rest.withColumn("level", F.lit(0))
