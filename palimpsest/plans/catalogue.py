@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import drifting, matching, quality, relations, scalars, scans
+from . import drifting, live, matching, quality, relations, scalars, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [quality, scans, relations, scalars, matching, drifting]
+MODULES = [quality, scans, relations, scalars, matching, drifting, live]
 
 
 def entries() -> dict[str, tuple[Query, str | None]]:
