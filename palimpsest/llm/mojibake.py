@@ -56,7 +56,7 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 _LETTER = re.compile(r"[A-Za-z]")
 #: Controls that stand for bytes which common encodings leave undefined; text garbled twice passes through them.
 _PASSING = set("\x81\x8d\x8f\x90\x9d")
-_MARK, _JOIN = "\x00", "\x01"
+_MARK, _JOIN, _EXACT = "\x00", "\x01", "\x02"
 
 
 @functools.cache
@@ -116,8 +116,8 @@ def windows(text: str) -> set[tuple[str, str]]:
             runs = _RUN.findall(window)
             if len(_LETTER.findall(window)) >= TELLING:
                 found.add((_RUN.sub(_MARK, window), _JOIN.join(runs)))
-            if sum(map(len, runs)) >= ENOUGH or LOST in window:
-                found.add(("L" + _RUN.sub(lambda m: f"{_MARK}{len(m.group())}", window), _JOIN.join(runs)))
+            if sum(map(len, runs)) >= ENOUGH:
+                found.add((_EXACT + _RUN.sub(lambda m: f"{_MARK}{len(m.group())}{_MARK}", window), _JOIN.join(runs)))
     return found
 
 
@@ -134,7 +134,7 @@ def _repairs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         rows = []
         for skeleton, filling, n in zip(pdf["skeleton"], pdf["filling"], pdf["n"]):
-            exact = skeleton.startswith("L")
+            exact = skeleton.startswith(_EXACT)
             for k, h in enumerate(HYPOTHESES):
                 if (h[1] == "utf-8") == exact:  # lengths hold only between single-byte encodings
                     continue
@@ -170,16 +170,17 @@ def accepted(aligned: DataFrame) -> list[tuple[str, str]]:
 def lost_twins(every: DataFrame) -> DataFrame:
     """Windows with lost characters beside the most frequent clean twin of equal lengths: doc_id, skeleton, garbled, filling.
 
-    The skeleton holds the runs' lengths here, so there is one clean partner per
-    key and no pair is formed.  Kept are twins whose other characters agree.
+    There is one clean partner per skeleton and lengths of the runs, so no pair
+    is formed.  Kept are twins whose other characters agree.
     """
-    exact = every.where(F.col("skeleton").startswith("L"))
-    clean = exact.where(~F.col("filling").contains(LOST)).groupBy("skeleton", "filling").agg(F.count(F.lit(1)).alias("n"))
-    clean = clean.groupBy("skeleton").agg(F.max_by("filling", F.struct("n", "filling")).alias("filling"))
-    broken = exact.where(F.col("filling").contains(LOST)).withColumnRenamed("filling", "garbled")
-    met = broken.join(clean, "skeleton")
+    lengths = F.array_join(F.transform(F.split("filling", _JOIN), lambda r: F.length(r).cast("string")), ",")
+    sized = every.withColumn("lengths", lengths)
+    broken = sized.where(F.col("filling").contains(LOST)).withColumnRenamed("filling", "garbled")
+    clean = sized.where(~F.col("filling").contains(LOST)).groupBy("skeleton", "lengths", "filling").agg(F.count(F.lit(1)).alias("n"))
+    clean = clean.groupBy("skeleton", "lengths").agg(F.max_by("filling", F.struct("n", "filling")).alias("filling"))
+    met = broken.join(clean, ["skeleton", "lengths"])
     agree = F.expr(f"forall(sequence(1, length(garbled)), i -> substring(garbled, i, 1) IN ('{LOST}', substring(filling, i, 1)))")
-    return met.where((F.length("garbled") == F.length("filling")) & agree)
+    return met.where(agree).drop("lengths")
 
 
 def statistics(documents: DataFrame) -> tuple[set[str], dict[str, int]]:
@@ -281,10 +282,10 @@ class Repairer:
 def _restore_lost(text: str, pairs: list) -> str:
     """Lost characters of a text from its windows' clean twins."""
     for pair in pairs:
-        parts = re.split(f"{_MARK}(\\d+)", pair["skeleton"][1:])
+        skeleton = pair["skeleton"]
+        whole = re.split(f"{_MARK}\\d+{_MARK}", skeleton[1:]) if skeleton.startswith(_EXACT) else skeleton.split(_MARK)
         old, new = pair["garbled"].split(_JOIN), pair["filling"].split(_JOIN)
-        if len(old) == len(new) == len(parts) // 2:
-            whole = [parts[2 * i] for i in range(len(old) + 1)]
+        if len(old) == len(new) == len(whole) - 1:
             garbled = whole[0] + "".join(o + w for o, w in zip(old, whole[1:]))
             clean = whole[0] + "".join(o + w for o, w in zip(new, whole[1:]))
             text = text.replace(garbled, clean)
