@@ -23,7 +23,8 @@ OLD_NAMESPACE = r"^(?:[oO][lL][dD]|[lL][eE][gG][aA][cC][yY]|[dD][eE][pP][rR][eE]
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    """The value within its bounds; null stays null."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
 def hotspot(frequency: Column, recency: Column, authors: Column, intensity: Column, burstiness: Column) -> Column:

@@ -20,7 +20,7 @@ def burstiness(events: DataFrame, entity: str, at: str, tie: str) -> DataFrame:
     us = F.unix_micros(F.col(at))
     gap = (us - F.lag(us).over(W.partitionBy(entity).orderBy(at, tie))) / DAY_US
     gaps = events.select(entity, gap.alias("_gap"))
-    return gaps.groupBy(entity).agg(F.coalesce(F.least(F.lit(1.0), F.try_divide(F.stddev_pop("_gap"), F.avg("_gap")) / 2), F.lit(0.0)).alias("burstiness"))
+    return gaps.groupBy(entity).agg(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.stddev_pop("_gap"), F.avg("_gap")) / 2, F.lit(0.0))).alias("burstiness"))
 
 
 def file_metrics(changes: DataFrame, entity: str, commit: str, author: str, at: str, as_of: Column, n_commits: int) -> DataFrame:

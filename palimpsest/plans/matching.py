@@ -79,7 +79,7 @@ def _file_metrics(t: Tables):
 
 _FILE_METRICS = f""", j AS (SELECT path, sha, author, date FROM change JOIN commit USING (sha)), u AS (SELECT DISTINCT path, sha, date FROM j),
 gap AS (SELECT path, (epoch_us(date) - lag(epoch_us(date)) OVER (PARTITION BY path ORDER BY date, sha)) / 86400000000.0 AS g FROM u),
-b AS (SELECT path, coalesce(least(1.0, stddev_pop(g) / nullif(avg(g), 0) / 2), 0.0) AS burstiness FROM gap GROUP BY path),
+b AS (SELECT path, least(1.0, coalesce(stddev_pop(g) / nullif(avg(g), 0) / 2, 0.0)) AS burstiness FROM gap GROUP BY path),
 f AS (SELECT path, count(DISTINCT sha) AS n, count(*) AS changes, count(DISTINCT author) AS authors, max(date) AS last FROM j GROUP BY path),
 m AS (SELECT path, least(1.0, n / sqrt((SELECT count(*) FROM commit))) AS frequency, exp(-(epoch_us(TIMESTAMP '{domain.AS_OF}') - epoch_us(last)) / 86400000000.0 / 30) AS recency, least(1.0, authors / 5) AS author_diversity, least(1.0, changes / n / 10) AS intensity, burstiness FROM f JOIN b USING (path)),
 h AS (SELECT path, least(100.0, log10(1 + 9 * (frequency * 0.35 + recency * 0.2 + author_diversity * 0.15 + intensity * 0.2 + burstiness * 0.1)) * 100)::DOUBLE AS score FROM m) """
@@ -192,7 +192,7 @@ QUERIES = domain.catalogue(
         ),
         "HS-05": (
             lambda t: hotspots.burstiness(t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id"), "user_id", "ts", "event_id").select("user_id", F.round("burstiness", 6).alias("burstiness")),
-            ", g AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 86400000000.0 AS g FROM events) SELECT user_id, round(coalesce(least(1.0::DOUBLE, stddev_pop(g) / nullif(avg(g), 0) / 2), 0.0), 6) AS burstiness FROM g GROUP BY user_id",
+            ", g AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 86400000000.0 AS g FROM events) SELECT user_id, round(least(1.0::DOUBLE, coalesce(stddev_pop(g) / nullif(avg(g), 0) / 2, 0.0)), 6) AS burstiness FROM g GROUP BY user_id",
         ),
         "HS-06": (
             lambda t: t.change.groupBy("path").agg(F.sum(F.when(F.col("kind") == "F", F.col("lines")).otherwise(0)).alias("old"), F.sum("lines").alias("new")).where((F.col("old") > 0) & (F.abs(F.col("new") - F.col("old")) / F.greatest("old", F.lit(1)) >= 0.05)).select("path", "new"),
