@@ -32,8 +32,7 @@ def intended(changes: DataFrame, renames: DataFrame) -> DataFrame:
 
 def or_else(rows: DataFrame, fallback: DataFrame) -> DataFrame:
     """The rows, or the fallback where there are none; decided by the plan, without an action."""
-    has = rows.limit(1).select(F.lit(True).alias("_has"))
-    return rows.unionByName(fallback.join(F.broadcast(has), how="left").where("_has IS NULL").drop("_has"))
+    return rows.unionByName(fallback.where(~rows.exists()))
 
 
 def symbol_drift(want: DataFrame, have: DataFrame) -> DataFrame:
@@ -121,5 +120,5 @@ def symbol_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def first_and_last(rows: DataFrame, key: str, position: str) -> DataFrame:
     """(key, introduced, resolved): the first and last position at which a finding was there; resolved is null while it is at the last position of all."""
     per = rows.groupBy(key).agg(F.min(position).alias("introduced"), F.max(position).alias("_last"))
-    end = rows.agg(F.max(position).alias("_end"))
-    return per.join(F.broadcast(end)).select(key, "introduced", F.when(F.col("_last") < F.col("_end"), F.col("_last") + 1).alias("resolved"))
+    end = rows.agg(F.max(position)).scalar()
+    return per.select(key, "introduced", F.when(F.col("_last") < end, F.col("_last") + 1).alias("resolved"))

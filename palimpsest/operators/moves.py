@@ -16,18 +16,22 @@ from ..functions import similarity as M
 from .relational import first_n
 
 
-def candidates(deleted: DataFrame, added: DataFrame, block: str, least: float) -> DataFrame:
+def candidates(deleted: DataFrame, added: DataFrame, scope: str, commit: str, least: float) -> DataFrame:
     """The best target of each deleted text block: a, b, source, target, score.
 
-    Both sides have doc_id, the block column, file_path and text.  Equal
-    normalised text scores 1; texts of equal shape score by their similarity.
+    Both sides have doc_id, the scope and commit columns, file_path and text.
+    Equal normalised text anywhere in the scope scores 1: one target per text
+    is kept, so copies do not multiply.  Within a commit texts of equal shape
+    score by their similarity; there are as many pairs as commits are large.
     """
+
     def side(df: DataFrame, name: str, path: str) -> DataFrame:
-        return df.select(F.col("doc_id").alias(name), block, F.col("file_path").alias(path), F.col("text").alias(f"text_{name}"), H.body_hash(F.col("text"), 64).alias("body"), H.digest(H.shape(F.col("text"))).alias("shape"))
+        return df.select(F.col("doc_id").alias(name), scope, commit, F.col("file_path").alias(path), F.col("text").alias(f"text_{name}"), H.body_hash(F.col("text"), 64).alias("body"), H.digest(H.shape(F.col("text"))).alias("shape"))
 
     a, b = side(deleted, "a", "source"), side(added, "b", "target")
-    equal = a.drop("shape").join(b.drop("shape"), [block, "body"]).select("a", "b", "source", "target", F.lit(1.0).alias("score"))
-    near = a.withColumnRenamed("body", "body_a").join(b.withColumnRenamed("body", "body_b"), [block, "shape"]).where("body_a <> body_b")
+    first = b.groupBy(scope, "body").agg(F.min(F.struct("b", "target")).alias("f")).select(scope, "body", "f.b", "f.target")
+    equal = a.select("a", scope, "source", "body").join(first, [scope, "body"]).select("a", "b", "source", "target", F.lit(1.0).alias("score"))
+    near = a.drop(scope).withColumnRenamed("body", "body_a").join(b.drop(scope).withColumnRenamed("body", "body_b"), [commit, "shape"]).where("body_a <> body_b")
     near = near.select("a", "b", "source", "target", M.text(F.col("text_a"), F.col("text_b")).alias("score")).where(F.col("score") >= least)
     return first_n(equal.unionByName(near).withColumn("score", F.round("score", 6)), 1, ["a"], F.col("score").desc(), F.col("b"))
 
@@ -44,7 +48,7 @@ def replacements(pairs: DataFrame, least: float = 0.6, lead: float = 0.2) -> Dat
     """The clear replacement of each old symbol: score above ``least``, and alone or ahead of the second by more than ``lead``."""
     name = F.when(F.col("an") == F.col("bn"), 2.5).otherwise(2 * M.edit(F.col("an"), F.col("bn")))
     signature = F.when(F.col("sa") == F.col("sb"), 2.0).otherwise(2 * M.edit(F.col("sa"), F.col("sb")))
-    scored = pairs.select("a", "b", F.round((1.5 + name + 1 + 1 + signature) / 8, 6).alias("score")).where(F.col("score") > least)
+    scored = pairs.select("a", "b", F.round((1.5 + name + 1 + F.when(F.col("pa") == F.col("pb"), 1.0).otherwise(0.0) + signature) / 8, 6).alias("score")).where(F.col("score") > least)
     w = W.partitionBy("a").orderBy(F.col("score").desc(), "b")
     ranked = scored.withColumn("_second", F.lead("score").over(w)).withColumn("_rn", F.row_number().over(w))
     return ranked.where("_rn = 1").where(F.col("_second").isNull() | (F.col("score") > F.round(F.col("_second") + lead, 6))).select("a", "b", "score")

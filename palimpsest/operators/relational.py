@@ -95,8 +95,8 @@ def tree_rollup(leaves: DataFrame, path: str, score: str, added: str, removed: s
         level = here.join(children, "node", "full_outer").select(
             "node", F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce("s", F.lit(0.0))).alias("score"), (F.coalesce("added", F.lit(0)) + F.coalesce("a", F.lit(0))).alias("added"), (F.coalesce("removed", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("removed"), F.lit(depth - 1).alias("depth")
         )
-    top = done.agg(F.max("score").alias("_top"))
-    return done.join(F.broadcast(top)).select("node", "depth", "score", "added", "removed", F.greatest(F.try_divide("score", "_top"), F.lit(0.05)).alias("weight"))
+    top = done.agg(F.max("score")).scalar()
+    return done.select("node", "depth", "score", "added", "removed", F.greatest(F.try_divide(F.col("score"), top), F.lit(0.05)).alias("weight"))
 
 
 def similar_pairs_by_block(left: DataFrame, right: DataFrame, block: list[str], score: Column, least: float) -> DataFrame:

@@ -297,7 +297,7 @@ QUERIES = domain.catalogue(
             "SELECT 'staged' AS sha UNION ALL SELECT 'unstaged' UNION ALL SELECT CAST(sha AS VARCHAR) FROM commit WHERE sha > 1 UNION ALL SELECT 'HEAD' FROM commit WHERE sha = 1",
         ),
         "VW-22": (
-            lambda t: t.edge.where("src = 3").agg(F.count(F.lit(1)).alias("outgoing")).join(t.change.where("path = 3").agg(F.count(F.lit(1)).alias("changes"), F.count_if(F.col("change_type") == "removed").alias("drift")), how="inner"),
+            lambda t: t.change.where("path = 3").agg(F.count(F.lit(1)).alias("changes"), F.count_if(F.col("change_type") == "removed").alias("drift")).withColumn("outgoing", t.edge.where("src = 3").agg(F.count(F.lit(1))).scalar()),
             "SELECT (SELECT count(*) FROM edge WHERE src = 3) AS outgoing, count(*) AS changes, count(*) FILTER (change_type = 'removed') AS drift FROM change WHERE path = 3",
         ),
         "SP-01": (_skeleton, f", f AS (SELECT DISTINCT {_NPATH} AS path FROM files WHERE path IS NOT NULL) SELECT path FROM f WHERE (path = 'src' OR starts_with(path, 'src/')) AND NOT regexp_matches(path, '^src/core/.*$') AND NOT regexp_matches(path, '^src/[^/]*/edge[^/]*/[^/]*$')"),

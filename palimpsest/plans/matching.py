@@ -18,15 +18,17 @@ from .scalars import _SHAPE, _SIG
 from .scans import _CODE
 
 
-def _pairs(t: Tables, change: str = "name"):
-    """Removed and added symbols of the same path and kind: the candidate pairs of a change."""
-    old = t.symbols.where("change_type = 'removed' AND name IS NOT NULL AND signature IS NOT NULL").select("path", "kind", F.col("id").alias("a"), F.col("name").alias("an"), F.col("signature").alias("sa")).distinct()
-    new = t.symbols.where("change_type = 'added' AND name IS NOT NULL AND signature IS NOT NULL").select("path", "kind", F.col("id").alias("b"), F.col("name").alias("bn"), F.col("signature").alias("sb")).distinct()
-    return old.join(new, ["path", "kind"])
+def _pairs(t: Tables):
+    """Removed and added symbols of one commit and kind: the candidate pairs of a change, as many as commits are large."""
+    sha = F.lower(F.btrim("sha")).alias("sha")
+    rows = t.symbols.where("name IS NOT NULL AND signature IS NOT NULL")
+    old = rows.where("change_type = 'removed'").select(sha, "kind", F.col("id").alias("a"), F.col("name").alias("an"), F.col("signature").alias("sa"), F.col("path").alias("pa")).distinct()
+    new = rows.where("change_type = 'added'").select(sha, "kind", F.col("id").alias("b"), F.col("name").alias("bn"), F.col("signature").alias("sb"), F.col("path").alias("pb")).distinct()
+    return old.join(new, ["sha", "kind"])
 
 
-_PAIRS = """, o AS (SELECT DISTINCT path, kind, id AS a, name AS an, signature AS sa FROM symbols WHERE change_type = 'removed' AND name IS NOT NULL AND signature IS NOT NULL),
-n AS (SELECT DISTINCT path, kind, id AS b, name AS bn, signature AS sb FROM symbols WHERE change_type = 'added' AND name IS NOT NULL AND signature IS NOT NULL), pr AS (SELECT * FROM o JOIN n USING (path, kind)) """
+_PAIRS = """, o AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, id AS a, name AS an, signature AS sa, path AS pa FROM symbols WHERE change_type = 'removed' AND name IS NOT NULL AND signature IS NOT NULL),
+n AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, id AS b, name AS bn, signature AS sb, path AS pb FROM symbols WHERE change_type = 'added' AND name IS NOT NULL AND signature IS NOT NULL), pr AS (SELECT * FROM o JOIN n USING (sha, kind)) """
 
 
 def _edit(a: str, b: str) -> str:
@@ -51,13 +53,13 @@ def _versions(t: Tables):
 
 
 def _moves(t: Tables):
-    code = t.documents.where(_CODE).where("sha IS NOT NULL").select("doc_id", "repo", "file_path", "text")
-    return moves.candidates(code.where("doc_id % 2 = 0"), code.where("doc_id % 2 = 1"), "repo", 0.6)
+    code = t.documents.where(_CODE).where("sha IS NOT NULL").select("doc_id", "repo", "sha", "file_path", "text")
+    return moves.candidates(code.where("doc_id % 2 = 0"), code.where("doc_id % 2 = 1"), "repo", "sha", 0.6)
 
 
-_MOVES = f""", c AS (SELECT doc_id, repo, file_path, text, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS h, sha256({_SHAPE}) AS s FROM documents WHERE {_CODE} AND sha IS NOT NULL),
+_MOVES = f""", c AS (SELECT doc_id, repo, sha, file_path, text, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS h, sha256({_SHAPE}) AS s FROM documents WHERE {_CODE} AND sha IS NOT NULL),
 x AS (SELECT a.doc_id AS a, b.doc_id AS b, a.file_path AS source, b.file_path AS target, CASE WHEN a.h = b.h THEN 1.0 WHEN greatest(length(a.text), length(b.text)) > 2000 THEN {_dice("a.text", "b.text")} ELSE {_edit("a.text", "b.text")} END::DOUBLE AS score
-  FROM c a JOIN c b ON a.repo = b.repo AND (a.h = b.h OR a.s = b.s) WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1),
+  FROM c a JOIN c b ON (a.repo = b.repo AND a.h = b.h) OR (a.sha = b.sha AND a.s = b.s AND a.h <> b.h) WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1),
 m AS (SELECT a, b, source, target, round(score, 6) AS score FROM x WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, b) = 1) """
 
 
@@ -154,8 +156,8 @@ QUERIES = domain.catalogue(
             _PAIRS + f", k AS (SELECT a, b, round(CASE WHEN an = bn THEN 0.5 ELSE 0.0 END + CASE WHEN sa = sb THEN 0.4 WHEN {_edit('sa', 'sb')} > 0.8 THEN 0.3 ELSE 0.0 END + 0.1, 6)::DOUBLE AS confidence FROM pr) SELECT * FROM k WHERE confidence > 0.3",
         ),
         "SM-09": (
-            lambda t: moves.replacements(_pairs(t).select("a", "b", "an", "bn", "path", "sa", "sb")),
-            _PAIRS + f""", s AS (SELECT a, b, round((1.5 + CASE WHEN an = bn THEN 2.5 ELSE 2 * {_edit('an', 'bn')} END + 1 + 1 + CASE WHEN sa = sb THEN 2.0 ELSE 2 * {_edit('sa', 'sb')} END)::DOUBLE / 8, 6) AS score FROM pr),
+            lambda t: moves.replacements(_pairs(t).select("a", "b", "an", "bn", "pa", "pb", "sa", "sb")),
+            _PAIRS + f""", s AS (SELECT a, b, round((1.5 + CASE WHEN an = bn THEN 2.5 ELSE 2 * {_edit('an', 'bn')} END + 1 + CASE WHEN pa = pb THEN 1.0 ELSE 0.0 END + CASE WHEN sa = sb THEN 2.0 ELSE 2 * {_edit('sa', 'sb')} END)::DOUBLE / 8, 6) AS score FROM pr),
             k AS (SELECT *, lead(score) OVER (PARTITION BY a ORDER BY score DESC, b) AS second, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM s WHERE score > 0.6) SELECT a, b, score FROM k WHERE rn = 1 AND (second IS NULL OR score > round(second + 0.2, 6))""",
         ),
         "SM-10": (
@@ -211,7 +213,7 @@ QUERIES = domain.catalogue(
             "SELECT strftime(date, '%Y') AS year, path, count(*) AS changes FROM change JOIN commit USING (sha) GROUP BY year, path QUALIFY row_number() OVER (PARTITION BY year ORDER BY changes DESC, path) <= 1000",
         ),
         "HS-10": (
-            lambda t: t.symbol_versions.where("path IS NOT NULL").groupBy("path").agg(F.countDistinct("load_batch").alias("k")).join(F.broadcast(t.symbol_versions.agg(F.countDistinct("load_batch").alias("n")))).select("path", F.format_string("%d/%d versions", "k", "n").alias("touched")),
+            lambda t: t.symbol_versions.where("path IS NOT NULL").groupBy("path").agg(F.countDistinct("load_batch").alias("k")).withColumn("n", t.symbol_versions.agg(F.countDistinct("load_batch")).scalar()).select("path", F.format_string("%d/%d versions", "k", "n").alias("touched")),
             "SELECT path, count(DISTINCT load_batch) || '/' || (SELECT count(DISTINCT load_batch) FROM symbol_versions) || ' versions' AS touched FROM symbol_versions WHERE path IS NOT NULL GROUP BY path",
         ),
         "HS-11": (

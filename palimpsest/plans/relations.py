@@ -17,15 +17,33 @@ def _ts(text: str):
 
 
 def _best_match(t: Tables):
-    """Removed names with their best added name of the same kind and commit batch (normalised edit similarity of at least 0.8)."""
-    removed = t.symbols.where("change_type = 'removed' AND name IS NOT NULL").select("path", "kind", F.col("id").alias("old_id"), F.col("name").alias("old_name")).distinct()
-    added = t.symbols.where("change_type = 'added' AND name IS NOT NULL").select("path", "kind", F.col("id").alias("new_id"), F.col("name").alias("new_name")).distinct()
+    """Removed names with their best added name of the same commit and kind (normalised edit similarity of at least 0.8)."""
+    sha = F.lower(F.btrim("sha")).alias("sha")
+    removed = t.symbols.where("change_type = 'removed' AND name IS NOT NULL").select(sha, "kind", F.col("id").alias("old_id"), F.col("name").alias("old_name")).distinct()
+    added = t.symbols.where("change_type = 'added' AND name IS NOT NULL").select(sha, "kind", F.col("id").alias("new_id"), F.col("name").alias("new_name")).distinct()
     longest = F.greatest(F.length("old_name"), F.length("new_name"))
     score = (longest - F.levenshtein("old_name", "new_name")) / longest
-    pairs = R.similar_pairs_by_block(removed, added, ["path", "kind"], F.round(score, 6), 0.8)
+    pairs = R.similar_pairs_by_block(removed, added, ["sha", "kind"], F.round(score, 6), 0.3)
     return R.first_n(pairs, 1, ["old_id"], F.col("score").desc(), F.col("new_id")).select("old_id", "new_id", "score")
 
 
+def _same_body(t: Tables):
+    """Blocks with a later block of the same body hash: the first of the same name, else the first of all; copies do not multiply."""
+    rows = t.symbol_versions.where("body_hash IS NOT NULL").select(F.lower("body_hash").alias("h"), "id", "name", "load_batch").distinct()
+    old, new = rows.where("load_batch <= 20").select("h", F.col("id").alias("a"), "name"), rows.where("load_batch > 20")
+    named = new.groupBy("h", "name").agg(F.min("id").alias("same"))
+    any_ = new.groupBy("h").agg(F.min("id").alias("other"))
+    return old.join(any_, "h").join(named, ["h", "name"], "left").select("a", F.coalesce("same", "other").alias("b"), F.when(F.col("same").isNotNull(), 1.0).otherwise(0.9).alias("score"))
+
+
+def _moved_names(t: Tables):
+    """Removed symbols with the first added symbol of the same name and kind on another path; two candidates per name suffice."""
+    old = t.symbols.where("change_type = 'removed'").select("name", "kind", F.col("path").alias("old_path"), F.col("id").alias("a")).distinct()
+    new = t.symbols.where("change_type = 'added' AND path IS NOT NULL").groupBy("name", "kind", "path").agg(F.min("id").alias("b"))
+    two = R.first_n(new, 2, ["name", "kind"], F.col("b"), F.col("path"))
+    return old.join(two, ["name", "kind"]).where("old_path <> path").groupBy("a").agg(F.min("b").alias("b"))
+
+
 def _enriched(t: Tables):
     top = t.change.groupBy("path").agg(F.count(F.lit(1)).alias("changes")).orderBy(F.col("changes").desc(), "path").limit(100)
     churn = t.change.groupBy("path").agg(F.sum("lines").cast("long").alias("churn"))
@@ -132,20 +150,18 @@ QUERIES = domain.catalogue(
             f"SELECT p_partkey AS path, coalesce(created, TIMESTAMP '{domain.AS_OF}') AS created_at FROM part LEFT JOIN (SELECT path, min(date) AS created FROM file JOIN commit USING (sha) GROUP BY path) ON path = p_partkey",
         ),
         "JN-10": (
-            lambda t: R.similar_pairs_by_block(
-                t.symbol_versions.where("load_batch <= 20 AND body_hash IS NOT NULL").select(F.lower("body_hash").alias("h"), F.col("id").alias("a"), F.col("name").alias("an")).distinct(), t.symbol_versions.where("load_batch > 20 AND body_hash IS NOT NULL").select(F.lower("body_hash").alias("h"), F.col("id").alias("b"), F.col("name").alias("bn")).distinct(), ["h"], F.when(F.col("an") == F.col("bn"), 1.0).otherwise(0.9), 0.6
-            ).select("a", "b", "score"),
-            "SELECT a, b, CASE WHEN an = bn THEN 1.0 ELSE 0.9 END AS score FROM (SELECT DISTINCT lower(body_hash) AS h, id AS a, name AS an FROM symbol_versions WHERE load_batch <= 20) JOIN (SELECT DISTINCT lower(body_hash) AS h, id AS b, name AS bn FROM symbol_versions WHERE load_batch > 20) USING (h)",
+            _same_body,
+            ", r AS (SELECT DISTINCT lower(body_hash) AS h, id, name, load_batch FROM symbol_versions WHERE body_hash IS NOT NULL), p AS (SELECT o.id AS a, n.id AS b, o.name = n.name AS same FROM r o JOIN r n USING (h) WHERE o.load_batch <= 20 AND n.load_batch > 20) SELECT a, b, CASE WHEN same THEN 1.0 ELSE 0.9 END::DOUBLE AS score FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY coalesce(same, false) DESC, b) = 1",
         ),
         "JN-11": (
             _best_match,
-            """, r AS (SELECT DISTINCT path, kind, id AS old_id, name AS old_name FROM symbols WHERE change_type = 'removed' AND name IS NOT NULL), a AS (SELECT DISTINCT path, kind, id AS new_id, name AS new_name FROM symbols WHERE change_type = 'added' AND name IS NOT NULL),
-            p AS (SELECT old_id, new_id, round((greatest(length(old_name), length(new_name)) - levenshtein(old_name, new_name)) / greatest(length(old_name), length(new_name)), 6) AS score FROM r JOIN a USING (path, kind))
-            SELECT * FROM p WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY score DESC, new_id) = 1""",
+            """, r AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, id AS old_id, name AS old_name FROM symbols WHERE change_type = 'removed' AND name IS NOT NULL), a AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, id AS new_id, name AS new_name FROM symbols WHERE change_type = 'added' AND name IS NOT NULL),
+            p AS (SELECT old_id, new_id, round((greatest(length(old_name), length(new_name)) - levenshtein(old_name, new_name)) / greatest(length(old_name), length(new_name)), 6) AS score FROM r JOIN a USING (sha, kind))
+            SELECT * FROM p WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY score DESC, new_id) = 1""",
         ),
         "JN-12": (
-            lambda t: t.symbols.where("change_type = 'removed'").select("name", "kind", F.col("path").alias("old_path"), F.col("id").alias("a")).distinct().join(t.symbols.where("change_type = 'added'").select("name", "kind", F.col("path").alias("new_path"), F.col("id").alias("b")).distinct(), ["name", "kind"]).where("old_path <> new_path").select("a", "b"),
-            "SELECT a, b FROM (SELECT DISTINCT name, kind, path AS old_path, id AS a FROM symbols WHERE change_type = 'removed') JOIN (SELECT DISTINCT name, kind, path AS new_path, id AS b FROM symbols WHERE change_type = 'added') USING (name, kind) WHERE old_path <> new_path",
+            _moved_names,
+            "SELECT a, min(b) AS b FROM (SELECT DISTINCT name, kind, path AS old_path, id AS a FROM symbols WHERE change_type = 'removed') JOIN (SELECT DISTINCT name, kind, path AS new_path, id AS b FROM symbols WHERE change_type = 'added') USING (name, kind) WHERE old_path <> new_path GROUP BY a",
         ),
         "JN-13": (
             lambda t: R.diff(t.change.where("kind = 'F'").groupBy("path").agg(F.max("symbol_id").alias("v")), t.change.where("kind = 'O'").groupBy("path").agg(F.max("symbol_id").alias("v")), ["path"], "v"),

@@ -268,11 +268,11 @@ def test_symbol_diff(spark, rows):
 
 
 def test_move_candidates(spark, rows):
-    schema = "doc_id int, repo string, file_path string, text string"
+    schema = "doc_id int, repo string, sha string, file_path string, text string"
     code = "function f(x) { return x + 1; }"
-    gone = spark.createDataFrame([(1, "r", "a/f.ts", code), (2, "r", "a/g.ts", "let alpha = beta(1)"), (3, "r", "a/h.ts", ""), (4, None, "q", code)], schema)
-    new = spark.createDataFrame([(11, "r", "b/f.ts", code + " // moved"), (12, "r", "a/g2.ts", "let alpha = gamma(1)"), (13, "r", "b/x.ts", code), (14, "other", "b/f.ts", code)], schema)
-    got = rows(moves.candidates(gone, new, "repo", 0.6), "a", "b", "score")
+    gone = spark.createDataFrame([(1, "r", "s1", "a/f.ts", code), (2, "r", "s2", "a/g.ts", "let alpha = beta(1)"), (3, "r", "s3", "a/h.ts", ""), (4, None, None, "q", code)], schema)
+    new = spark.createDataFrame([(11, "r", "s9", "b/f.ts", code + " // moved"), (12, "r", "s2", "a/g2.ts", "let alpha = gamma(1)"), (13, "r", "s1", "b/x.ts", code), (14, "other", "s8", "b/f.ts", code), (15, "r", "s7", "z", "let alpha = betb(1)")], schema)
+    got = rows(moves.candidates(gone, new, "repo", "sha", 0.6), "a", "b", "score")
     assert got[0] == (1, 11, 1.0) and got[1][:2] == (2, 12) and 0.6 <= got[1][2] < 1 and len(got) == 2
 
 
