@@ -20,20 +20,27 @@ def hot_keys(refs: DataFrame, key: str, n_rows: int) -> DataFrame:
 
 
 def skew_lookup(left: DataFrame, key: str, right: DataFrame, n_rows: int) -> DataFrame:
-    """Left join to a table that is unique by ``key`` (same column name on both sides).
+    """Left join to a table that is unique by ``key`` (a text column of the same name on both sides).
 
     Hot keys meet their at most HOT_SHARE partners by broadcast; the rest is
     shuffled, where no key then holds more than 1/HOT_SHARE of the rows.  While
-    a key cannot reach HOT_ROWS at all, a plain join does the same.  A null
-    key finds nothing.
+    a key cannot reach HOT_ROWS at all, a plain join does the same.  A null key
+    finds nothing; such rows are spread over the partitions by a salt.
     """
+    salt = F.concat(F.lit("\0"), F.xxhash64(*left.columns).cast("string"))
+    spread = left.withColumn("_lk", F.coalesce(F.col(key), salt))
+    partner = right.withColumnRenamed(key, "_rk")
+
+    def meet(rows: DataFrame, partners: DataFrame) -> DataFrame:
+        return rows.join(partners, F.col("_lk") == F.col("_rk"), "left").drop("_lk", "_rk")
+
     if n_rows <= HOT_ROWS:
-        return left.join(right, key, "left")
+        return meet(spread, partner)
     hot = hot_keys(left, key, n_rows)
-    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    partners = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
-    heavy = marked.where("_hot").drop("_hot").join(partners, key, "left")
-    light = marked.where("_hot IS NULL").drop("_hot").join(right, key, "left")
+    marked = spread.join(F.broadcast(hot.select(F.col(key).alias("_hk"), F.lit(True).alias("_hot"))), F.col("_lk") == F.col("_hk"), "left").drop("_hk")
+    few = F.broadcast(partner.join(F.broadcast(hot.withColumnRenamed(key, "_rk")), "_rk", "left_semi"))
+    heavy = meet(marked.where("_hot").drop("_hot"), few)
+    light = meet(marked.where("_hot IS NULL").drop("_hot"), partner)
     return light.unionByName(heavy)
 
 

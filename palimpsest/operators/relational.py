@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import Cut
+
 ALL = "all"
 
 
@@ -78,11 +80,13 @@ def tree_rollup(leaves: DataFrame, path: str, score: str, added: str, removed: s
     """Directory tree with node, depth, score = max(own, sum of children), added and removed summed, weight = max(score / greatest, 0.05).
 
     One aggregation per level from the deepest up, at most ``max_depth`` of
-    them; each level is far smaller than the one below.  Paths below the depth
-    limit are left out.
+    them; each level is far smaller than the one below and is written once.
+    Paths below the depth limit are left out.
     """
+    cut = Cut(leaves.sparkSession, "rollup")
     part = F.split(path, "/")
     own = leaves.where(F.size(part) <= max_depth).groupBy(F.col(path).alias("node")).agg(F.sum(score).alias("score"), F.sum(added).alias("added"), F.sum(removed).alias("removed")).withColumn("depth", F.size(F.split("node", "/")))
+    own = cut.put(own)[1]
     done = None
     level = own.where(F.col("depth") == max_depth)
     for depth in range(max_depth, 0, -1):
@@ -95,6 +99,7 @@ def tree_rollup(leaves: DataFrame, path: str, score: str, added: str, removed: s
         level = here.join(children, "node", "full_outer").select(
             "node", F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce("s", F.lit(0.0))).alias("score"), (F.coalesce("added", F.lit(0)) + F.coalesce("a", F.lit(0))).alias("added"), (F.coalesce("removed", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("removed"), F.lit(depth - 1).alias("depth")
         )
+        level = cut.put(level)[1]
     top = done.agg(F.max("score")).scalar()
     return done.select("node", "depth", "score", "added", "removed", F.greatest(F.try_divide(F.col("score"), top), F.lit(0.05)).alias("weight"))
 

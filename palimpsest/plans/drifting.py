@@ -14,7 +14,8 @@ from ..operators.upserts import latest
 from ..sources import parsers
 from . import domain
 from .domain import Tables
-from .scalars import _CONV
+from .matching import _FILE_METRICS
+from .scalars import _CONV, STYLES
 from .scans import _CODE
 
 #: Names of the language's own methods (lower case), a parameter of the caller search.
@@ -179,7 +180,7 @@ QUERIES = domain.catalogue(
             ev AS (SELECT key, ts, sha, 1 AS phase, 'present' AS expect FROM ch WHERE change_type IN ('added', 'modified') UNION ALL SELECT new_key, ts, sha, 2, 'present' FROM rn UNION ALL SELECT old_key, ts, sha, 3, 'absent' FROM rn UNION ALL SELECT key, ts, sha, 4, 'absent' FROM ch WHERE change_type = 'removed' AND (key, sha) NOT IN (SELECT (old_key, sha) FROM rn))
             SELECT key, expect, sha FROM ev QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, sha DESC, phase DESC) = 1""",
         ),
-        "DR-02": (_fallback, None),
+        "DR-02": (_fallback, _FILE_METRICS + "SELECT path AS key FROM (SELECT * FROM h WHERE score >= 40 ORDER BY score DESC, path LIMIT 100) UNION SELECT path + 100000 FROM change WHERE path % 97 = 0"),
         "DR-03": (
             lambda t: D.symbol_drift(_want(t), _have(t)),
             STATES + """, pl AS (SELECT DISTINCT name, path FROM have), j AS (SELECT w.key, CASE WHEN expect = 'present' AND h.key IS NULL AND p.path IS NULL THEN 'missing' WHEN expect = 'absent' AND h.key IS NOT NULL THEN 'zombie' WHEN expect = 'present' AND h.key IS NOT NULL AND (h.name IS DISTINCT FROM w.name OR h.path IS DISTINCT FROM w.path) THEN 'divergent' END AS drift FROM want w LEFT JOIN have h ON h.key = w.key LEFT JOIN pl p ON p.name = w.name AND p.path = w.path) SELECT * FROM j WHERE drift IS NOT NULL""",
@@ -201,7 +202,8 @@ QUERIES = domain.catalogue(
         ),
         "DR-09": (
             lambda t: D.style_drift(t.symbols.where("path IS NOT NULL").select("path").distinct().select(F.substring_index("path", "/", 1).alias("top"), N.file_style(F.col("path")).alias("style")), ["top"], "style", N.CONVENTIONS),
-            None,
+            STYLES + f""", st AS (SELECT string_split(path, '/')[1] AS top, style FROM styled), sn AS (SELECT top, style, count(*) AS n FROM st GROUP BY ALL), sd AS (SELECT top, style AS dominant, n FROM sn QUALIFY row_number() OVER (PARTITION BY top ORDER BY n DESC, list_position({N.CONVENTIONS}, style)) = 1)
+            SELECT top, dominant, round(100 * (total - n) / total, 4) AS drift_percent FROM sd JOIN (SELECT top, count(*) AS total FROM st GROUP BY top) USING (top)""",
         ),
         "DR-10": (
             lambda t: R.running_share(t.symbols.where("naming_convention IS NOT NULL").groupBy("load_batch").agg(F.count_if(F.col("naming_convention") == "camelCase").alias("adopted"), F.count(F.lit(1)).alias("symbols")), ["load_batch"], "adopted", "symbols", "adoption"),

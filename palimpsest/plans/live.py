@@ -280,7 +280,7 @@ QUERIES = domain.catalogue(
         ),
         "VW-16": (
             lambda t: R.search(t.commits_analysis.where("summary_md IS NOT NULL"), "watcher", "summary_md").select("sha", (F.col("blast_radius") > 20).alias("is_pinned"), F.col("analyzed_at").cast("timestamp").alias("analyzed_at")).distinct().orderBy(F.col("is_pinned").desc(), F.col("analyzed_at").desc(), "sha"),
-            "SELECT DISTINCT sha, blast_radius > 20 AS is_pinned, analyzed_at::TIMESTAMP AS analyzed_at FROM commits_analysis WHERE summary_md ILIKE '%watcher%'",
+            "SELECT DISTINCT sha, blast_radius > 20 AS is_pinned, analyzed_at AT TIME ZONE 'UTC' AS analyzed_at FROM commits_analysis WHERE summary_md ILIKE '%watcher%'",
         ),
         "VW-17": (
             lambda t: R.first_n(t.symbols.where("confidence IS NOT NULL AND sha IS NOT NULL").select("sha", "id", "confidence").distinct().where("confidence >= 0.8"), 3, ["sha"], F.col("confidence").desc(), F.col("id")).select("sha", "id"),

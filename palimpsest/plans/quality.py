@@ -35,8 +35,10 @@ refs AS (
   SELECT table_name, load_batch, row_key, 'commit' AS kind, coalesce(full_sha, ref) AS key FROM commit_refs LEFT JOIN short USING (ref) WHERE ref NOT LIKE 'unknown:%' AND ltrim(ref, '0') <> ''
   UNION ALL SELECT 'symbols', load_batch, CAST(id AS VARCHAR), 'dna', {_dna("dna_id")} FROM symbols
   UNION ALL SELECT 'dna_decision_log', load_batch, CAST(id AS VARCHAR), 'dna', {_dna("dna_id")} FROM dna_decision_log)
-SELECT DISTINCT table_name, CAST(load_batch AS BIGINT) AS load_batch, row_key FROM refs WHERE key IS NOT NULL AND (kind, key) NOT IN (SELECT (kind, key) FROM alive WHERE key IS NOT NULL)
 """
+_LOST = " FROM refs WHERE key IS NOT NULL AND (kind, key) NOT IN (SELECT (kind, key) FROM alive WHERE key IS NOT NULL)"
+P1_FOUND = P1 + "SELECT DISTINCT table_name, CAST(load_batch AS BIGINT) AS load_batch, row_key" + _LOST
+P1_PERIODS = P1 + "SELECT table_name, CAST(load_batch AS BIGINT) AS load_batch, count(DISTINCT (kind, key)) AS orphan_keys, count(*) AS orphan_references" + _LOST + " GROUP BY ALL"
 
 P4 = f"""
 WITH RECURSIVE {MACROS},
@@ -59,10 +61,11 @@ marked AS (SELECT *, lag(s) OVER w IS DISTINCT FROM s OR lag(b) OVER w IS DISTIN
 opened AS (SELECT *, lead(id) OVER w AS next_id, lead(recorded_at) OVER w AS next_at FROM marked WHERE opens WINDOW w AS (PARTITION BY dna_id ORDER BY recorded_at))
 """
 P6 = P6_ROWS + "SELECT dna_id, id AS first_row_id, coalesce(next_id, -1) AS next_row_id FROM opened"
+P6_HISTORY = P6_ROWS + "SELECT dna_id, recorded_at AT TIME ZONE 'UTC' AS valid_from, next_at AT TIME ZONE 'UTC' AS valid_to, s AS signature_hash, b AS body_hash, p AS path FROM opened"
 
 QUERIES = {
-    "p1_found": (references.p1_found, P1),
-    "p1_orphans_per_period": (references.p1_orphans_per_period, None),
+    "p1_found": (references.p1_found, P1_FOUND),
+    "p1_orphans_per_period": (references.p1_orphans_per_period, P1_PERIODS),
     "p3_found": (nested.p3_found, None),
     "p3_variants": (nested.p3_variants, None),
     "p3_symbols": (nested.p3_symbols, None),
@@ -73,5 +76,5 @@ QUERIES = {
     "p5_masks": (instants.p5_masks, None),
     "p5_zone_transitions": (instants.p5_zone_transitions, None),
     "p6_found": (history.p6_found, P6),
-    "p6_history": (history.p6_history, None),
+    "p6_history": (history.p6_history, P6_HISTORY),
 }

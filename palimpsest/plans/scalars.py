@@ -46,6 +46,10 @@ _CODES = f", code AS (SELECT doc_id, text FROM documents WHERE {_CODE}) "
 _BASE = "regexp_extract(replace(path, chr(92), '/'), '[^/]*$')"
 _HASH = "list_reduce(list_transform(list_filter(string_split(name, ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda a, c: (a * 31 + c) % 4294967296, CAST(0 AS BIGINT))"
 
+STYLES = rf""", f AS (SELECT DISTINCT path, regexp_replace({_BASE}, '(.)\.[^.]*$', '\1') AS s, regexp_extract(regexp_extract(replace(path, chr(92), '/'), '^(.*)/[^/]*$', 1), '[^/]*$') AS d FROM symbols WHERE path IS NOT NULL),
+styled AS (SELECT path, CASE WHEN contains(s, '_') AND s = upper(s) THEN 'SCREAMING_SNAKE' WHEN contains(s, '_') AND NOT regexp_matches(s, '[A-Z]') THEN 'snake_case' WHEN contains(s, '-') AND NOT regexp_matches(s, '[A-Z]') THEN 'kebab-case' WHEN regexp_matches(s, '^[A-Z]') THEN 'PascalCase' WHEN regexp_matches(s, '[A-Z]') THEN 'camelCase'
+WHEN contains(d, '_') AND NOT contains(d, '-') THEN 'snake_case' WHEN contains(d, '-') AND NOT contains(d, '_') THEN 'kebab-case' ELSE 'camelCase' END AS style FROM f) """
+
 
 def _lower_hash(t: Tables):
     return _names(t).select("name", H.rolling_hash(F.col("name")).alias("h"))
@@ -70,9 +74,7 @@ QUERIES = domain.catalogue(
         ),
         "SC-04": (
             lambda t: t.symbols.where("path IS NOT NULL").select("path").distinct().select("path", N.file_style(F.col("path")).alias("style")),
-            rf""", f AS (SELECT DISTINCT path, regexp_replace({_BASE}, '(.)\.[^.]*$', '\1') AS s, regexp_extract(regexp_extract(replace(path, chr(92), '/'), '^(.*)/[^/]*$', 1), '[^/]*$') AS d FROM symbols WHERE path IS NOT NULL)
-            SELECT path, CASE WHEN contains(s, '_') AND s = upper(s) THEN 'SCREAMING_SNAKE' WHEN contains(s, '_') AND NOT regexp_matches(s, '[A-Z]') THEN 'snake_case' WHEN contains(s, '-') AND NOT regexp_matches(s, '[A-Z]') THEN 'kebab-case' WHEN regexp_matches(s, '^[A-Z]') THEN 'PascalCase' WHEN regexp_matches(s, '[A-Z]') THEN 'camelCase'
-            WHEN contains(d, '_') AND NOT contains(d, '-') THEN 'snake_case' WHEN contains(d, '-') AND NOT contains(d, '_') THEN 'kebab-case' ELSE 'camelCase' END AS style FROM f""",
+            STYLES + "SELECT path, style FROM styled",
         ),
         "SC-05": (lambda t: t.symbols.where("signature IS NOT NULL").select("signature").distinct().select("signature", F.array_join(N.parameters(F.col("signature")), ",").alias("params")), _SIGS + f"SELECT signature, array_to_string({_PARAMS}, ',') AS params FROM g"),
         "SC-06": (
