@@ -222,6 +222,13 @@ def test_long_chain_and_hub(spark, hot):
     assert got == brute_tree(parent)
 
 
+def test_links_of_raw_rows(spark, rows):
+    raw = [("a", None, 1), ("b", "a", 1), ("b", "a", 1), ("c", "zz", 1), ("d", "c", 1), ("d", "b", 2), (None, "a", 1), ("e", "e", 1)]
+    edges = hierarchy.links(spark.createDataFrame(raw, "node string, parent string, root int"))
+    assert rows(edges) == [("a", None), ("b", "a"), ("c", None), ("d", "b"), ("e", "e")]
+    assert rows(hierarchy.hierarchy(edges), "node", "root", "depth") == [("a", "a", 0), ("b", "a", 1), ("c", "c", 0), ("d", "a", 2), ("e", "e", -1)]
+
+
 def test_empty_hierarchy(spark):
     assert hierarchy.hierarchy(spark.createDataFrame([], "node string, parent string")).count() == 0
 
