@@ -117,8 +117,8 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, errors: in
     ``documents`` has doc_id and text, ``items`` item_id and item_text.  The
     items are the stated query set: they are taken in blocks of at most
     BLOCK_WORDS words, one pass over the documents for each, so what a worker
-    holds is bounded whatever their number.  Null and empty texts and items
-    shorter than a passage find nothing; items with equal text each count.
+    holds is bounded whatever their number.  Null and empty texts, null ids and
+    items shorter than a passage find nothing; items with equal text each count.
     """
     spark = documents.sparkSession
     counted = items.where("item_id IS NOT NULL AND item_text IS NOT NULL").select("item_id", "item_text", F.size(F.split("item_text", "[^A-Za-z0-9]+")).alias("_w"))
@@ -135,7 +135,7 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, errors: in
                 hits = [(d, i, x) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, x in matcher.find(t).items()]
                 yield pd.DataFrame(hits, columns=["doc_id", "item_id", "distance"])
 
-        part = documents.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(scan, "doc_id long, item_id long, distance long")
+        part = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(scan, "doc_id long, item_id long, distance long")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -44,7 +44,7 @@ def _encoding(path: str, pattern: str):
 
 
 def count_tokens(documents: DataFrame, path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """documents (doc_id, source, text) as (doc_id, source, tokens); a null text has 0 tokens."""
+    """documents (doc_id, source, text) as (doc_id, source, tokens); a null text has 0 tokens, a null id is left out."""
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = _encoding(path, pattern)
@@ -52,7 +52,7 @@ def count_tokens(documents: DataFrame, path: str = TOKENIZER, pattern: str = PAT
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": sizes})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(count, "doc_id long, source string, tokens long")
+    return documents.select("doc_id", "source", "text").where("doc_id IS NOT NULL").mapInPandas(count, "doc_id long, source string, tokens long")
 
 
 def apportion(weights: list[float], seats: int, caps: list[int]) -> list[int]:
@@ -92,7 +92,7 @@ def mix(sized: DataFrame, targets: list[tuple[str, float, int]], total_tokens: i
     twice, so it should be a written table.  Without ``total_tokens`` the
     mixture is the largest in which every source that has documents reaches its
     share (shares of absent sources are spread over the others).  With a larger
-    total, a source that is used up leaves its blocks to the others.  Sources
+    total, a source that is used up leaves its blocks to the others.  A null size is 0, a null id is left out. Sources
     without target, with a share or cap of 0 or without tokens are left out.
     """
     spark = sized.sparkSession
@@ -102,7 +102,7 @@ def mix(sized: DataFrame, targets: list[tuple[str, float, int]], total_tokens: i
     empty = spark.createDataFrame([], "doc_id long, source string, tokens long, copies long")
     if not rules:
         return empty
-    docs = sized.where(F.col("source").isin(list(rules)))
+    docs = sized.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens")).where(F.col("doc_id").isNotNull() & F.col("source").isin(list(rules)))
     counts = docs.groupBy("source").count().collect()
     if not counts:
         return empty

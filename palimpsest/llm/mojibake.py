@@ -145,7 +145,7 @@ def _repairs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def non_ascii(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", "text").where("text IS NOT NULL AND octet_length(text) <> length(text)")
+    return documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND octet_length(text) <> length(text)")
 
 
 def twins(documents: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
@@ -295,7 +295,7 @@ def _restore_lost(text: str, pairs: list) -> str:
 def garbled_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, sequences, restored): documents with garbled sequences, how many, and the text restored as far as possible.
 
-    Null, empty and pure ASCII texts are never garbled.  Lost characters whose
+    Null, empty and pure ASCII texts are never garbled; null ids are left out.  Lost characters whose
     window has no clean twin stay lost in ``restored``.  With no twins in the
     corpus nothing is learned and nothing found.  Copies are judged alike.
     """

@@ -62,13 +62,13 @@ def test_leaks(spark, rows):
         n = rng.randrange(8, 16)
         part = w[rng.randrange(max(1, len(w) - n)) :][:n]
         docs.append((d, ", ".join(noise[:10] + [x.upper() for x in part] + noise[10:])))
-    docs += [(100, None), (101, ""), (102, items[1][1] + " é " * 50_000 + items[2][1]), (103, docs[0][1])]
+    docs += [(None, items[1][1]), (100, None), (101, ""), (102, items[1][1] + " é " * 50_000 + items[2][1]), (103, docs[0][1])]
 
     def grams(text):
         w = leakage.words_of(text)
         return {tuple(w[i : i + 12]) for i in range(len(w) - 11)}
 
-    want = sorted((d, i) for d, t in docs for i, x in items if grams(t) & grams(x))
+    want = sorted((d, i) for d, t in docs for i, x in items if d is not None and grams(t) & grams(x))
     df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, distance int")
     q = spark.createDataFrame(items, "item_id long, item_text string")
     found = leakage.leaks(df, q)
@@ -134,6 +134,8 @@ def test_mix_with_larger_total(spark):
 
 
 def test_mix_edges(spark):
+    clash = spark.createDataFrame([(1, "a", 50, 1, 2, 3), (None, "a", 9, 1, 2, 3), (3, "a", None, 1, 2, 3)], "doc_id long, source string, tokens long, budget int, shard int, copies int")
+    assert {r.doc_id: r.copies for r in mixing.mix(clash, [("a", 1.0, 1)]).collect()} == {1: 1, 3: 1}
     df = spark.createDataFrame([(1, "a", 0)], "doc_id long, source string, tokens long")
     assert mixing.mix(df, []).count() == 0 and mixing.mix(df, [("a", 1.0, 1)]).count() == 0 and mixing.mix(df, [("a", 0.0, 1), ("b", 1.0, 0)]).count() == 0
     assert mixing.mix(df.limit(0), [("a", 1.0, 1)]).count() == 0
@@ -193,7 +195,7 @@ def test_garbled(spark, corpus):
 
 
 def test_garbled_edges(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "plain"), (4, "é" * 100_000)], "doc_id long, text string")
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "plain"), (4, "é" * 100_000), (None, "Ã©")], "doc_id long, text string")
     assert mojibake.garbled_documents(df).count() == 0
     assert mojibake.garbled_documents(df.limit(0)).count() == 0
 
