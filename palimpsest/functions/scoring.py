@@ -22,6 +22,11 @@ INTERFACE = r"\b(function|class|interface|type|export|import|const\s+\w+\s*=|let
 OLD_NAMESPACE = r"^(?:[oO][lL][dD]|[lL][eE][gG][aA][cC][yY]|[dD][eE][pP][rR][eE][cC][aA][tT][eE][dD]|[vV]1|[vV]2)|(?:Old|Legacy|Deprecated)(?:[A-Z]|$)|\\(?:Old|Legacy|Deprecated)\\|/(?:old|legacy|deprecated)/"
 
 
+def at_most(c: Column, bound: float) -> Column:
+    """The value or the bound, if less; null stays null (``least`` alone would give the bound)."""
+    return F.when(c.isNotNull(), F.least(c, F.lit(bound)))
+
+
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """The value within its bounds; null stays null."""
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
@@ -30,7 +35,7 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 def hotspot(frequency: Column, recency: Column, authors: Column, intensity: Column, burstiness: Column) -> Column:
     """Hotspot score from 0 to 100 of five measures in [0, 1], compressed by a logarithm."""
     raw = sum((c * WEIGHTS[n] for n, c in zip(WEIGHTS, (frequency, recency, authors, intensity, burstiness))), F.lit(0.0))
-    return F.least(F.lit(100.0), F.log10(1 + 9 * raw) * 100)
+    return at_most(F.log10(1 + 9 * raw) * 100, 100.0)
 
 
 def risk_level(score: Column) -> Column:
@@ -56,7 +61,7 @@ def change_class(signature: Column, visibility: Column, annotation: Column) -> C
 
 def structural_change(lines: Column, highlights: Column) -> Column:
     """min(lines / 10, 1), raised by the share of highlighted lines, at most 1."""
-    return F.least(F.least(lines / 10, F.lit(1.0)) * (1 + F.least(highlights / F.greatest(lines, F.lit(1)), F.lit(1.0))), F.lit(1.0))
+    return at_most(at_most(lines / 10, 1.0) * (1 + at_most(highlights / F.greatest(lines, F.lit(1)), 1.0)), 1.0)
 
 
 def edge_confidence(edge_type: Column, known: Column) -> Column:

@@ -53,13 +53,15 @@ def _versions(t: Tables):
 
 
 def _moves(t: Tables):
-    code = t.documents.where(_CODE).where("sha IS NOT NULL").select("doc_id", "repo", "sha", "file_path", "text")
-    return moves.candidates(code.where("doc_id % 2 = 0"), code.where("doc_id % 2 = 1"), "repo", "sha", 0.6)
+    """Blocks of one half of the code files in the other half: equal text in any file of a language, similar text in the same file."""
+    code = t.documents.where(_CODE).select("doc_id", "lang", F.concat("repo", F.lit(":"), "file_path").alias("place"), "file_path", "text")
+    return moves.candidates(code.where("doc_id % 2 = 0"), code.where("doc_id % 2 = 1"), "lang", "place", 0.6)
 
 
-_MOVES = f""", c AS (SELECT doc_id, repo, sha, file_path, text, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS h, sha256({_SHAPE}) AS s FROM documents WHERE {_CODE} AND sha IS NOT NULL),
-x AS (SELECT a.doc_id AS a, b.doc_id AS b, a.file_path AS source, b.file_path AS target, CASE WHEN a.h = b.h THEN 1.0 WHEN greatest(length(a.text), length(b.text)) > 2000 THEN {_dice("a.text", "b.text")} ELSE {_edit("a.text", "b.text")} END::DOUBLE AS score
-  FROM c a JOIN c b ON (a.repo = b.repo AND a.h = b.h) OR (a.sha = b.sha AND a.s = b.s AND a.h <> b.h) WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1),
+_MOVES = f""", c AS (SELECT doc_id, lang, repo || ':' || file_path AS place, file_path, text, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS h, sha256({_SHAPE}) AS s FROM documents WHERE {_CODE}),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, a.file_path AS source, b.file_path AS target, 1.0::DOUBLE AS score FROM c a JOIN c b ON a.lang = b.lang AND a.h = b.h WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1
+  UNION ALL SELECT a.doc_id, b.doc_id, a.file_path, b.file_path, CASE WHEN greatest(length(a.text), length(b.text)) > 2000 THEN {_dice("a.text", "b.text")} ELSE {_edit("a.text", "b.text")} END::DOUBLE
+  FROM c a JOIN c b ON a.place = b.place AND a.s = b.s WHERE a.h <> b.h AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1),
 m AS (SELECT a, b, source, target, round(score, 6) AS score FROM x WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, b) = 1) """
 
 

@@ -118,6 +118,8 @@ def test_similarity_values(spark):
 def test_hotspot_bounds(spark):
     low, high = (spark.range(1).select(S.hotspot(*[F.lit(float(v))] * 5)).first()[0] for v in (0, 1))
     assert low == 0 and high == pytest.approx(100)
+    null = F.lit(None).cast("double")
+    assert spark.range(1).select(S.hotspot(*[null] * 5), S.structural_change(null, null), S.clamp(null)).first()[:] == (None, None, None)
     assert [spark.range(1).select(S.risk_level(F.lit(x))).first()[0] for x in (80, 60, 40, 39.9)] == ["critical", "high", "medium", "low"]
 
 
