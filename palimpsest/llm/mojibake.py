@@ -98,6 +98,13 @@ def sequences(encoding: str) -> re.Pattern:
     return re.compile(f"{some(0xC2, 0xDF)}{tail}|{some(0xE0, 0xEF)}{tail}{{2}}|{some(0xF0, 0xF4)}{tail}{{3}}")
 
 
+@functools.cache
+def _ends(encoding: str) -> tuple[frozenset, frozenset]:
+    """Characters that begin UTF-8 sequences read in the encoding, and those that go on with one."""
+    table_ = reader(encoding).items()
+    return frozenset(c for c, b in table_ if 0xC2 <= b <= 0xF4), frozenset(c for c, b in table_ if b <= 0xBF)
+
+
 def windows(text: str) -> set[tuple[str, str]]:
     """(skeleton, filling) of the windows around the tokens with non-ASCII characters.
 
@@ -264,7 +271,11 @@ class Repairer:
         found = 0
         for _ in range(6):  # each round undoes one decoding of the whole text
             best, most = text, 0
+            there = set(text)
             for h in self.utf8:
+                first, more = _ends(h[0])
+                if there.isdisjoint(first) or there.isdisjoint(more):
+                    continue
                 out, n = self._multi(text, h)
                 if n > most:
                     best, most = out, n
