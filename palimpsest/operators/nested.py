@@ -5,14 +5,17 @@ object and the state that a bottom-up tree automaton gives to its shape.  The
 automaton's states are the scalar kinds, ``[kinds]`` for an array of such
 elements, ``{}`` for an object seen from its parent, and for the object itself
 its sorted ``key:state`` list; a shape of any depth thus needs finitely many
-states, and each object is classified from its children alone.  Rows of one
-role (the last object key on the path) are the variants of one supertype; the
-variants' common keys are the supertype's columns, and each variant is routed
-to a table with the columns of its own.
+states.  The state of the whole subtree, in which the children's states enter
+hashed, stands beside it.  Rows of one role are the variants of one supertype.
+The role is the last object key on the path, but the keys of a map are no
+roles: its values have the role of the map.  The variants' common keys are the
+supertype's columns, and each variant is routed to a table with the columns
+that the role's values have.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -22,15 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import commit_key
+from ..session import Cut
 from ..sources.tables import table
 
 NODE = "source_field string, record_key string, node_path string, parent_path string"
 NODE_FULL = NODE + ", role string, variant string, body string"
+CELL = NODE + ", role string, variant string, state string, field string, at string, type string, value string"
 #: Nodes per Arrow batch that goes back to the JVM.
 OUT_ROWS = 20_000
 
 _FENCE = re.compile(r"```[ \t]*[A-Za-z0-9_+.-]*\s*(.*?)```", re.S)
 _BAD = object()
+#: A key that can be a field's name; others (indexes, paths, notations) are keys of maps.
+_NAME = re.compile(r"[^\W\d][\w$-]*|[$][\w$-]*")
 
 
 def _integer(digits: str):
@@ -152,18 +159,70 @@ def variant_of(obj: dict) -> str:
     return ",".join(f"{k}:{_state(obj[k])}" for k in sorted(obj))
 
 
+def is_map(obj: dict) -> bool:
+    """Whether an object is a map to objects or arrays: no value is a scalar but null, and no key can be a field's name."""
+    return any(isinstance(x, (dict, list)) for x in obj.values()) and all(x is None or isinstance(x, (dict, list)) for x in obj.values()) and not any(_NAME.fullmatch(k) for k in obj)
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
+def states(value) -> dict[int, str]:
+    """The automaton's state of the subtree of every object and array by id, bottom-up and without recursion; members of a map count once per state."""
+    order, stack = [], [value]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(x for x in (node.values() if isinstance(node, dict) else node) if isinstance(x, (dict, list)))
+    found: dict[int, str] = {}
+
+    def of(x) -> str:
+        return found[id(x)] if isinstance(x, (dict, list)) else _state(x)
+
+    for node in reversed(order):
+        if isinstance(node, list):
+            found[id(node)] = _digest("[" + "|".join(sorted({of(x) for x in node})))
+        elif is_map(node):
+            found[id(node)] = _digest("{" + "|".join(sorted({of(x) for x in node.values()})))
+        else:
+            found[id(node)] = _digest(json.dumps([(k, of(node[k])) for k in sorted(node)]))
+    return found
+
+
+def cells(obj: dict) -> Iterator[tuple[str, str, str, str | None]]:
+    """(field, place in the field's arrays, type, text) of every scalar that belongs to an object itself and of every empty array."""
+    for k, x in obj.items():
+        stack = [(x, "")]
+        while stack:
+            x, at = stack.pop()
+            if isinstance(x, list):
+                if not x:
+                    yield k, at, "list", "[]"
+                stack.extend((y, f"{at}/{i}" if at else str(i)) for i, y in reversed(list(enumerate(x))))
+            elif not isinstance(x, dict):
+                kind = _state(x)
+                if kind == "int" and not -(2**63) <= x < 2**63:
+                    kind = "big"
+                yield k, at, kind, None if x is None else x if kind == "str" else json.dumps(x)
+
+
 def objects(value) -> Iterator[tuple[str, str, str, dict]]:
-    """(path, parent path, role, object) of every object but a root one, in document order, without recursion."""
+    """(path, parent path, role, object) of every object but a root one, in document order, without recursion.
+
+    Members of a map have the map's role, the map itself that role with ``{}``.
+    """
     if not isinstance(value, (dict, list)):
         return
     stack = [(value, "", "", "")]
     while stack:
         node, path, parent, role = stack.pop()
         if isinstance(node, dict):
+            inner = is_map(node)
             if path or node is not value:
-                yield path, parent, role, node
+                yield path, parent, role + "{}" if inner else role, node
             parent = path
-            kids = [(x, f"{path}/{k}" if path or node is not value else k, parent, k) for k, x in node.items() if isinstance(x, (dict, list))]
+            kids = [(x, f"{path}/{k}" if path or node is not value else k, parent, role if inner else k) for k, x in node.items() if isinstance(x, (dict, list))]
         else:
             kids = [(x, f"{path}/{i}" if path or node is not value else str(i), parent, role) for i, x in enumerate(node) if isinstance(x, (dict, list))]
         stack.extend(reversed(kids))
@@ -178,8 +237,8 @@ def _clean(text: str) -> str:
         return text.encode("utf-8", "replace").decode()
 
 
-def _flatten(full: bool):
-    names = [x.split()[0] for x in (NODE_FULL if full else NODE).split(", ")]
+def _flatten(columns: str):
+    names = [x.split()[0] for x in columns.split(", ")]
     schema = pa.schema([(x, pa.string()) for x in names])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +256,19 @@ def _flatten(full: bool):
                 value = read_value(text)
                 if value is _BAD:
                     continue
+                state = states(value) if columns == CELL and isinstance(value, (dict, list)) else {}
                 for path, parent, role, node in objects(value):
-                    row = [field, key, _clean(path), _clean(parent)]
-                    if full:
-                        scalars = {k: x for k, x in node.items() if not isinstance(x, (dict, list))}
-                        row += [_clean(role), _clean(variant_of(node)), _clean(json.dumps(scalars, ensure_ascii=False))]
-                    for column, x in zip(out, row):
-                        column.append(x)
+                    made = [[field, key, _clean(path), _clean(parent)]]
+                    if columns != NODE:
+                        made[0] += [_clean(role), _clean(variant_of(node))]
+                    if columns == NODE_FULL:
+                        scalars = {_clean(k): x for k, x in node.items() if not isinstance(x, (dict, list)) or isinstance(x, list) and not any(isinstance(y, (dict, list)) for y in x)}
+                        made[0].append(_clean(json.dumps(scalars, ensure_ascii=False)))
+                    elif columns == CELL:
+                        made = [[*made[0], state[id(node)], *(x and _clean(x) for x in c)] for c in cells(node)] or [[*made[0], state[id(node)], None, None, None, None]]
+                    for row in made:
+                        for column, x in zip(out, row):
+                            column.append(x)
                     if len(out[0]) >= OUT_ROWS:
                         yield flush()
         if out[0]:
@@ -220,8 +285,30 @@ def flatten_objects(values: DataFrame, full: bool = False) -> DataFrame:
     their rows once, a repeated key of an object holds its last value.  With
     ``full`` each row also has its role, variant and scalar fields (JSON text).
     """
+    return _each(values, NODE_FULL if full else NODE)
+
+
+def _each(values: DataFrame, columns: str) -> DataFrame:
     once = values.select("source_field", "record_key", "value").where("value IS NOT NULL AND record_key IS NOT NULL").distinct()
-    return once.mapInArrow(_flatten(full), NODE_FULL if full else NODE)
+    return once.mapInArrow(_flatten(columns), columns)
+
+
+def typed_objects(values: DataFrame) -> DataFrame:
+    """The typed rows of all roles and variants: one row per object and scalar of its own, so no column list bounds it.
+
+    Each has the object's keys and parent link, role, variant, state of the
+    subtree, the keys of the role's supertype, and of the scalar the field, its
+    place in the field's arrays ('' outside of arrays), type, text and typed
+    value (``whole``, ``number``, ``flag``).  Empty arrays are listed; an object
+    without either has one row with a null field.  Integers beyond 64 bits have
+    the type ``big`` and only their text.
+    """
+    out = Cut(values.sparkSession, "typed").put(_each(values, CELL))[1]
+    supertype = variants(out.select("source_field", "role", "variant").distinct()).select("source_field", "role", "supertype_keys").distinct()
+    supertype = Cut(values.sparkSession, "typed").put(supertype)[1]
+    of = F.col("type")
+    typed = out.withColumn("whole", F.when(of == "int", F.col("value")).cast("long")).withColumn("number", F.when(of.isin("int", "num"), F.col("value")).cast("double")).withColumn("flag", F.when(of == "bool", F.col("value") == "true"))
+    return typed.join(supertype, ["source_field", "role"])
 
 
 def variants(nodes: DataFrame) -> DataFrame:
@@ -242,6 +329,39 @@ def subtype_table(nodes: DataFrame, role: str, schema: str) -> DataFrame:
     return nodes.where(F.col("role") == role).select("source_field", "record_key", "node_path", "parent_path", "variant", typed.alias("t")).select("source_field", "record_key", "node_path", "parent_path", "variant", "t.*")
 
 
+def role_table(values: DataFrame, role: str) -> DataFrame:
+    """The typed table of one role with all fields that its values have: keys and parent link, variant, then a column per field.
+
+    A field whose values have one type has that type, whole and other numbers
+    together are doubles; mixed, long and array values are text.  A field named
+    as a column before it gets ``_`` behind its name.
+    """
+    spark = values.sparkSession
+    nodes = Cut(spark, "role").put(flatten_objects(values, full=True).where(F.col("role") == role))[1]
+    at = F.from_json("body", "map<string,string>")
+    own = ["source_field", "record_key", "node_path", "parent_path", "variant"]
+    # the types of the fields of the role's bodies; read from the bodies, since keys may hold the marks of a variant
+    found = nodes.select("body").mapInArrow(_field_types, "field string, type string").distinct().groupBy("field").agg(F.collect_set("type").alias("types")).orderBy("field").collect()
+    taken, columns = set(own), []
+    for r in found:
+        types, name = set(r.types) - {"null"}, r.field
+        kind = {("int",): "long", ("num",): "double", ("int", "num"): "double", ("bool",): "boolean"}.get(tuple(sorted(types)), "string")
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        columns.append(F.element_at("t", F.lit(r.field)).cast(kind).alias(name))
+    return nodes.select(*own, at.alias("t")).select(*own, *columns)
+
+
+def _field_types(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        found = set()
+        for body in batch.column(0).to_pylist():
+            for k, x in json.loads(body, parse_int=_integer).items():
+                found.add((k, "list" if isinstance(x, list) else next(t for _, _, t, _ in cells({k: x}))))
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["field", "type"])
+
+
 def history_values(spark: SparkSession, where: str) -> DataFrame:
     """The JSON columns of commits_analysis and hybrid_facts as (source_field, record_key, value)."""
     analysis, facts = table(spark, where, "commits_analysis"), table(spark, where, "hybrid_facts")
@@ -262,11 +382,16 @@ def p3_variants(spark: SparkSession, where: str) -> DataFrame:
     return variants(flatten_objects(history_values(spark, where), full=True))
 
 
+def p3_typed(spark: SparkSession, where: str) -> DataFrame:
+    """The typed rows of every object of every role and variant."""
+    return typed_objects(history_values(spark, where))
+
+
 def p3_symbols(spark: SparkSession, where: str) -> DataFrame:
     """The typed table of the symbols inside hotspots."""
-    return subtype_table(flatten_objects(history_values(spark, where), full=True), "symbols", "id string, name string, kind string")
+    return role_table(history_values(spark, where), "symbols")
 
 
 def p3_evidence(spark: SparkSession, where: str) -> DataFrame:
     """The typed table of the evidence inside claims."""
-    return subtype_table(flatten_objects(history_values(spark, where), full=True), "claims", "text string, confidence double")
+    return role_table(history_values(spark, where), "evidence")

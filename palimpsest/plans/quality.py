@@ -68,6 +68,7 @@ QUERIES = {
     "p1_orphans_per_period": (references.p1_orphans_per_period, P1_PERIODS),
     "p3_found": (nested.p3_found, None),
     "p3_variants": (nested.p3_variants, None),
+    "p3_typed": (nested.p3_typed, None),
     "p3_symbols": (nested.p3_symbols, None),
     "p3_evidence": (nested.p3_evidence, None),
     "p4_found": (hierarchy.p4_found, P4),

@@ -161,6 +161,34 @@ def test_nodes_link_to_parents_and_variants(spark, rows):
     assert nested.flatten_objects(df.limit(0)).count() == 0
 
 
+def test_every_object_has_typed_rows(spark, rows):
+    value = {"symbols": {"0": {"id": "a", "n": 1, "x,y": True}, "1": {"id": "b", "n": 2.5, "flags": ["p", ["q"]], "at": {"l": {}}}}, "claims": [{"text": "t", "evidence": [{"ref": "r", "type": "file"}, {"ref": None}], "none": []}], "big": {"n": 2**70, "s": {"n": 3}}}
+    df = spark.createDataFrame([("f", "1", json.dumps(value))], "source_field string, record_key string, value string")
+    typed = nested.typed_objects(df)
+    assert rows(typed.select("node_path", "parent_path").distinct()) == rows(nested.flatten_objects(df).select("node_path", "parent_path"))
+    got = {(r.node_path, r.field, r.at): r for r in typed.collect()}
+    assert got["symbols/0", "id", ""].role == "symbols" and got["symbols/0", "id", ""].supertype_keys == "id,n" and got["symbols", None, None].role == "symbols{}"
+    assert (got["symbols/0", "n", ""].whole, got["symbols/1", "n", ""].number, got["symbols/0", "x,y", ""].flag) == (1, 2.5, True)
+    assert (got["symbols/1", "flags", "0"].value, got["symbols/1", "flags", "1/0"].value, got["claims/0", "none", ""].value) == ("p", "q", "[]")
+    assert (got["big", "n", ""].type, got["big", "n", ""].value, got["big/s", "n", ""].whole) == ("big", str(2**70), 3)
+    assert rows(nested.role_table(df, "symbols"), "node_path", "id", "n", "`x,y`") == [("symbols/0", "a", 1.0, True), ("symbols/1", "b", 2.5, None)]
+    assert rows(nested.role_table(df, "evidence"), "parent_path", "ref", "type") == [("claims/0", None, None), ("claims/0", "r", "file")]
+    assert nested.role_table(df, "no such role").count() == 0 and nested.typed_objects(df.limit(0)).count() == 0
+
+
+def test_state_holds_the_whole_subtree():
+    def state(value):
+        return nested.states(value)[id(value)]
+
+    a, b = {"k": {"x": {"n": 1}}}, {"k": {"x": {"n": "s"}}}
+    assert nested.variant_of(a) == nested.variant_of(b) and state(a) != state(b) and state(a) == state({"k": {"x": {"n": 2}}})
+    assert state({"0": {"n": 1}}) == state({"0": {"n": 1}, "7/a": {"n": 2}})
+    deep = []
+    for _ in range(30_000):
+        deep = [deep]
+    assert state(deep)
+
+
 # hierarchies
 
 
