@@ -76,7 +76,7 @@ def name_clusters(rows: DataFrame, least: float) -> DataFrame:
     """
     from .graphs import connected_components
 
-    words = rows.select("kind", "words", F.split("words", " ").alias("w")).where("words <> ''")
+    words = rows.select("kind", "words", F.array_distinct(F.split("words", " ")).alias("w")).where("words <> ''")
     freq = words.select("kind", F.explode("w").alias("word")).groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n"))
     ranked = words.select("kind", "words", F.size("w").alias("size"), F.explode("w").alias("word")).join(freq, ["kind", "word"])
     rank = F.row_number().over(W.partitionBy("kind", "words").orderBy("n", "word"))

@@ -285,6 +285,14 @@ def test_name_clusters(spark):
     assert got[words[0]] == got[words[1]] == words[0] and got[words[2]] == got[words[3]] and got[words[4]] == words[4]
 
 
+def test_name_clusters_with_repeated_words(spark):
+    words = ["get get x", "get x", "get get get x y", "a a b c d e f", "a b c d e f", "b c", "b b b c"]
+    got = {r.words: r.cluster for r in moves.name_clusters(spark.createDataFrame([("function", w) for w in words], "kind string, words string"), 0.8).collect()}
+    sets = {w: set(w.split()) for w in words}
+    want = {w: min(v for v in words if len(sets[v] & sets[w]) > 0.8 * len(sets[v] | sets[w])) for w in words}
+    assert got == want
+
+
 # vectors
 
 
