@@ -27,7 +27,7 @@ from ..sources.tables import table
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the word pattern that this vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Blocks that the source with the least room is divided into, where no block size is given.
+#: Blocks that the shard with the least room is divided into, where no block size is given.
 LEAST_BLOCKS = 200
 #: Documents of one shard, about; and the most shards of a source, so that the quotas (sources x shards) stay small.
 SHARD_DOCS, MAX_SHARDS = 50_000, 4096
@@ -92,7 +92,10 @@ def mix(sized: DataFrame, targets: list[tuple[str, float, int]], total_tokens: i
     twice, so it should be a written table.  Without ``total_tokens`` the
     mixture is the largest in which every source that has documents reaches its
     share (shares of absent sources are spread over the others).  With a larger
-    total, a source that is used up leaves its blocks to the others.  A null size is 0, a null id is left out. Sources
+    total, a source that is used up leaves its blocks to the others.  Shards are
+    never small beside a block, as flooring them to whole blocks would lose their
+    documents: without ``block_tokens`` the least shard sets it, with it the
+    number of shards follows.  A null size is 0, a null id is left out. Sources
     without target, with a share or cap of 0 or without tokens are left out.
     """
     spark = sized.sparkSession
@@ -103,10 +106,15 @@ def mix(sized: DataFrame, targets: list[tuple[str, float, int]], total_tokens: i
     if not rules:
         return empty
     docs = sized.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens")).where(F.col("doc_id").isNotNull() & F.col("source").isin(list(rules)))
-    counts = docs.groupBy("source").count().collect()
+    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")).collect()
     if not counts:
         return empty
-    shards = F.create_map(*(F.lit(x) for r in counts for x in (r.source, min(MAX_SHARDS, 1 + r["count"] // SHARD_DOCS))))
+
+    def n_shards(r) -> int:
+        most = min(MAX_SHARDS, 1 + r.docs // SHARD_DOCS)
+        return most if block_tokens is None else max(1, min(most, rules[r.source][1] * r.tokens // (LEAST_BLOCKS * block_tokens)))
+
+    shards = F.create_map(*(F.lit(x) for r in counts for x in (r.source, n_shards(r))))
     placed = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), shards[F.col("source")]).cast("int"))
     sums = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").orderBy("source", "shard").collect()  # at most MAX_SOURCES x MAX_SHARDS numbers
     line: dict[str, list[tuple[int, int]]] = {}
@@ -118,7 +126,7 @@ def mix(sized: DataFrame, targets: list[tuple[str, float, int]], total_tokens: i
     whole = sum(rules[s][0] for s in names)
     shares = [rules[s][0] / whole for s in names]
     if block_tokens is None:
-        block_tokens = max(1, min(rules[s][1] * sum(t for _, t in line[s]) for s in names) // LEAST_BLOCKS)
+        block_tokens = max(1, min(rules[s][1] * t for s in names for _, t in line[s]) // LEAST_BLOCKS)
     room = [[rules[s][1] * t // block_tokens for _, t in line[s]] for s in names]
     caps = [sum(x) for x in room]
     if total_tokens is None:

@@ -133,6 +133,19 @@ def test_mix_with_larger_total(spark):
     assert sum(r.tokens * r.copies for r in got if r.source == "b") == 20_000
 
 
+@pytest.mark.parametrize("block, total", [(None, None), (400, 120_000)])
+def test_mix_of_more_shards_than_blocks(spark, monkeypatch, block, total):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 20)
+    assert 1 + 5000 // 20 > mixing.LEAST_BLOCKS
+    df = spark.createDataFrame([(i, "a" if i < 5000 else "b", 10 + i % 7) for i in range(10_000)], "doc_id long, source string, tokens long")
+    got = mixing.mix(df, [("a", 0.6, 1), ("b", 0.4, 2)], total, block).collect()
+    there = sum(10 + i % 7 for i in range(5000))
+    a, b = (sum(r.tokens * r.copies for r in got if r.source == s) for s in "ab")
+    assert abs(a / (a + b) - 0.6) < 0.02 or total
+    # the source with the least room is used up
+    assert a > 0.97 * there and (not total or a + b > 0.97 * total)
+
+
 def test_mix_edges(spark):
     clash = spark.createDataFrame([(1, "a", 50, 1, 2, 3), (None, "a", 9, 1, 2, 3), (3, "a", None, 1, 2, 3)], "doc_id long, source string, tokens long, budget int, shard int, copies int")
     assert {r.doc_id: r.copies for r in mixing.mix(clash, [("a", 1.0, 1)]).collect()} == {1: 1, 3: 1}
