@@ -205,7 +205,7 @@ QUERIES = domain.catalogue(
             "SELECT DISTINCT id, name FROM symbols WHERE name ILIKE '%rebuild%'",
         ),
         "STR-01": (lambda t: live.run_available(live.buffered(_stream(t))).groupBy("entity").agg(F.max("edits").alias("edits"), F.max_by("buffered", "edits").alias("buffered")), "SELECT user_id AS entity, count(*) AS edits, least(count(*), 1000) AS buffered FROM events GROUP BY user_id"),
-        "STR-02": (lambda t: live.run_available(live.debounced(_stream(t), "30 minutes")).select("entity", "start", "end", "edits"), None),
+        "STR-02": (lambda t: live.sessions(t.spark, t.where, "30 minutes"), None),
         "STR-03": (lambda t: live.run_available(live.triggered(_stream(t), resets=False)), None),
         "STR-04": (lambda t: live.run_available(live.triggered(_stream(t))), None),
         "STR-05": (_watched, "SELECT user_id AS entity, min(event_id) AS event_id FROM events GROUP BY user_id"),

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -37,13 +38,48 @@ def edit_stream(spark: SparkSession, where: str) -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def lateness(spark: SparkSession, where: str) -> str:
+    """A watermark delay that loses no event of what is available: how far a file's events lie before the newest of files read no later.
+
+    Files of one modification time may be read in any order.
+    """
+    at = F.col("_metadata.file_modification_time")
+    files = spark.read.parquet(f"{where}/events.parquet").where("ts IS NOT NULL").groupBy(at.alias("read")).agg(F.min(F.col("ts").cast("timestamp")).alias("low"), F.max(F.col("ts").cast("timestamp")).alias("high"))
+    newest = F.max("high").over(W.orderBy("read"))  # a row per modification time
+    late = files.select((F.unix_seconds(newest) - F.unix_seconds("low")).alias("s")).agg(F.max("s")).first()[0]
+    return f"{(late or 0) + 1} seconds"
+
+
+def sessions(spark: SparkSession, where: str, quiet: str) -> DataFrame:
+    """All bursts of what is available, the open ones too: they end with the data.
+
+    The bursts still open at the end are written by a mark, an event of no
+    entity whose time lies behind all of them.
+    """
+    late, cut = lateness(spark, where), Cut(spark, "ends")
+    events = edit_stream(spark, where)
+    none = spark.createDataFrame([], events.schema)
+    path, _ = cut.put(none)
+    marked = events.withColumn("mark", F.lit(False)).unionByName(spark.readStream.schema(events.schema).parquet(path).withColumn("mark", F.lit(True)))
+    held = marked.withWatermark("ts", late).groupBy("mark", "entity", F.session_window("ts", quiet).alias("w")).agg(F.count(F.lit(1)).alias("edits"))
+    out = held.select("mark", "entity", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "edits")
+    run = Cut(spark, "stream")
+    run_available(out, cut=run)
+    last = spark.read.parquet(f"{where}/events.parquet").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
+    mark = last.where("ts IS NOT NULL").select((F.col("ts") + F.expr(f"INTERVAL {quiet}") + F.expr(f"INTERVAL {late}") + F.expr("INTERVAL 1 minute")).alias("ts"))
+    for _ in range(2):  # a batch writes what the watermark before it closes; the second mark is for sessions without batches of no data
+        none.unionByName(mark, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(path)
+        found = run_available(out, cut=run)
+    return found.where("NOT mark").drop("mark")  # not before, as the filter would be pushed below the watermark
+
+
+def run_available(stream: DataFrame, mode: str = "append", cut: Cut | None = None) -> DataFrame:
     """Runs a streaming frame over all that is available and returns what it wrote, as a batch frame.
 
     Output and checkpoint lie in the shared folder, so a restarted query goes
-    on where it stopped.
+    on where it stopped; so does a further run with the same ``cut``.
     """
-    cut = Cut(stream.sparkSession, "stream")
+    cut = cut or Cut(stream.sparkSession, "stream")
     path = f"{cut.base}/out"
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{cut.base}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()

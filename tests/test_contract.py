@@ -1,7 +1,9 @@
 """The driver contract, the streams, and independence of the training-data package."""
 
 import ast
+import random
 import re
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -80,6 +82,29 @@ def test_buffer_and_bursts(edits, rows):
     assert live.run_available(live.debounced(live.edit_stream(spark, where), "1 second")).count() <= 27
 
 
+def brute_sessions(events, gap):
+    found, last = [], {}
+    for user, at in sorted(events):
+        s = last.get(user)
+        if s is None or at > s[2]:
+            last[user] = s = [user, at, at, 0]
+            found.append(s)
+        s[2], s[3] = at + gap, s[3] + 1
+    return sorted(map(tuple, found))
+
+
+def test_sessions_are_complete(spark, rows, tmp_path):
+    rng, start = random.Random(3), datetime(2024, 1, 1)
+    data = [(i, start + timedelta(minutes=rng.randrange(6000)), rng.randrange(6), "view", 1.0, "{}") for i in range(600)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    days = sorted(data, key=lambda r: r[1])
+    for k in rng.sample(range(20), 20):  # more files than a trigger takes, not in the order of time
+        spark.createDataFrame(days[k * 30 : k * 30 + 30], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.queries()["STR-02"](spark, str(tmp_path))
+    got = [(r.entity, r.s, r.e, r.edits) for r in got.selectExpr("entity", "CAST(start AS timestamp_ntz) AS s", "CAST(end AS timestamp_ntz) AS e", "edits").collect()]
+    assert sorted(got) == brute_sessions([(r[2], r[1]) for r in data], timedelta(minutes=30))
+
+
 def test_queue_keeps_the_last_value(edits, rows):
     spark, where = edits
     q = catalogue.queries()
