@@ -13,6 +13,7 @@ from palimpsest.functions import naming as N
 from palimpsest.functions import scoring as S
 from palimpsest.functions import similarity as M
 from palimpsest.operators import drift, graphs, hotspots, moves, relational, upserts, vector
+from palimpsest.plans import catalogue
 from palimpsest.sources import parsers
 
 
@@ -234,6 +235,17 @@ def test_levels(spark, rows):
     assert rows(graphs.dag_levels(e, nodes)) == [("a", 0), ("b", 1), ("c", 2), ("z", 0)]
 
 
+def test_levels_of_all_line_items(spark, rows, tmp_path):
+    items = [(18 + i % 40, 1 + i % 5, 1 + i % 7, (i % 4) / 100, 0.02) for i in range(150)]
+    spark.createDataFrame(items, "l_partkey long, l_suppkey long, l_linenumber long, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    links = {(p, s * 17 + n) for p, s, n, _, _ in items}
+    level = {}
+    for node in sorted({x for link in links for x in link}):
+        level[node] = max((level[a] + 1 for a, b in links if b == node and a < b), default=0)
+    got = catalogue.queries()["GR-10"](spark, str(tmp_path))
+    assert rows(got, "node", "level") == sorted(level.items())
+
+
 # drift
 
 
