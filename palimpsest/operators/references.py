@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import FULL_SHA, commit_key, dna_key
 from ..session import Cut
 from ..sources.tables import commit_rows, table
-from .lookup import HOT_ROWS, HOT_SHARE, resolve_short
+from .lookup import HOT_SHARE, resolve_short, skew_lookup
 
 COMMIT, DNA = "commit", "dna"
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -69,6 +69,12 @@ class Cut:
         self.paths.append(path)
         return path, self.spark.read.schema(df.schema).parquet(path)
 
+    def put_counted(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """The written table and aggregates of its rows, taken while they are written."""
+        seen = Observation()
+        _, out = self.put(df.observe(seen, *(c.alias(name) for name, c in counts.items())))
+        return out, seen.get
+
     def drop(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

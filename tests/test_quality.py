@@ -12,7 +12,8 @@ from hypothesis import strategies as st
 
 from palimpsest.functions import keys as K
 from palimpsest.functions import zones
-from palimpsest.operators import hierarchy, history, instants, lookup, nested, references
+from palimpsest.operators import hierarchy, history, instants, lookup, nested, references, walks
+from palimpsest.session import Cut
 
 A = "a" * 40
 B = "b" * 40
@@ -48,9 +49,7 @@ def _refs(spark, data):
 @pytest.fixture
 def hot(monkeypatch):
     """Lets keys count as hot in small tables."""
-    monkeypatch.setattr(references, "HOT_ROWS", 3)
     monkeypatch.setattr(references, "HOT_SHARE", 5)
-    monkeypatch.setattr(lookup, "HOT_ROWS", 3)
     monkeypatch.setattr(lookup, "HOT_SHARE", 5)
 
 
@@ -229,25 +228,71 @@ def test_hierarchy(spark, seed, limit):
     edges = spark.createDataFrame(list(parent.items()), "node string, parent string")
     got = {r.node: r for r in hierarchy.hierarchy(edges, paths=True, max_component=limit).collect()}
     assert {x: (r.root, r.depth) for x, r in got.items()} == brute_tree(parent)
-    sizes = {}
-    for root, _ in brute_tree(parent).values():
-        sizes[root] = sizes.get(root, 0) + 1
     for x, r in got.items():
-        if r.depth < 0 or sizes[r.root] > limit:
-            assert r.pre is None
+        if r.depth < 0:
+            assert r.pre is None and r.path is None
             continue
-        below = {y for y, s in got.items() if s.root == r.root and r.pre < s.pre <= r.last}
-        assert below == {y for y, s in got.items() if s.path and f"/{x}/" in f"/{s.path}"[:-1].rsplit("/", 1)[0] + "/"} and len(below) == r.n_descendants
-        assert r.path.split("/")[-1] == x and len(r.path.split("/")) == r.depth + 1
-    loops = [x for x, r in got.items() if r.back_edge]
-    assert len(loops) == len({got[x].root for x in loops})
+        names, at = [], x
+        while at is not None:
+            names.append(at)
+            at = parent[at]
+        told, at = [], x
+        while at is not None:
+            told = got[at].path.split("/") + told
+            at = got[at].path_after
+        assert told == names[::-1] and len(r.path.split("/")) == r.depth % hierarchy.PATH_BLOCK + 1
+        below = {y for y, s in got.items() if s.root == r.root and s.depth >= 0 and r.pre < s.pre <= r.last}
+        assert len(below) == r.n_descendants and below == {y for y in got if y != x and _under(parent, y, x)}
+    loops = {}
+    for x, r in got.items():
+        if r.depth < 0:
+            loops.setdefault(r.root, []).append(x)
+    assert {x for x, r in got.items() if r.back_edge} == {next(x for x in xs if parent[x] == root and _on_ring(parent, x)) for root, xs in loops.items()}
+
+
+def _under(parent, y, x):
+    seen = set()
+    while y is not None and y not in seen:
+        if y == x:
+            return True
+        seen.add(y)
+        y = parent[y]
+    return False
+
+
+def _on_ring(parent, x):
+    y, n = parent[x], 0
+    while y != x and n <= len(parent):
+        y, n = parent[y], n + 1
+    return y == x
+
+
+def test_hierarchy_of_one_loop_at_every_limit(spark, rows):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("t", "b"), ("s", "s"), ("u", "s"), ("v", "u")], "node string, parent string")
+    for limit in (100, 1):
+        got = rows(hierarchy.hierarchy(edges, paths=True, max_component=limit), "node", "root", "depth", "back_edge")
+        assert got == [("a", "a", -1, False), ("b", "a", -1, False), ("c", "a", -1, True), ("s", "s", -1, True), ("t", "a", -1, False), ("u", "s", -1, False), ("v", "s", -1, False)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_walks_contract_to_the_ends(spark, seed):
+    rng = random.Random(seed)
+    parent = {x: p for x, p in _forest(seed, 600).items() if p is not None}
+    for k in range(12):  # loops with nothing on them
+        size = rng.randrange(1, 30)
+        parent |= {f"ring{k}_{j}": f"ring{k}_{(j + 1) % size}" for j in range(size)}
+    cut = Cut(spark, "test")
+    links = cut.put(spark.createDataFrame([(a, b, b, 1, a) for a, b in parent.items()], walks.LINK))[1]
+    got = {r.node: (r.root, r.dist) for r in walks.follow(links, len(parent), cut, spacing=3, task_links=200).collect()}
+    assert got == {x: v for x, v in brute_tree(parent | {p: None for p in parent.values() if p not in parent}).items() if x in parent}
 
 
 def test_long_chain_and_hub(spark, hot):
     parent = {f"c{i:05d}": f"c{i - 1:05d}" if i else None for i in range(700)} | {f"h{i}": "c00001" for i in range(400)}
     edges = spark.createDataFrame(list(parent.items()), "node string, parent string")
-    got = {r.node: (r.root, r.depth) for r in hierarchy.hierarchy(edges, max_component=100).collect()}
-    assert got == brute_tree(parent)
+    got = {r.node: (r.root, r.depth, r.pre, r.n_descendants) for r in hierarchy.hierarchy(edges, max_component=100).collect()}
+    want = {r.node: (r.root, r.depth, r.pre, r.n_descendants) for r in hierarchy.hierarchy(edges).collect()}
+    assert got == want and {x: v[:2] for x, v in got.items()} == brute_tree(parent)
 
 
 def test_links_of_raw_rows(spark, rows):
