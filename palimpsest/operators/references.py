@@ -3,8 +3,9 @@
 A reference is ``(table_name, load_batch, row_key, kind, ref)``; a target is
 ``(kind, key, load_batch)``; a purge is ``(kind, key, purged_batch)``.  The
 orphan search never joins row by row: references are first added up per key
-and period, hot keys are checked by a broadcast of bounded size, the remaining
-keys by a shuffled anti-join, and both orphan sets are united.
+and period, hot keys are marked once and checked by a broadcast of bounded
+size, the remaining keys by a shuffled anti-join, and both orphan sets are
+united.
 """
 
 from __future__ import annotations
@@ -34,34 +35,42 @@ def surviving_keys(targets: DataFrame, purges: DataFrame) -> DataFrame:
     return joined.where("purged IS NULL OR last > purged").select("kind", "key")
 
 
-def orphan_counts(refs: DataFrame, alive: DataFrame, n_refs: int) -> DataFrame:
-    """Orphaned references per table, period and key: ``n`` and ``hot``.
+def mark_hot(refs: DataFrame, n_refs: int) -> DataFrame:
+    """The references with ``hot``: whether their key holds more than 1/HOT_SHARE of all ``n_refs``.
+
+    References are added up per key first; fewer than HOT_SHARE keys can be
+    hot, and they reach the references by broadcast.
+    """
+    at = ["kind", "key"]
+    counts = refs.where("key IS NOT NULL").groupBy(*at).agg(F.count(F.lit(1)).alias("_all"))
+    hot = counts.where(F.col("_all") > n_refs / HOT_SHARE).select(*at, F.lit(True).alias("hot"))
+    return refs.join(F.broadcast(hot), at, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def orphan_counts(marked: DataFrame, alive: DataFrame) -> DataFrame:
+    """Orphaned references per table, period and key: ``n`` and ``hot``, of references that ``mark_hot`` has marked.
 
-    ``n_refs`` sets what counts as hot: a key with more than 1/HOT_SHARE of all
-    references, so that the broadcast holds fewer than HOT_SHARE keys.
     References to nothing (null key) are no orphans.  Copies of a record count
     once each here; distinct records are what ``orphan_records`` gives.
     """
-    per = refs.where("key IS NOT NULL").groupBy("table_name", "load_batch", "kind", "key")
-    per = per.agg(F.count(F.lit(1)).alias("n"))
-    if n_refs <= HOT_ROWS:  # no key can be hot
-        return per.join(alive, ["kind", "key"], "left_anti").withColumn("hot", F.lit(False))
-    total = per.groupBy("kind", "key").agg(F.sum("n").alias("_all"))
-    hot = total.where(F.col("_all") > max(HOT_ROWS, n_refs // HOT_SHARE)).select("kind", "key")
-    hot = F.broadcast(hot.withColumn("hot", F.lit(True)))
-    marked = per.join(hot, ["kind", "key"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    hot_alive = F.broadcast(alive.join(hot, ["kind", "key"], "left_semi"))
-    heavy = marked.where("hot").join(hot_alive, ["kind", "key"], "left_anti")
-    light = marked.where("NOT hot").join(alive, ["kind", "key"], "left_anti")
-    return light.unionByName(heavy)
-
-
-def orphan_records(refs: DataFrame, counts: DataFrame) -> DataFrame:
-    """The referring records of the orphan keys: table_name, load_batch, row_key; copies of a record once."""
     at = ["kind", "key"]
-    real = refs.where("key IS NOT NULL")
-    light = real.join(counts.where("NOT hot").select(*at).distinct(), at, "left_semi")
-    heavy = real.join(F.broadcast(counts.where("hot").select(*at).distinct()), at, "left_semi")
+    per = marked.where("key IS NOT NULL").groupBy("table_name", "load_batch", *at, "hot").agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(marked.where("hot").select(*at).distinct())  # fewer than HOT_SHARE keys
+    heavy = per.where("hot").join(F.broadcast(alive.join(hot, at, "left_semi")), at, "left_anti")
+    light = per.where("NOT hot").join(alive, at, "left_anti")
+    return light.unionByName(heavy).select("table_name", "load_batch", *at, "n", "hot")
+
+
+def orphan_records(marked: DataFrame, counts: DataFrame) -> DataFrame:
+    """The referring records of the orphan keys: table_name, load_batch, row_key; copies of a record once.
+
+    Records of hot keys are taken out before the shuffle and meet their keys by
+    broadcast.
+    """
+    at = ["kind", "key"]
+    real = marked.where("key IS NOT NULL")
+    light = real.where("NOT hot").join(counts.where("NOT hot").select(*at).distinct(), at, "left_semi")
+    heavy = real.where("hot").join(F.broadcast(counts.where("hot").select(*at).distinct()), at, "left_semi")
     return light.unionByName(heavy).select("table_name", "load_batch", "row_key").distinct()
 
 
@@ -86,9 +95,8 @@ def history_references(spark: SparkSession, where: str) -> tuple[DataFrame, Data
     shas = commits.select(commit_key(F.col("sha")).alias("sha")).where("sha IS NOT NULL").distinct()
     full = resolve_short(to_commits, shas)
     is_short = F.length("ref") < FULL_SHA
-    to_commits = to_commits.where(is_short).join(full, "ref", "left").withColumn("key", F.coalesce("full", "ref")).drop("full").unionByName(
-        to_commits.where(~is_short).withColumn("key", F.col("ref"))
-    )
+    short = skew_lookup(to_commits.where(is_short), "ref", full, commits.count() + table(spark, where, "files").count())
+    to_commits = short.withColumn("key", F.coalesce("full", "ref")).drop("full").unionByName(to_commits.where(~is_short).withColumn("key", F.col("ref")))
     every = reduce(DataFrame.unionByName, [d.withColumn("key", F.col("ref")) for d in to_dna], to_commits).where("key IS NOT NULL")
 
     targets = commits.select(F.lit(COMMIT).alias("kind"), commit_key(F.col("sha")).alias("key"), "load_batch").unionByName(
@@ -100,15 +108,15 @@ def history_references(spark: SparkSession, where: str) -> tuple[DataFrame, Data
 
 
 def history_orphans(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
-    """(references, orphan counts) of the change-history tables.
+    """(marked references, orphan counts) of the change-history tables.
 
-    Each is written once in the shared folder: both are read several times, by
-    the hot and the remaining keys.
+    Each is written once in the shared folder, as both are read several times.
     """
     cut = Cut(spark, "orphans")
     refs, alive = history_references(spark, where)
-    refs, alive = cut.put(refs)[1], cut.put(alive)[1]
-    return refs, cut.put(orphan_counts(refs, alive, refs.count()))[1]
+    refs, counts = cut.put_counted(refs, all=F.count(F.lit(1)))
+    marked, alive = cut.put(mark_hot(refs, counts["all"]))[1], cut.put(alive)[1]
+    return marked, cut.put(orphan_counts(marked, alive))[1]
 
 
 def p1_found(spark: SparkSession, where: str) -> DataFrame:

@@ -65,16 +65,29 @@ def test_orphans_hot_and_light_agree(spark, rows, hot):
     data += data[:5]
     refs = _refs(spark, data)
     alive = spark.createDataFrame([("dna", "here"), ("commit", "hot")], "kind string, key string")
-    counts = references.orphan_counts(refs, alive, refs.count())
+    marked = references.mark_hot(refs, refs.count())
+    assert "hot" in {r.key for r in marked.where("hot").collect()}
+    counts = references.orphan_counts(marked, alive)
     assert {r.hot for r in counts.collect()} == {True, False}
-    got = rows(references.orphan_records(refs, counts))
+    got = rows(references.orphan_records(marked, counts))
     assert got == sorted({(a, b, c) for a, b, c, _, k in data if k in ("hot", "gone", "also")})
     assert sum(r.n for r in counts.collect()) == sum(1 for r in data if r[4] in ("hot", "gone", "also"))
 
 
+def test_no_task_holds_a_hot_key(spark, hot):
+    """With half of the rows under one key, the shuffle of the other keys carries none of its rows."""
+    data = [("t", i % 3, str(i), "dna", "hot" if i % 2 == 0 else f"k{i}") for i in range(400)]
+    marked = references.mark_hot(_refs(spark, data), 400)
+    by = {r.hot: r.n for r in marked.groupBy("hot").count().withColumnRenamed("count", "n").collect()}
+    assert by == {True: 200, False: 200}
+    light = marked.where("NOT hot").repartition(4, "kind", "key").rdd.glom().map(len).collect()
+    assert max(light) <= 2 * sorted(light)[len(light) // 2]
+
+
 def test_orphans_empty(spark):
     refs, alive = _refs(spark, []), spark.createDataFrame([], "kind string, key string")
-    assert references.orphan_records(refs, references.orphan_counts(refs, alive, 0)).count() == 0
+    marked = references.mark_hot(refs, 0)
+    assert references.orphan_records(marked, references.orphan_counts(marked, alive)).count() == 0
 
 
 def test_short_references(spark, rows):
