@@ -2,17 +2,20 @@
 
 Learning.  Documents are cut into windows of a few tokens.  A window's skeleton
 is its text stripped of non-ASCII characters (a mark where a run was), its
-filling the runs.  A garbled window and a clean near-twin share the skeleton,
-so their runs are aligned one to one.  A transformation (bytes of one encoding
-read as another) is learned where it turns windows of the corpus exactly into
-more frequent windows of the same skeleton.  Characters lost to U+FFFD are
-learned where all other characters of the aligned runs agree.
-
-Applying.  The learned transformations are applied to every record: sequences
-that decode to characters of the corpus are repaired, again and again while
-anything changes (text may be garbled twice).  A transformation between
-single-byte encodings, which turns any text into some text, is applied where
-the corpus's own character pairs prefer the repaired word.
+filling the runs.  Windows of one skeleton are near-twins; the filling that most
+of them have is the clean one, and every other filling is aligned with it run
+by run and character by character.  Where a run has as many characters as its
+clean twin has UTF-8 bytes, each character stands for one byte; where it has as
+many characters, each stands for one character.  What the alignments agree on
+is a mapping; alignments that contradict it teach the next one.  No encoding is
+known beforehand.  Characters lost to U+FFFD are learned where all other
+characters of the aligned runs agree.
+
+Applying.  The learned mappings are applied to every record: sequences that
+decode to characters of the corpus are repaired, again and again while anything
+changes (text may be garbled twice).  A mapping of single characters, which
+turns any text into some text, is applied where the corpus's own character
+pairs prefer the repaired word.
 """
 
 from __future__ import annotations
@@ -22,27 +25,22 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lookup import skew_lookup
 from ..session import Cut
 from ..sources.tables import table
 
-# Encodings that UTF-8 bytes are wrongly read as.
-READ_AS = ["cp1252", "latin-1", "cp1250", "iso8859_2", "cp1254", "iso8859_15", "cp1257", "mac_roman", "cp437", "cp850", "cp852", "cp1251", "cp866", "koi8_r", "cp1253", "iso8859_5", "mac_cyrillic"]
-# Single-byte encodings confused with each other, (read as, written in).
-CONFUSED = [
-    ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1251", "iso8859_5"), ("iso8859_5", "cp1251"),
-    ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1252", "cp866"), ("cp1252", "cp1250"), ("cp1250", "cp1252"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"),
-    ("cp1252", "cp437"), ("cp437", "cp1252"), ("cp1252", "cp850"), ("cp850", "cp1252"), ("cp1252", "cp1253"),
-]
-HYPOTHESES = [(a, "utf-8") for a in READ_AS] + CONFUSED
 LOST = "�"
 
-#: Twin pairs that a transformation needs, and how much more often than its garbled ones its clean windows must occur.
+#: Garbled windows in documents that the first piece of a mapping needs, and how much more often than its garbled ones its clean windows must occur.
 MIN_TWINS, CLEANER = 2, 2
+#: Characters that a mapping of single characters must cover; fewer are variants in spelling, not another encoding.
+MIN_LETTERS = 8
 #: Documents of the corpus that must hold a character for it to count as one that texts are written in.
 MIN_DOCUMENTS = 3
 #: ASCII letters that make a skeleton telling by itself, and non-ASCII characters that a window without them needs.
@@ -52,6 +50,9 @@ WORD_GAIN, TEXT_GAIN = 4.0, 12.0
 #: Characters from here on (symbols, CJK) have no part in the model of character pairs, so its size is bounded.
 PAIR_LIMIT = 0x2600
 
+#: Marks that close a quotation, a name or a clause.
+CLOSING = "”’…™–—»®"
+
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _LETTER = re.compile(r"[A-Za-z]")
 #: Controls that stand for bytes which common encodings leave undefined; text garbled twice passes through them.
@@ -59,50 +60,52 @@ _PASSING = set("\x81\x8d\x8f\x90\x9d")
 _MARK, _JOIN, _EXACT = "\x00", "\x01", "\x02"
 
 
-@functools.cache
-def reader(encoding: str) -> dict[str, int]:
-    """Character -> byte from 128; bytes that the encoding leaves undefined are read as the control of that number."""
-    found: dict[str, int] = {}
-    for b in range(128, 256):
-        try:
-            c = bytes([b]).decode(encoding)
-        except UnicodeDecodeError:
-            c = chr(b)
-        found.setdefault(c, b)
-    return found
+@dataclass(frozen=True)
+class Mapping:
+    """A learned mapping: of characters to the bytes of UTF-8 text (``bytes``), or to characters."""
 
+    bytes: dict[str, int]
+    letters: dict[str, str]
 
-def undo(text: str, hypothesis: tuple[str, str]) -> str | None:
-    """The text whose bytes in the second encoding read as ``text`` in the first; None if there is none. ASCII stays."""
-    back, table_ = [], reader(hypothesis[0])
-    for c in text:
-        b = ord(c) if c < "\x80" else table_.get(c, -1)
-        if b < 0:
-            return None
-        back.append(b)
-    try:
-        return bytes(back).decode(hypothesis[1])
-    except UnicodeDecodeError:
-        return None
+    @functools.cached_property
+    def pattern(self) -> re.Pattern | None:
+        """Sequences of characters whose bytes make up one UTF-8 character."""
 
+        def some(a: int, b: int) -> str:
+            found = "".join(re.escape(c) for c, x in self.bytes.items() if a <= x <= b)
+            return f"[{found}]" if found else "(?!)"
 
-@functools.cache
-def sequences(encoding: str) -> re.Pattern:
-    """UTF-8 sequences as they look when read in the encoding."""
-    by_byte: dict[int, str] = {b: c for c, b in reader(encoding).items()}
+        tail = some(0x80, 0xBF)
+        return re.compile(f"{some(0xC2, 0xDF)}{tail}|{some(0xE0, 0xEF)}{tail}{{2}}|{some(0xF0, 0xF4)}{tail}{{3}}")
 
-    def some(a: int, b: int) -> str:
-        return "[" + "".join(re.escape(by_byte[x]) for x in range(a, b + 1) if x in by_byte) + "]"
+    @functools.cached_property
+    def ends(self) -> tuple[frozenset, frozenset]:
+        """Characters that begin such sequences, and those that go on with one."""
+        return frozenset(c for c, b in self.bytes.items() if b >= 0xC2), frozenset(c for c, b in self.bytes.items() if b <= 0xBF)
 
-    tail = some(0x80, 0xBF)
-    return re.compile(f"{some(0xC2, 0xDF)}{tail}|{some(0xE0, 0xEF)}{tail}{{2}}|{some(0xF0, 0xF4)}{tail}{{3}}")
+    @functools.cached_property
+    def _chars(self) -> dict[int, str]:
+        return {b: c for c, b in reversed(self.bytes.items())}  # the first learned of a byte's characters
 
+    def garble(self, text: str) -> str | None:
+        """What the mapping would make of a text; None if a byte's character is unknown. ASCII stays."""
+        chars = [chr(b) if b < 128 else self._chars.get(b) for b in text.encode("utf-8", "replace")]
+        return None if None in chars else "".join(chars)
 
-@functools.cache
-def _ends(encoding: str) -> tuple[frozenset, frozenset]:
-    """Characters that begin UTF-8 sequences read in the encoding, and those that go on with one."""
-    table_ = reader(encoding).items()
-    return frozenset(c for c, b in table_ if 0xC2 <= b <= 0xF4), frozenset(c for c, b in table_ if b <= 0xBF)
+    def goes_with(self, pieces: set[tuple[str, str]]) -> bool:
+        """Whether aligned pieces of bytes share an entry with the mapping and contradict none."""
+        said = [(x, y) for g, c in pieces for x, y in zip(g, c.encode("utf-8", "replace"))]
+        return any(self.bytes.get(x) == y >= 0xC2 for x, y in said) and all(self.bytes.get(x, y) == y and (y < 0xC2 or self._chars.get(y, x) == x) for x, y in said)
+
+    def undo(self, text: str) -> str | None:
+        """What the text was; None if some of its characters are not mapped, or no text. ASCII stays."""
+        if self.letters:
+            return "".join(self.letters[c] for c in text) if all(c in self.letters for c in text) else None
+        back = [ord(c) if c < "\x80" else self.bytes.get(c, -1) for c in text]
+        try:
+            return bytes(back).decode()
+        except ValueError:  # a character without byte, or bytes that are no UTF-8
+            return None
 
 
 def windows(text: str) -> set[tuple[str, str]]:
@@ -128,50 +131,148 @@ def windows(text: str) -> set[tuple[str, str]]:
     return found
 
 
-def _windows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def non_ascii(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND octet_length(text) <> length(text)")
+
+
+def _read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Windows of documents, and after them the characters of the documents (in how many) and the pairs of non-ASCII characters (how often)."""
+    columns = ["doc_id", "skeleton", "filling", "n"]
+    seen: Counter = Counter()
     for pdf in it:
         for at in range(0, len(pdf), 200):
-            part = pdf.iloc[at : at + 200]
-            rows = [(d, s, f) for d, t in zip(part["doc_id"], part["text"]) for s, f in windows(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "skeleton", "filling"])
+            part, rows = pdf.iloc[at : at + 200], []
+            for d, text in zip(part["doc_id"], part["text"]):
+                rows.extend((d, s, f, 1) for s, f in windows(text))
+                runs = _RUN.findall(text)
+                seen.update(set("".join(runs)))
+                for run in runs:
+                    seen.update(a + b for a, b in zip(run, run[1:]) if ord(a) < PAIR_LIMIT and ord(b) < PAIR_LIMIT)
+            yield pd.DataFrame(rows, columns=columns)
+    yield pd.DataFrame([(-1, None, what, n) for what, n in seen.items()], columns=columns)
 
 
-def _repairs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What each transformation would make of a distinct filling, run by run."""
-    for pdf in it:
-        rows = []
-        for skeleton, filling, n in zip(pdf["skeleton"], pdf["filling"], pdf["n"]):
-            exact = skeleton.startswith(_EXACT)
-            for k, h in enumerate(HYPOTHESES):
-                if (h[1] == "utf-8") == exact:  # lengths hold only between single-byte encodings
-                    continue
-                fixed = undo(filling, h)
-                if fixed is not None and fixed != filling:
-                    rows.append((k, skeleton, filling, fixed, n))
-        yield pd.DataFrame(rows, columns=["h", "skeleton", "garbled", "filling", "n_garbled"])
+def read(documents: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
+    """(windows per document, counts of characters and character pairs) in one pass over the texts, written once."""
+    every = cut.put(non_ascii(documents).mapInPandas(_read, "doc_id long, skeleton string, filling string, n long"))[1]
+    counts = every.where("skeleton IS NULL").groupBy(F.col("filling").alias("what")).agg(F.sum("n").alias("n"))
+    return every.where("skeleton IS NOT NULL").select("doc_id", "skeleton", "filling"), counts
 
 
-def non_ascii(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND octet_length(text) <> length(text)")
+def align(garbled: str, clean: str) -> tuple[bool, set[tuple[str, str]]] | None:
+    """Which pieces of a garbled filling stand for which of its clean one: (whether for UTF-8 characters, pairs of pieces).
+
+    A piece of UTF-8 is what one clean character became, or two that follow each
+    other in the filling; a piece of single characters is a pair of neighbours.
+    None if the runs do not correspond,
+    both kinds are mixed, or a character would stand for two things.
+    """
+    old, new = garbled.split(_JOIN), clean.split(_JOIN)
+    if len(old) != len(new):
+        return None
+    kinds, pieces, one, back, last = set(), set(), {}, {}, None
+    for g, c in zip(old, new):
+        if g == c:
+            continue
+        raw = c.encode("utf-8", "replace")
+        if len(g) == len(raw):
+            kinds.add(True)
+            said, at = zip(g, raw), 0
+            for x in c:
+                piece = g[at : (at := at + len(x.encode("utf-8", "replace")))]
+                pieces.add((piece, x))
+                if last is not None and last[1] != x:
+                    pieces.add((last[0] + piece, last[1] + x))
+                last = piece, x
+        elif len(g) == len(c):
+            kinds.add(False)
+            said = zip(g, c)
+            pieces.update((g[i : i + 2], c[i : i + 2]) for i in range(max(1, len(g) - 1)))
+        else:
+            return None
+        for x, y in said:
+            if one.setdefault(x, y) != y or back.setdefault(y, x) != x:
+                return None
+    return (kinds.pop(), pieces) if len(kinds) == 1 else None
 
 
-def twins(documents: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
-    """(windows per document, aligned twins per transformation: h, skeleton, garbled, filling, n_garbled, n)."""
-    every = cut.put(non_ascii(documents).mapInPandas(_windows, "doc_id long, skeleton string, filling string"))[1]
-    variants = cut.put(every.groupBy("skeleton", "filling").agg(F.count(F.lit(1)).alias("n")))[1]
-    fixed = variants.where(F.col("filling").contains(LOST) == False).mapInPandas(_repairs, "h int, skeleton string, garbled string, filling string, n_garbled long")  # noqa: E712
-    aligned = cut.put(fixed.join(variants, ["skeleton", "filling"]))[1]
-    # a twin that is itself garbled UTF-8 teaches nothing
-    utf8 = [k for k, h in enumerate(HYPOTHESES) if h[1] == "utf-8"]
-    garbled = aligned.where(F.col("h").isin(utf8) & (F.col("n") > F.col("n_garbled"))).select(F.col("garbled").alias("filling")).distinct()
-    return every, aligned.join(garbled, "filling", "left_anti")
+def _aligner(mappings: list[Mapping]):
+    """Aligns fillings with their clean ones; given mappings, also text garbled twice, through what a mapping makes of the clean one.
 
+    Single characters are compared only then, as a clean filling that a mapping
+    of bytes finds garbled teaches nothing.
+    """
+
+    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for garbled, clean, n in zip(pdf["garbled"], pdf["clean"], pdf["n"]):
+                found = align(garbled, clean)
+                if mappings and not found:
+                    found = next((f for m in mappings if (once := m.garble(clean)) and (f := align(garbled, once)) and f[0] and m.goes_with(f[1])), None)
+                if found and (found[0] or mappings and not any(m.pattern.search(clean) for m in mappings)):
+                    out.extend((found[0], g, c, n) for g, c in found[1])
+            yield pd.DataFrame(out, columns=["is_bytes", "garbled", "clean", "n"])
+
+    return rows
 
-def accepted(aligned: DataFrame) -> list[tuple[str, str]]:
-    """The learned transformations; there are no more than HYPOTHESES."""
-    support = aligned.groupBy("h").agg(F.countDistinct("garbled", "filling").alias("twins"), F.sum("n").alias("clean"), F.sum("n_garbled").alias("garbled"))
-    support = support.where((F.col("twins") >= MIN_TWINS) & (F.col("clean") >= CLEANER * F.col("garbled")))
-    return [HYPOTHESES[r.h] for r in support.orderBy(F.col("twins").desc(), "h").collect()]
+
+def twins(every: DataFrame, cut: Cut) -> DataFrame:
+    """Windows beside the clean near-twin of their skeleton: skeleton, garbled, clean, and in how many documents (n).
+
+    A skeleton has one clean filling, the one in most documents, so there is
+    one row per other filling and never all pairs; a skeleton of very many
+    fillings meets its clean one by broadcast.
+    """
+    variants, counts = cut.put_counted(every.groupBy("skeleton", "filling").agg(F.count(F.lit(1)).alias("n")), all=F.count(F.lit(1)))
+    clean = variants.where(~F.col("filling").contains(LOST)).groupBy("skeleton").agg(F.max(F.struct("n", "filling")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    clean = clean.select("skeleton", F.col("c.filling").alias("clean"), F.col("c.n").alias("n_clean"))
+    met = skew_lookup(variants.withColumnRenamed("filling", "garbled"), "skeleton", clean, counts["all"])
+    met = met.where((F.col("garbled") != F.col("clean")) & ~F.col("garbled").contains(LOST) & (F.col("n_clean") >= CLEANER * F.col("n")))
+    return cut.put(met.select("skeleton", "garbled", "clean", "n"))[1]
+
+
+def learn(met: DataFrame) -> list[Mapping]:
+    """The mappings of aligned twins: of text garbled once, and with these of text garbled again and of single characters."""
+    once = agree(_pieces(met, []), True)
+    every = _pieces(met, once or [Mapping({}, {})])
+    return agree(every, True) + agree(every, False)
+
+
+def _pieces(met: DataFrame, mappings: list[Mapping]) -> list:
+    """Aligned pieces and how often documents have them; no more than pairs of characters or of neighbours that texts have."""
+    return met.mapInPandas(_aligner(mappings), "is_bytes boolean, garbled string, clean string, n long").groupBy("is_bytes", "garbled", "clean").agg(F.sum("n").alias("n")).collect()
+
+
+def agree(pieces: list, is_bytes: bool) -> list[Mapping]:
+    """The mappings that aligned pieces agree on, the best supported first.
+
+    A mapping grows from the piece that is most frequent: pieces that share an
+    entry with it (of bytes: one that begins a sequence) and contradict none add
+    theirs, the better supported first.  A character stands for one thing, and
+    one character for a letter or for a byte that begins a sequence: there the
+    pieces of another encoding contradict.  What a mapping explains starts no
+    further one.
+    """
+
+    def entries(r) -> list[tuple]:
+        return list(zip(r.garbled, r.clean.encode("utf-8", "replace") if is_bytes else r.clean))
+
+    every = sorted(((entries(r), r.n) for r in pieces if r.is_bytes == is_bytes), key=lambda p: (-p[1], p[0]))
+    left, found = every, []
+    while left and left[0][1] >= MIN_TWINS:
+        table, back, before = dict(left[0][0]), {y: x for x, y in reversed(left[0][0])}, 0
+        while len(table) > before:
+            before = len(table)
+            for piece, _ in every:
+                if any(table.get(x) == y and (not is_bytes or y >= 0xC2) for x, y in piece) and all(table.get(x, y) == y and (is_bytes and y < 0xC2 or back.get(y, x) == x) for x, y in piece):
+                    for x, y in piece:
+                        table[x] = y
+                        back.setdefault(y, x)
+        if is_bytes or sum(x != y for x, y in table.items()) >= MIN_LETTERS:
+            found.append(Mapping(table, {}) if is_bytes else Mapping({}, table))
+        left = [(piece, n) for piece, n in left if any(table.get(x) != y for x, y in piece)]
+    return found
 
 
 def lost_twins(every: DataFrame) -> DataFrame:
@@ -181,77 +282,66 @@ def lost_twins(every: DataFrame) -> DataFrame:
     is formed.  Kept are twins whose other characters agree.
     """
     lengths = F.array_join(F.transform(F.split("filling", _JOIN), lambda r: F.length(r).cast("string")), ",")
-    sized = every.withColumn("lengths", lengths)
+    sized = every.withColumn("at", F.concat_ws("\x03", lengths, "skeleton"))
     broken = sized.where(F.col("filling").contains(LOST)).withColumnRenamed("filling", "garbled")
-    clean = sized.where(~F.col("filling").contains(LOST)).groupBy("skeleton", "lengths", "filling").agg(F.count(F.lit(1)).alias("n"))
-    clean = clean.groupBy("skeleton", "lengths").agg(F.max_by("filling", F.struct("n", "filling")).alias("filling"))
-    met = broken.join(clean, ["skeleton", "lengths"])
+    clean = sized.where(~F.col("filling").contains(LOST)).groupBy("at", "filling").agg(F.count(F.lit(1)).alias("n"))
+    clean = clean.groupBy("at").agg(F.max_by("filling", F.struct("n", "filling")).alias("filling"))
+    met = skew_lookup(broken, "at", clean, every.count()).where("filling IS NOT NULL")
     agree = F.expr(f"forall(sequence(1, length(garbled)), i -> substring(garbled, i, 1) IN ('{LOST}', substring(filling, i, 1)))")
-    return met.where(agree).drop("lengths")
+    return met.where(agree).drop("at")
 
 
-def statistics(documents: DataFrame) -> tuple[set[str], dict[str, int]]:
+def statistics(counts: DataFrame) -> tuple[set[str], dict[str, int]]:
     """Characters that the corpus is written in, and counts of its pairs of non-ASCII characters.
 
     Both come from all documents and are bounded by the character set: at most
     one row per character, and pairs only below PAIR_LIMIT.
     """
-
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for pdf in it:
-            for text in pdf["text"]:
-                runs = _RUN.findall(text)
-                seen.update(set("".join(runs)))
-                for run in runs:
-                    seen.update(a + b for a, b in zip(run, run[1:]) if ord(a) < PAIR_LIMIT and ord(b) < PAIR_LIMIT)
-        yield pd.DataFrame(list(seen.items()), columns=["what", "n"])
-
-    rows = non_ascii(documents).mapInPandas(count, "what string, n long").groupBy("what").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCUMENTS).collect()
+    rows = counts.where(F.col("n") >= MIN_DOCUMENTS).collect()
     written = {r.what for r in rows if len(r.what) == 1 and r.what != LOST and not "\x7f" <= r.what <= "\x9f" and not 0xE000 <= ord(r.what) <= 0xF8FF}
     return written, {r.what: r.n for r in rows if len(r.what) == 2}
 
 
 class Repairer:
-    """Applies learned transformations to whole texts."""
+    """Applies learned mappings to whole texts."""
 
-    def __init__(self, learned: list[tuple[str, str]], written: set[str], pairs: dict[str, int]):
-        self.utf8 = [h for h in learned if h[1] == "utf-8"]
-        self.single = [h for h in learned if h[1] != "utf-8"]
+    def __init__(self, learned: list[Mapping], written: set[str], pairs: dict[str, int]):
+        self.utf8 = [m for m in learned if m.bytes]
+        self.single = [m for m in learned if m.letters]
         self.written, self.pairs = written, pairs
         self.total = math.log(sum(pairs.values()) + 1.0)
 
-    def _decodes(self, sequence: str, h: tuple[str, str]) -> str | None:
-        fixed = undo(sequence, h)
+    def _decodes(self, sequence: str, m: Mapping) -> str | None:
+        fixed = m.undo(sequence)
         return fixed if fixed is not None and all(c in self.written or c in _PASSING for c in fixed) else None
 
-    def _multi(self, text: str, h: tuple[str, str]) -> tuple[str, int]:
-        hits: list[tuple[str, str]] = []
+    def _multi(self, text: str, m: Mapping) -> tuple[str, int]:
+        hits: list[tuple[str, str, str]] = []
 
-        def put(m: re.Match) -> str:
-            fixed = self._decodes(m.group(), h)
+        def put(found: re.Match) -> str:
+            fixed = self._decodes(found.group(), m)
             if fixed is None:
-                return m.group()
-            hits.append((text[max(0, m.start() - 1) : m.start()], m.group()))
+                return found.group()
+            hits.append((text[max(0, found.start() - 1) : found.start()], found.group(), text[found.end() : found.end() + 1]))
             return fixed
 
-        out = sequences(h[0]).sub(put, text)
-        if len(hits) == 1:  # a capital before a closing mark, as in a quoted word, is no garbling by itself
-            before, hit = hits[0]
-            if "A" <= before <= "Z" and hit[-1] in "”’…™–—»®":
+        out = m.pattern.sub(put, text)
+        if len(hits) == 1:  # capitals before a closing mark at a word's end, as in a quoted word, are no garbling by themselves
+            before, hit, after = hits[0]
+            if "A" <= before <= "Z" and hit[-1] in CLOSING and not after.isalnum():
                 return text, 0
         return out, len(hits)
 
     def _worth(self, word: str) -> float:
         return sum(math.log(self.pairs.get(a + b, 0) + 0.1) - self.total for a, b in zip(word, word[1:]))
 
-    def _words(self, text: str, h: tuple[str, str]) -> tuple[str, int]:
+    def _words(self, text: str, m: Mapping) -> tuple[str, int]:
         gain, n = 0.0, 0
 
-        def put(m: re.Match) -> str:
+        def put(found: re.Match) -> str:
             nonlocal gain, n
-            word = m.group()
-            if len(word) < 3 or (fixed := undo(word, h)) is None or len(fixed) != len(word):
+            word = found.group()
+            if len(word) < 3 or (fixed := m.undo(word)) is None:
                 return word
             more = self._worth(fixed) - self._worth(word)
             if more < WORD_GAIN:
@@ -264,16 +354,17 @@ class Repairer:
         if gain < TEXT_GAIN:
             return text, 0
         # short words beside repaired ones follow them where that is no worse
-        return _RUN.sub(lambda m: f if (f := undo(m.group(), h)) is not None and len(f) == len(m.group()) and self._worth(f) >= self._worth(m.group()) else m.group(), text) if n else out, n
+        return _RUN.sub(lambda x: f if (f := m.undo(x.group())) is not None and self._worth(f) >= self._worth(x.group()) else x.group(), text) if n else out, n
 
     def repair(self, text: str) -> tuple[str, int]:
         """(repaired text, number of garbled sequences found)."""
         found = 0
-        for _ in range(6):  # each round undoes one decoding of the whole text
+        met = {text}
+        while True:  # each round undoes one decoding of the whole text
             best, most = text, 0
             there = set(text)
             for h in self.utf8:
-                first, more = _ends(h[0])
+                first, more = h.ends
                 if there.isdisjoint(first) or there.isdisjoint(more):
                     continue
                 out, n = self._multi(text, h)
@@ -284,10 +375,10 @@ class Repairer:
                     out, n = self._words(text, h)
                     if n > most:
                         best, most = out, n
-            if not most:
-                break
+            if not most or best in met:  # mappings of single characters could turn in a circle
+                return text, found
+            met.add(best)
             text, found = best, found + most
-        return text, found
 
 
 def _restore_lost(text: str, pairs: list) -> str:
@@ -311,12 +402,12 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     corpus nothing is learned and nothing found.  Copies are judged alike.
     """
     cut = Cut(documents.sparkSession, "mojibake")
-    every, aligned = twins(documents, cut)
-    learned = accepted(aligned)
-    lost = lost_twins(every)
+    every, counts = read(documents, cut)
+    learned = learn(twins(every, cut))
+    lost = cut.put(lost_twins(every))[1]
     lossy = lost.select("garbled", "filling").distinct().limit(MIN_TWINS).count() >= MIN_TWINS
-    written, pairs = statistics(documents)
-    shared = documents.sparkSession.sparkContext.broadcast((learned, written, pairs if any(h[1] != "utf-8" for h in learned) else {}))
+    written, pairs = statistics(counts)
+    shared = documents.sparkSession.sparkContext.broadcast((learned, written, pairs if any(m.letters for m in learned) else {}))
 
     def judge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repairer = Repairer(*shared.value)
@@ -351,11 +442,8 @@ def p9_restored(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p9_mappings(spark: SparkSession, where: str) -> DataFrame:
-    """The learned mappings: each aligned garbled and clean run, by transformation, with the documents that support it."""
+    """The learned mappings: what each garbled character stands for, a byte of UTF-8 text or a character, by mapping."""
     cut = Cut(spark, "mojibake")
-    aligned = twins(table(spark, where, "documents"), cut)[1]
-    names = spark.createDataFrame([(k, *h) for k, h in enumerate(HYPOTHESES) if h in accepted(aligned)], "h int, read_as string, written_in string")
-    runs = F.arrays_zip(F.split("garbled", _JOIN).alias("garbled_run"), F.split("filling", _JOIN).alias("clean_run"))
-    out = aligned.join(F.broadcast(names), "h").select("read_as", "written_in", F.explode(runs).alias("r"), "n_garbled")
-    out = out.select("read_as", "written_in", F.col("r.garbled_run").alias("garbled_run"), F.col("r.clean_run").alias("clean_run"), "n_garbled")
-    return out.where("garbled_run <> clean_run").groupBy("read_as", "written_in", "garbled_run", "clean_run").agg(F.sum("n_garbled").alias("support"))
+    learned = learn(twins(read(table(spark, where, "documents"), cut)[0], cut))
+    rows = [(k, x, f"{y:02x}" if m.bytes else y, bool(m.bytes)) for k, m in enumerate(learned) for x, y in (m.bytes or m.letters).items()]
+    return spark.createDataFrame(rows, "mapping int, garbled string, stands_for string, is_byte boolean")
