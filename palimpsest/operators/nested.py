@@ -1,16 +1,11 @@
 """Nested JSON records as flat, linked tables.
 
-Every object of a value becomes one row with its path, its nearest enclosing
-object and the state that a bottom-up tree automaton gives to its shape.  The
-automaton's states are the scalar kinds, ``[kinds]`` for an array of such
-elements, ``{}`` for an object seen from its parent, and for the object itself
-its sorted ``key:state`` list; a shape of any depth thus needs finitely many
-states.  The state of the whole subtree, in which the children's states enter
-hashed, stands beside it.  Rows of one role are the variants of one supertype.
-The role is the last object key on the path, but the keys of a map are no
-roles: its values have the role of the map.  The variants' common keys are the
-supertype's columns, and each variant is routed to a table with the columns
-that the role's values have.
+A bottom-up tree automaton gives every object of a value the state of its whole
+subtree (``Automaton``), and the state routes the object to the table of its
+variant, with its path and its nearest enclosing object.  Objects of one role
+are the variants of one supertype.  The role is the last object key on the
+path, but the keys of a map are no roles: its values have the role of the map.
+The keys that all variants of a role share are the supertype's.
 """
 
 from __future__ import annotations
@@ -28,9 +23,10 @@ from ..functions.keys import commit_key
 from ..session import Cut
 from ..sources.tables import table
 
-NODE = "source_field string, record_key string, node_path string, parent_path string"
-NODE_FULL = NODE + ", role string, variant string, body string"
-CELL = NODE + ", role string, variant string, state string, field string, at string, type string, value string"
+NODE = "source_field string, record_key string, node_path string, parent_path string, role string, variant string"
+ROUTED = NODE + ", body string, is_map boolean, keys array<string>, states array<string>"
+CELL = NODE + ", field string, at string, type string, value string"
+_SCALARS = ("null", "bool", "int", "num", "str")
 #: Nodes per Arrow batch that goes back to the JVM.
 OUT_ROWS = 20_000
 
@@ -138,25 +134,15 @@ def read_value(text: str | None):
     return value
 
 
-def _state(value) -> str:
+def kind_of(value) -> str:
+    """The state of a scalar."""
     if value is None:
         return "null"
     if value is True or value is False:
         return "bool"
     if isinstance(value, int):
         return "int"
-    if isinstance(value, float):
-        return "num"
-    if isinstance(value, str):
-        return "str"
-    if isinstance(value, dict):
-        return "{}"
-    return "[" + "|".join(sorted({"[]" if isinstance(x, list) else _state(x) for x in value})) + "]"
-
-
-def variant_of(obj: dict) -> str:
-    """The automaton's state of an object."""
-    return ",".join(f"{k}:{_state(obj[k])}" for k in sorted(obj))
+    return "num" if isinstance(value, float) else "str"
 
 
 def is_map(obj: dict) -> bool:
@@ -168,26 +154,49 @@ def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
 
 
-def states(value) -> dict[int, str]:
-    """The automaton's state of the subtree of every object and array by id, bottom-up and without recursion; members of a map count once per state."""
-    order, stack = [], [value]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(x for x in (node.values() if isinstance(node, dict) else node) if isinstance(x, (dict, list)))
-    found: dict[int, str] = {}
-
-    def of(x) -> str:
-        return found[id(x)] if isinstance(x, (dict, list)) else _state(x)
-
-    for node in reversed(order):
-        if isinstance(node, list):
-            found[id(node)] = _digest("[" + "|".join(sorted({of(x) for x in node})))
-        elif is_map(node):
-            found[id(node)] = _digest("{" + "|".join(sorted({of(x) for x in node.values()})))
-        else:
-            found[id(node)] = _digest(json.dumps([(k, of(node[k])) for k in sorted(node)]))
-    return found
+class Automaton:
+    """A bottom-up tree automaton over JSON shapes; the transitions met so far are remembered.
+
+    A scalar's state is its kind.  An array's state follows from the set of its
+    elements' states, an object's from its keys, each with the state of its
+    value, and a map's from the set of its values' states.  So two objects have
+    one state exactly if their whole subtrees have one shape.  A state is named
+    by a digest, the same on every worker.
+    """
+
+    def __init__(self, remembered: int = 100_000):
+        self.remembered = remembered
+        self.names: dict[tuple, str] = {}
+
+    def step(self, transition: tuple) -> str:
+        name = self.names.get(transition)
+        if name is None:
+            if len(self.names) >= self.remembered:
+                self.names.clear()
+            name = self.names[transition] = _digest(json.dumps(transition))
+        return name
+
+    def run(self, value) -> dict[int, tuple[str, tuple]]:
+        """(state, transition) of every object and array of a value by id, children before parents and without recursion."""
+        order, stack = [], [value] if isinstance(value, (dict, list)) else []
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(x for x in (node.values() if isinstance(node, dict) else node) if isinstance(x, (dict, list)))
+        found: dict[int, tuple[str, tuple]] = {}
+
+        def of(x) -> str:
+            return found[id(x)][0] if isinstance(x, (dict, list)) else kind_of(x)
+
+        for node in reversed(order):
+            if isinstance(node, list):
+                transition = ("array", *sorted({of(x) for x in node}))
+            elif is_map(node):
+                transition = ("map", *sorted({of(x) for x in node.values()}))
+            else:
+                transition = ("object", *((k, of(node[k])) for k in sorted(node)))
+            found[id(node)] = self.step(transition), transition
+        return found
 
 
 def cells(obj: dict) -> Iterator[tuple[str, str, str, str | None]]:
@@ -201,7 +210,7 @@ def cells(obj: dict) -> Iterator[tuple[str, str, str, str | None]]:
                     yield k, at, "list", "[]"
                 stack.extend((y, f"{at}/{i}" if at else str(i)) for i, y in reversed(list(enumerate(x))))
             elif not isinstance(x, dict):
-                kind = _state(x)
+                kind = kind_of(x)
                 if kind == "int" and not -(2**63) <= x < 2**63:
                     kind = "big"
                 yield k, at, kind, None if x is None else x if kind == "str" else json.dumps(x)
@@ -237,96 +246,133 @@ def _clean(text: str) -> str:
         return text.encode("utf-8", "replace").decode()
 
 
-def _flatten(columns: str):
-    names = [x.split()[0] for x in columns.split(", ")]
-    schema = pa.schema([(x, pa.string()) for x in names])
+def _scalars(node: dict) -> str:
+    """JSON text of the values that belong to an object itself: scalars, and arrays of nothing but scalars."""
+    own = {_clean(k): x for k, x in node.items() if not isinstance(x, dict) and not (isinstance(x, list) and any(isinstance(y, (dict, list)) for y in x))}
+    return json.dumps(own, ensure_ascii=False)
+
+
+def _classify(columns: str):
+    """Rows of every object of a batch of values, routed by the automaton's state; with ``ROUTED`` also a row per state met."""
+    fields = [x.rsplit(" ", 1) if not x.endswith("array<string>") else x.split(" ", 1) for x in columns.split(", ")]
+    types = {"string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(n, types[t]) for n, t in fields])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in names]
+        automaton, told = Automaton(), set()
+        out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], schema=schema)
-            for x in out:
-                x.clear()
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            out.clear()
             return made
 
         for batch in it:
-            fields, keys, values = (batch.column(i).to_pylist() for i in range(3))
-            for field, key, text in zip(fields, keys, values):
+            for field, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 value = read_value(text)
                 if value is _BAD:
                     continue
-                state = states(value) if columns == CELL and isinstance(value, (dict, list)) else {}
+                states = automaton.run(value)
                 for path, parent, role, node in objects(value):
-                    made = [[field, key, _clean(path), _clean(parent)]]
-                    if columns != NODE:
-                        made[0] += [_clean(role), _clean(variant_of(node))]
-                    if columns == NODE_FULL:
-                        scalars = {_clean(k): x for k, x in node.items() if not isinstance(x, (dict, list)) or isinstance(x, list) and not any(isinstance(y, (dict, list)) for y in x)}
-                        made[0].append(_clean(json.dumps(scalars, ensure_ascii=False)))
-                    elif columns == CELL:
-                        made = [[*made[0], state[id(node)], *(x and _clean(x) for x in c)] for c in cells(node)] or [[*made[0], state[id(node)], None, None, None, None]]
-                    for row in made:
-                        for column, x in zip(out, row):
-                            column.append(x)
-                    if len(out[0]) >= OUT_ROWS:
+                    state, transition = states[id(node)]
+                    row = (field, key, _clean(path), _clean(parent), _clean(role), state)
+                    if columns == CELL:
+                        out.extend((*row, *(x and _clean(x) for x in c)) for c in cells(node))
+                        if not node or all(isinstance(x, dict) or x and isinstance(x, list) for x in node.values()) and not any(True for _ in cells(node)):
+                            out.append((*row, None, None, None, None))
+                    else:
+                        out.append((*row, _scalars(node), None, None, None))
+                        if state not in told:
+                            if len(told) >= automaton.remembered:
+                                told.clear()
+                            told.add(state)
+                            named = transition[0] == "object"
+                            out.append((None, None, None, None, None, state, None, not named, [_clean(k) for k, _ in transition[1:]] if named else [], [k for _, k in transition[1:]] if named else list(transition[1:])))
+                    if len(out) >= OUT_ROWS:
                         yield flush()
-        if out[0]:
+        if out:
             yield flush()
 
     return batches
 
 
-def flatten_objects(values: DataFrame, full: bool = False) -> DataFrame:
-    """One row per JSON object, but not for a root object.
+def _each(values: DataFrame, columns: str) -> DataFrame:
+    once = values.select("source_field", "record_key", "value").where("value IS NOT NULL AND record_key IS NOT NULL").distinct()
+    return once.mapInArrow(_classify(columns), columns)
+
+
+def route(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(objects, states): every JSON object but a root one, routed to the table of its variant, and the automaton's states.
 
     ``values`` has source_field, record_key and value (all string).  Null,
-    empty and unreadable values and null record keys give no rows, exact copies of an input row give
-    their rows once, a repeated key of an object holds its last value.  With
-    ``full`` each row also has its role, variant and scalar fields (JSON text).
+    empty and unreadable values and null record keys give no rows, exact copies
+    of an input row give their rows once, a repeated key of an object holds its
+    last value.  The objects' table has the keys and the parent link that all
+    variants share, the role, the variant and the object's own values as JSON
+    text; it is written once, sorted by variant, so that the table of one
+    variant (``subtype_table``) reads its own row groups.  A state has its
+    variant, whether it is a map's, its keys and the state of each key's value
+    (of a map: the states of its values).
     """
-    return _each(values, NODE_FULL if full else NODE)
+    cut = Cut(values.sparkSession, "nested")
+    written = cut.put(_each(values, ROUTED).sortWithinPartitions("variant"))[1]
+    nodes = written.where("record_key IS NOT NULL").drop("is_map", "keys", "states")
+    states = written.where("record_key IS NULL").select("variant", "is_map", "keys", "states").distinct()
+    return nodes, states
 
 
-def _each(values: DataFrame, columns: str) -> DataFrame:
-    once = values.select("source_field", "record_key", "value").where("value IS NOT NULL AND record_key IS NOT NULL").distinct()
-    return once.mapInArrow(_flatten(columns), columns)
+def flatten_objects(values: DataFrame) -> DataFrame:
+    """One row per JSON object, but not for a root object: the link columns of all variants' tables; see ``route``."""
+    return route(values)[0].select("source_field", "record_key", "node_path", "parent_path")
+
+
+def variants(nodes: DataFrame, states: DataFrame) -> DataFrame:
+    """Per field, role and variant its number of objects, its keys with the state of each, and the supertype's keys (common to all variants of the role)."""
+    role = ["source_field", "role"]
+    per = nodes.groupBy(*role, "variant").agg(F.count(F.lit(1)).alias("objects")).join(states, "variant")
+    total = per.groupBy(*role).agg(F.count(F.lit(1)).alias("n_variants"))
+    common = per.select(*role, F.explode("keys").alias("_k")).groupBy(*role, "_k").agg(F.count(F.lit(1)).alias("_in")).join(total, role).where("_in = n_variants")
+    common = common.groupBy(*role).agg(F.array_sort(F.collect_set("_k")).alias("supertype_keys"))  # no more than the keys of one object
+    return per.join(total, role).join(common, role, "left").withColumn("supertype_keys", F.coalesce("supertype_keys", F.array().cast("array<string>")))
 
 
 def typed_objects(values: DataFrame) -> DataFrame:
     """The typed rows of all roles and variants: one row per object and scalar of its own, so no column list bounds it.
 
-    Each has the object's keys and parent link, role, variant, state of the
-    subtree, the keys of the role's supertype, and of the scalar the field, its
-    place in the field's arrays ('' outside of arrays), type, text and typed
-    value (``whole``, ``number``, ``flag``).  Empty arrays are listed; an object
-    without either has one row with a null field.  Integers beyond 64 bits have
-    the type ``big`` and only their text.
+    Each has the object's keys and parent link, role, variant, the keys of the
+    role's supertype, and of the scalar the field, its place in the field's
+    arrays ('' outside of arrays), type, text and typed value (``whole``,
+    ``number``, ``flag``).  Empty arrays are listed; an object without either
+    has one row with a null field.  Integers beyond 64 bits have the type
+    ``big`` and only their text.
     """
-    out = Cut(values.sparkSession, "typed").put(_each(values, CELL))[1]
-    supertype = variants(out.select("source_field", "role", "variant").distinct()).select("source_field", "role", "supertype_keys").distinct()
-    supertype = Cut(values.sparkSession, "typed").put(supertype)[1]
+    nodes, states = route(values)
+    supertype = Cut(values.sparkSession, "typed").put(variants(nodes, states).select("source_field", "role", "supertype_keys").distinct())[1]
     of = F.col("type")
-    typed = out.withColumn("whole", F.when(of == "int", F.col("value")).cast("long")).withColumn("number", F.when(of.isin("int", "num"), F.col("value")).cast("double")).withColumn("flag", F.when(of == "bool", F.col("value") == "true"))
+    typed = _each(values, CELL).withColumn("whole", F.when(of == "int", F.col("value")).cast("long")).withColumn("number", F.when(of.isin("int", "num"), F.col("value")).cast("double")).withColumn("flag", F.when(of == "bool", F.col("value") == "true"))
     return typed.join(supertype, ["source_field", "role"])
 
 
-def variants(nodes: DataFrame) -> DataFrame:
-    """Per field, role and variant its number of objects, with the supertype's keys (common to all variants of the role)."""
-    per = nodes.groupBy("source_field", "role", "variant").agg(F.count(F.lit(1)).alias("objects"))
-    keys = F.transform(F.split("variant", ","), lambda x: F.substring_index(x, ":", 1))
-    each = per.withColumn("_k", F.explode(F.array_distinct(F.when(F.col("variant") == "", F.array().cast("array<string>")).otherwise(keys))))
-    role = ["source_field", "role"]
-    total = per.groupBy(*role).agg(F.count(F.lit(1)).alias("n_variants"))
-    common = each.groupBy(*role, "_k").agg(F.countDistinct("variant").alias("_in")).join(total, role).where("_in = n_variants")
-    common = common.groupBy(*role).agg(F.array_join(F.array_sort(F.collect_set("_k")), ",").alias("supertype_keys"))
-    return per.join(total, role).join(common, role, "left").withColumn("supertype_keys", F.coalesce("supertype_keys", F.lit("")))
+#: Column types of the scalar states; every other state is kept as text.
+_COLUMN = {"int": "decimal(38,0)", "num": "double", "bool": "boolean"}
+
 
+def subtype_table(nodes: DataFrame, states: DataFrame, variant: str) -> DataFrame:
+    """The typed table of one variant: keys and parent link, role, then a column per key of its shape that holds scalars.
 
-def subtype_table(nodes: DataFrame, role: str, schema: str) -> DataFrame:
-    """The typed table of one role: keys and parent link, variant, and the typed columns of ``schema`` (null where a variant lacks them)."""
-    typed = F.from_json("body", schema)
-    return nodes.where(F.col("role") == role).select("source_field", "record_key", "node_path", "parent_path", "variant", typed.alias("t")).select("source_field", "record_key", "node_path", "parent_path", "variant", "t.*")
+    A key named as a column before it gets ``_`` behind its name.
+    """
+    own = ["source_field", "record_key", "node_path", "parent_path", "role"]
+    shape = states.where((F.col("variant") == variant) & ~F.col("is_map")).first()  # one row
+    known, taken, columns = set(_SCALARS), {x.lower() for x in own}, []
+    for key, state in zip(shape.keys, shape.states) if shape else ():
+        if state in known:
+            name = key
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            columns.append(F.element_at("t", F.lit(key)).cast(_COLUMN.get(state, "string")).alias(name))
+    return nodes.where(F.col("variant") == variant).select(*own, F.from_json("body", "map<string,string>").alias("t")).select(*own, *columns)
 
 
 def role_table(values: DataFrame, role: str) -> DataFrame:
@@ -336,8 +382,7 @@ def role_table(values: DataFrame, role: str) -> DataFrame:
     together are doubles; mixed, long and array values are text.  A field named
     as a column before it gets ``_`` behind its name.
     """
-    spark = values.sparkSession
-    nodes = Cut(spark, "role").put(flatten_objects(values, full=True).where(F.col("role") == role))[1]
+    nodes = route(values)[0].where(F.col("role") == role)
     at = F.from_json("body", "map<string,string>")
     own = ["source_field", "record_key", "node_path", "parent_path", "variant"]
     # the types of the fields of the role's bodies; read from the bodies, since keys may hold the marks of a variant
@@ -379,7 +424,8 @@ def p3_found(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p3_variants(spark: SparkSession, where: str) -> DataFrame:
-    return variants(flatten_objects(history_values(spark, where), full=True))
+    """Every variant of every role: its objects, keys, child states and the keys of its supertype."""
+    return variants(*route(history_values(spark, where)))
 
 
 def p3_typed(spark: SparkSession, where: str) -> DataFrame:

@@ -165,11 +165,15 @@ def test_deep_parser_rejects(text):
 def test_nodes_link_to_parents_and_variants(spark, rows):
     values = [("f", "1", '{"s": [{"id": "a", "n": 1}, {"id": "b", "at": {"l": 2}}]}'), ("f", "1", '{"s": [{"id": "a", "n": 1}, {"id": "b", "at": {"l": 2}}]}'), ("f", "2", '{"s": [{"id": "c", "n": 1.5}]}'), ("f", "3", "퟿"), ("f", "4", '{"\\ud800": {}}')]
     df = spark.createDataFrame([(*v, 1) for v in values], "source_field string, record_key string, value string, node_path int")
-    nodes = nested.flatten_objects(df, full=True)
-    assert len(rows(nodes)) == 5
-    v = {r.variant: r for r in nested.variants(nodes).where("role = 's'").collect()}
-    assert set(v) == {"id:str,n:int", "at:{},id:str", "id:str,n:num"} and {r.supertype_keys for r in v.values()} == {"id"}
-    assert rows(nested.subtype_table(nodes, "s", "id string, n double"), "record_key", "node_path", "id", "n") == [("1", "s/0", "a", 1.0), ("1", "s/1", "b", None), ("2", "s/0", "c", 1.5)]
+    nodes, states = nested.route(df)
+    assert len(rows(nodes.select("source_field", "record_key", "node_path"))) == 5
+    v = {tuple(zip(r["keys"], r["states"])): r for r in nested.variants(nodes, states).where("role = 's'").collect()}
+    at = next(r.variant for r in states.collect() if r["keys"] == ["l"])
+    assert set(v) == {(("id", "str"), ("n", "int")), (("at", at), ("id", "str")), (("id", "str"), ("n", "num"))} and {tuple(r.supertype_keys) for r in v.values()} == {("id",)}
+    whole = nested.subtype_table(nodes, states, v[("id", "str"), ("n", "int")].variant)
+    assert rows(whole, "record_key", "node_path", "id", "n") == [("1", "s/0", "a", 1)] and dict(whole.dtypes)["n"] == "decimal(38,0)"
+    assert rows(nested.subtype_table(nodes, states, v[("at", at), ("id", "str")].variant), "parent_path", "id") == [("", "b")]
+    assert nested.subtype_table(nodes, states, "no such variant").count() == 0
     assert nested.flatten_objects(df.limit(0)).count() == 0
 
 
@@ -179,7 +183,7 @@ def test_every_object_has_typed_rows(spark, rows):
     typed = nested.typed_objects(df)
     assert rows(typed.select("node_path", "parent_path").distinct()) == rows(nested.flatten_objects(df).select("node_path", "parent_path"))
     got = {(r.node_path, r.field, r.at): r for r in typed.collect()}
-    assert got["symbols/0", "id", ""].role == "symbols" and got["symbols/0", "id", ""].supertype_keys == "id,n" and got["symbols", None, None].role == "symbols{}"
+    assert got["symbols/0", "id", ""].role == "symbols" and got["symbols/0", "id", ""].supertype_keys == ["id", "n"] and got["symbols", None, None].role == "symbols{}"
     assert (got["symbols/0", "n", ""].whole, got["symbols/1", "n", ""].number, got["symbols/0", "x,y", ""].flag) == (1, 2.5, True)
     assert (got["symbols/1", "flags", "0"].value, got["symbols/1", "flags", "1/0"].value, got["claims/0", "none", ""].value) == ("p", "q", "[]")
     assert (got["big", "n", ""].type, got["big", "n", ""].value, got["big/s", "n", ""].whole) == ("big", str(2**70), 3)
@@ -190,15 +194,24 @@ def test_every_object_has_typed_rows(spark, rows):
 
 def test_state_holds_the_whole_subtree():
     def state(value):
-        return nested.states(value)[id(value)]
+        return nested.Automaton().run(value)[id(value)][0]
 
-    a, b = {"k": {"x": {"n": 1}}}, {"k": {"x": {"n": "s"}}}
-    assert nested.variant_of(a) == nested.variant_of(b) and state(a) != state(b) and state(a) == state({"k": {"x": {"n": 2}}})
+    assert state({"k": {"x": 1}}) != state({"k": {"y": [1, {"z": 2}]}})
+    assert state({"k": [[1]]}) != state({"k": [[{"z": 1}]]})
+    assert state({"k": {"x": {"n": 1}}}) == state({"k": {"x": {"n": 2}}}) != state({"k": {"x": {"n": "s"}}})
     assert state({"0": {"n": 1}}) == state({"0": {"n": 1}, "7/a": {"n": 2}})
     deep = []
     for _ in range(30_000):
         deep = [deep]
-    assert state(deep)
+    assert state(deep) and nested.Automaton().run(1) == {}
+    small = nested.Automaton(remembered=2)  # forgetting transitions changes no state
+    assert [small.run(v)[id(v)][0] for v in ({"a": 1}, {"b": 1}, {"c": {"a": 1}})] == [state({"a": 1}), state({"b": 1}), state({"c": {"a": 1}})]
+
+
+def test_odd_keys_survive_in_variants(spark):
+    df = spark.createDataFrame([("f", "1", '{"r": {"a,b": 1, "c:d": {"": 2}, "*": null}}')], "source_field string, record_key string, value string")
+    got = [r for r in nested.variants(*nested.route(df)).collect() if r.role == "r"]
+    assert len(got) == 1 and got[0].supertype_keys == ["*", "a,b", "c:d"] == got[0]["keys"]
 
 
 # hierarchies
