@@ -26,21 +26,19 @@ from ..sources.tables import commit_rows, table
 CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}Z$"
 #: Masks kept per worker; any further one is parsed again, with the same result.
 MASKS = 50_000
-#: No notation here is longer; a longer text denotes no instant.
-LONGEST = 120
 
 # English month names; abbreviations are their first three letters.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 _MONTH = {n: i + 1 for i, m in enumerate(MONTHS) for n in (m, m[:3])} | {"sept": 9}
 
 _ZONE = r"(?: ?(?P<abbr>A{3,5}|A))?(?: ?(?P<sign>[+-])(?P<oh>99)(?::?(?P<om>99))?)?(?: ?\[(?P<region>[A9/_+-]+)\])?(?: \([A ]+\))?"
-_CLOCK = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9{1,12}))?)?(?: (?P<ap>AA)(?!A))?"
+_CLOCK = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9+))?)?(?: (?P<ap>AA)(?!A))?"
 _DAY = r"(?:A{3,9},? )?"
 _FORMS = [
     re.compile(x + "$")
     for x in (
         r"(?P<Y>9999)-(?P<m>99)-(?P<d>99)(?:(?P<t>A)| )" + _CLOCK + _ZONE,
-        r"(?P<Y>9999)(?P<m>99)(?P<d>99)(?:(?P<t>A)| )(?P<H>99)(?P<M>99)(?:(?P<S>99)(?:[.,](?P<f>9{1,12}))?)?" + _ZONE,
+        r"(?P<Y>9999)(?P<m>99)(?P<d>99)(?:(?P<t>A)| )(?P<H>99)(?P<M>99)(?:(?P<S>99)(?:[.,](?P<f>9+))?)?" + _ZONE,
         r"(?P<e>9{16}|9{13}|9{10})(?: ?[+-]99:?99)?",
         r"(?P<d>99?)\.(?P<m>99?)\.(?P<Y>9999),? " + _CLOCK + _ZONE,
         r"(?P<m>99?)/(?P<d>99?)/(?P<Y>9999),? " + _CLOCK + _ZONE,
@@ -60,6 +58,15 @@ def parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
     return None
 
 
+def shorten(texts: list[str], plan: dict[str, tuple[int, int]]) -> tuple[list[str], dict[str, tuple[int, int]]]:
+    """Texts and plan without finer digits than microseconds and without what follows the last part, so that no character matrix is wide."""
+    last = max(b for _, b in plan.values())
+    a, b = plan.get("f", (last, last))
+    cut = max(0, b - a - 6)
+    moved = {k: (x - cut, y - cut) if x >= b else (x, min(y, a + 6)) if k == "f" else (x, y) for k, (x, y) in plan.items()}
+    return [t[: b - cut] + t[b:last] for t in texts], moved
+
+
 def _words(chars: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     part = np.ascontiguousarray(chars[:, span[0] : span[1]])
     return part.view(f"U{span[1] - span[0]}").ravel()
@@ -122,11 +129,16 @@ def convert(texts: list[str], zones: np.ndarray, plan: dict[str, tuple[int, int]
         minutes, ok = _look_up(_words(chars, plan["abbr"]), lambda w: ABBREVIATIONS.get(w.upper()))
         return local - minutes * 60_000_000, good & ok
     utc = np.zeros_like(local)
-    for zone in set(zones):
-        at = np.array([z == zone for z in zones], dtype=bool)
-        there = local_to_utc(local[at], zone) if isinstance(zone, str) else None
+    codes, names = pd.factorize(zones)
+    order = np.argsort(codes, kind="stable")
+    bounds = np.searchsorted(codes[order], np.arange(len(names) + 1))
+    good &= codes >= 0  # no zone
+    for k, zone in enumerate(names):
+        at = order[bounds[k] : bounds[k + 1]]
+        at = at[good[at]]
+        there = local_to_utc(local[at], zone) if len(at) else local[at]
         if there is None:
-            good &= ~at
+            good[at] = False
         else:
             utc[at] = there
     return utc, good
@@ -141,10 +153,11 @@ def to_utc_us(values: pd.Series, masks: pd.Series, zones: pd.Series) -> pd.Serie
     bounds = np.searchsorted(codes[order], np.arange(len(distinct) + 1))
     texts, zone = values.to_numpy(dtype=object), zones.where(zones.notna(), None).to_numpy(dtype=object)
     for k, mask in enumerate(distinct):
-        plan = parser_of(mask) if isinstance(mask, str) and len(mask) <= LONGEST else None
+        plan = parser_of(mask) if isinstance(mask, str) else None
         if plan is not None:
             rows = order[bounds[k] : bounds[k + 1]]
-            out[rows], good[rows] = convert(list(texts[rows]), zone[rows], plan)
+            short, moved = shorten(list(texts[rows]), plan)
+            out[rows], good[rows] = convert(short, zone[rows], moved)
     return pd.Series(pd.array(np.where(good, out, 0), dtype="Int64")).mask(~good)
 
 
