@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,17 +77,16 @@ def running_share(rows: DataFrame, order: list[str], part: str, whole: str, name
     return rows.withColumn(name, F.round(100 * F.try_divide(F.sum(part).over(w), F.sum(whole).over(w)), 4))
 
 
-def tree_rollup(leaves: DataFrame, path: str, score: str, added: str, removed: str, max_depth: int = 10) -> DataFrame:
+def tree_rollup(leaves: DataFrame, path: str, score: str, added: str, removed: str) -> DataFrame:
     """Directory tree with node, depth, score = max(own, sum of children), added and removed summed, weight = max(score / greatest, 0.05).
 
-    One aggregation per level from the deepest up, at most ``max_depth`` of
-    them; each level is far smaller than the one below and is written once.
-    Paths below the depth limit are left out.
+    One aggregation per level from the deepest up; each level holds the nodes
+    above the one below and is written once.  A null path is left out.
     """
     cut = Cut(leaves.sparkSession, "rollup")
-    part = F.split(path, "/")
-    own = leaves.where(F.size(part) <= max_depth).groupBy(F.col(path).alias("node")).agg(F.sum(score).alias("score"), F.sum(added).alias("added"), F.sum(removed).alias("removed")).withColumn("depth", F.size(F.split("node", "/")))
-    own = cut.put(own)[1]
+    own = leaves.where(F.col(path).isNotNull()).groupBy(F.col(path).alias("node")).agg(F.sum(score).alias("score"), F.sum(added).alias("added"), F.sum(removed).alias("removed")).withColumn("depth", F.size(F.split("node", "/")))
+    own, counts = cut.put_counted(own, deepest=F.max("depth"))
+    max_depth = counts["deepest"] or 1
     done = None
     level = own.where(F.col("depth") == max_depth)
     for depth in range(max_depth, 0, -1):
@@ -104,6 +104,29 @@ def tree_rollup(leaves: DataFrame, path: str, score: str, added: str, removed: s
     return done.select("node", "depth", "score", "added", "removed", F.greatest(F.try_divide(F.col("score"), top), F.lit(0.05)).alias("weight"))
 
 
-def similar_pairs_by_block(left: DataFrame, right: DataFrame, block: list[str], score: Column, least: float) -> DataFrame:
-    """Pairs of equal block whose score reaches ``least``."""
-    return left.join(right, block).withColumn("score", score).where(F.col("score") >= least)
+def similar_names(left: DataFrame, right: DataFrame, block: list[str], left_id: str, left_name: str, right_id: str, right_name: str, least: float) -> DataFrame:
+    """(left_id, right_id, score): names of one block whose normalised edit similarity reaches ``least`` (above 0, below 1).
+
+    A name of n characters can be at most (1 - least) / least * n edits from a
+    name so similar to it.  Cut into one piece more, one of its pieces occurs
+    unchanged in the other (pigeonhole), so only names that share a piece meet,
+    never all of a block.  Null and empty names meet nothing.
+    """
+    edits, longest = (1 - least) / least, math.ceil(least / (1 - least)) if least > 0.5 else 1
+    name, n = F.col(right_name), F.length(right_name)
+    k = F.floor(n * edits + 1e-9) + 1
+
+    def bound(i: Column) -> Column:
+        return F.floor(i * n / k).cast("int")
+
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: F.substring(name, bound(i) + 1, bound(i + 1) - bound(i)))
+    m = F.length(left_name)
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.least(m, F.lit(longest))), lambda size: F.transform(F.sequence(F.lit(1), m - size + 1), lambda i: F.substring(F.col(left_name), i, size))))
+    a = left.where(m > 0).select(*block, left_id, left_name, F.explode(F.array_distinct(parts)).alias("_piece"))
+    b = right.where(n > 0).select(*block, right_id, right_name, F.explode(F.array_distinct(pieces)).alias("_piece"))
+    met = a.join(b, [*block, "_piece"]).drop("_piece").distinct()
+    top = F.greatest(F.length(left_name), F.length(right_name))
+    score = F.round((top - F.levenshtein(left_name, right_name)) / top, 6)
+    return met.withColumn("score", score).where(F.col("score") >= least).select(left_id, right_id, "score")
+
+

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.keys import norm_source
 from ..operators import relational as R
 from . import domain
 from .domain import Tables
@@ -21,9 +22,7 @@ def _best_match(t: Tables):
     sha = F.lower(F.btrim("sha")).alias("sha")
     removed = t.symbols.where("change_type = 'removed' AND name IS NOT NULL").select(sha, "kind", F.col("id").alias("old_id"), F.col("name").alias("old_name")).distinct()
     added = t.symbols.where("change_type = 'added' AND name IS NOT NULL").select(sha, "kind", F.col("id").alias("new_id"), F.col("name").alias("new_name")).distinct()
-    longest = F.greatest(F.length("old_name"), F.length("new_name"))
-    score = (longest - F.levenshtein("old_name", "new_name")) / longest
-    pairs = R.similar_pairs_by_block(removed, added, ["sha", "kind"], F.round(score, 6), 0.3)
+    pairs = R.similar_names(removed, added, ["sha", "kind"], "old_id", "old_name", "new_id", "new_name", 0.8)
     return R.first_n(pairs, 1, ["old_id"], F.col("score").desc(), F.col("new_id")).select("old_id", "new_id", "score")
 
 
@@ -77,8 +76,45 @@ def _adoption(t: Tables):
 
 
 def _themes(t: Tables):
-    rows = t.commits_analysis.where("risks IS NOT NULL").select(F.lower(F.btrim("sha")).alias("sha"), F.array_join(F.array_sort(F.array_distinct(F.from_json("risks", "array<string>"))), "|").alias("theme"), "blast_radius")
-    return rows.where("theme <> ''").groupBy("theme").agg(F.countDistinct("sha").alias("commits"), F.sum("blast_radius").alias("impact"), F.array_join(F.slice(F.array_sort(F.collect_set("sha")), 1, 5), ",").alias("sample")).withColumn("theme_id", F.substring(F.sha2("theme", 256), 1, 16))
+    rows = t.commits_analysis.where("risks IS NOT NULL").select(F.lower(F.btrim("sha")).alias("sha"), F.array_join(F.array_sort(F.array_distinct(F.from_json("risks", "array<string>"))), "|").alias("theme"), "blast_radius").where("theme <> ''")
+    per = rows.groupBy("theme").agg(F.countDistinct("sha").alias("commits"), F.sum("blast_radius").alias("impact"))
+    first = R.first_n(rows.where("sha IS NOT NULL").select("theme", "sha").distinct(), 5, ["theme"], F.col("sha")).groupBy("theme").agg(F.array_join(F.array_sort(F.collect_list("sha")), ",").alias("sample"))  # five a theme
+    return per.join(first, "theme", "left").withColumn("theme_id", F.substring(F.sha2("theme", 256), 1, 16))
+
+
+def _fans(t: Tables):
+    """Edges into and out of the symbols of each file; a symbol's file is the first it was changed in, edges within a file do not count."""
+    home = t.change.groupBy(F.col("symbol_id").alias("dst")).agg(F.min("path").alias("home"))
+    across = t.edge.join(home, "dst").where("src <> home")
+    into = across.groupBy(F.col("home").alias("path")).agg(F.count(F.lit(1)).alias("fan_in"), F.countDistinct("src").alias("callers"))
+    out = across.groupBy(F.col("src").alias("path")).agg(F.count(F.lit(1)).alias("fan_out"))
+    return into.join(out, "path", "full_outer").na.fill(0, ["fan_in", "callers", "fan_out"])
+
+
+def _merged(t: Tables):
+    """Facts of both sides by identity: complete ones (with name and signature) first, then by change type, the existing side winning ties."""
+
+    def side(rows, dna: str, n: int):
+        return rows.select(F.lower(dna).alias("dna"), F.lower("change_type").alias("change_type"), "id", F.lit(n).alias("side"), (F.col("name").isNotNull() & F.col("signature").isNotNull()).alias("complete"))
+
+    both = side(t.symbols, "dna_id", 0).unionByName(side(t.symbol_history, "symbol_dna_id", 1)).where("dna IS NOT NULL")
+    of = F.col("change_type")
+    prio = F.when(of == "priority_click", 3).when(of == "added", 2).when(of == "modified", 1).otherwise(0)
+    return R.first_n(both.withColumn("prio", prio), 1, ["dna"], F.col("complete").desc(), F.col("prio").desc(), F.col("side"), F.col("id")).select("dna", "side", "id")
+
+
+#: Sections of a repository's context in the order in which they are dropped, and the tokens that may stay.
+DROP_ORDER = ["scratch_note", "glossary", "runbook", "changelog", "design_doc", "issue_report", "review_thread", "commit_log", "code_file"]
+BUDGET = 4000
+
+
+def _budgeted(t: Tables):
+    """Sections that stay of each repository: the least important ones are dropped until the rest fits the budget."""
+    rows = t.documents.where("repo IS NOT NULL AND text IS NOT NULL").select("repo", norm_source(F.col("source")).alias("section"), F.ceil(F.length("text") / 4).alias("tokens"))
+    sizes = rows.where(F.col("section").isin(DROP_ORDER)).groupBy("repo", "section").agg(F.sum("tokens").alias("tokens"))
+    place = F.array_position(F.array(*map(F.lit, DROP_ORDER)), F.col("section"))
+    w = W.partitionBy("repo").orderBy(place.desc()).rowsBetween(W.unboundedPreceding, 0)  # a row per section
+    return sizes.withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= BUDGET).select("repo", "section", "used")
 
 
 def _positions(t: Tables):
@@ -157,7 +193,7 @@ QUERIES = domain.catalogue(
             _best_match,
             """, r AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, id AS old_id, name AS old_name FROM symbols WHERE change_type = 'removed' AND name IS NOT NULL), a AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, id AS new_id, name AS new_name FROM symbols WHERE change_type = 'added' AND name IS NOT NULL),
             p AS (SELECT old_id, new_id, round((greatest(length(old_name), length(new_name)) - levenshtein(old_name, new_name)) / greatest(length(old_name), length(new_name)), 6) AS score FROM r JOIN a USING (sha, kind))
-            SELECT * FROM p WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY score DESC, new_id) = 1""",
+            SELECT * FROM p WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY score DESC, new_id) = 1""",
         ),
         "JN-12": (
             _moved_names,
@@ -199,8 +235,10 @@ QUERIES = domain.catalogue(
             "SELECT id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM (SELECT dst AS id, count(*) AS fan_in FROM edge GROUP BY dst) FULL JOIN (SELECT src AS id, count(*) AS fan_out FROM edge GROUP BY src) USING (id)",
         ),
         "AG-08": (
-            lambda t: t.edge.where(F.col("src") % 7 != F.col("dst") % 7).groupBy((F.col("dst") % 7).alias("dir")).agg(F.count(F.lit(1)).alias("fan_in"), F.countDistinct("src").alias("callers")),
-            "SELECT dst % 7 AS dir, count(*) AS fan_in, count(DISTINCT src) AS callers FROM edge WHERE src % 7 <> dst % 7 GROUP BY 1",
+            _fans,
+            """, home AS (SELECT symbol_id, min(path) AS home FROM change GROUP BY symbol_id), x AS (SELECT src, home FROM edge JOIN home ON dst = symbol_id WHERE src <> home),
+            i AS (SELECT home AS path, count(*) AS fan_in, count(DISTINCT src) AS callers FROM x GROUP BY home), o AS (SELECT src AS path, count(*) AS fan_out FROM x GROUP BY src)
+            SELECT path, coalesce(fan_in, 0) AS fan_in, coalesce(callers, 0) AS callers, coalesce(fan_out, 0) AS fan_out FROM i FULL JOIN o USING (path)""",
         ),
         "AG-09": (
             lambda t: R.first_n(t.file.join(t.commit, "sha").groupBy("path", "author").agg(F.count(F.lit(1)).alias("n")), 3, ["path"], F.col("n").desc(), F.col("author")).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "author"))), lambda x: x["author"].cast("string")), ",").alias("authors")),
@@ -265,7 +303,7 @@ QUERIES = domain.catalogue(
             "SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '2-HIGH') AS high, count(*) FILTER (o_orderpriority = '3-MEDIUM') AS medium FROM orders GROUP BY o_orderstatus",
         ),
         "WN-01": (lambda t: R.first_n(t.change.join(t.commit.select("sha", "date"), "sha").select("symbol_id", "sha", "path", "date"), 1, ["symbol_id"], F.col("date").desc(), F.col("sha").desc(), F.col("path")), "SELECT symbol_id, sha, path, date FROM change JOIN commit USING (sha) QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY date DESC, sha DESC, path) = 1"),
-        "WN-02": (lambda t: t.change.groupBy("path").agg(F.max("sha").alias("sha")), "SELECT path, max(sha) AS sha FROM change GROUP BY path"),
+        "WN-02": (lambda t: t.change.join(t.commit, "sha").groupBy("path").agg(F.max_by("sha", F.struct("date", "sha")).alias("sha")), "SELECT path, arg_max(sha, (date, sha)) AS sha FROM change JOIN commit USING (sha) GROUP BY path"),
         "WN-03": (
             _adoption,
             ", m AS (SELECT strftime(date, '%Y-%m') AS month, count(*) FILTER (kind = 'O') AS adopted, count(kind) AS symbols FROM commit LEFT JOIN change USING (sha) GROUP BY 1) SELECT *, round(100 * sum(adopted) OVER w / nullif(sum(symbols) OVER w, 0), 4) AS adoption FROM m WINDOW w AS (ORDER BY month)",
@@ -288,8 +326,9 @@ QUERIES = domain.catalogue(
         ),
         "SO-05": (lambda t: R.first_n(t.commit.select("message", "sha", "size"), 30, ["message"], F.col("size").desc(), F.col("sha")), "SELECT message, sha, size FROM commit QUALIFY row_number() OVER (PARTITION BY message ORDER BY size DESC, sha) <= 30"),
         "SO-06": (
-            lambda t: R.first_n(t.documents.where("lang IS NOT NULL").select("lang", "doc_id", F.ceil(F.length("text") / 4).alias("tokens")), 50, ["lang"], F.col("tokens"), F.col("doc_id")).withColumn("used", F.sum("tokens").over(W.partitionBy("lang").orderBy("tokens", "doc_id").rowsBetween(W.unboundedPreceding, 0))).where("used <= 2000").select("lang", "doc_id", "used"),
-            ", d AS (SELECT lang, doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY tokens, doc_id) <= 50) SELECT lang, doc_id, CAST(sum(tokens) OVER (PARTITION BY lang ORDER BY tokens, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM d QUALIFY used <= 2000",
+            _budgeted,
+            f""", s AS (SELECT repo, replace(lower(trim(source)), '-', '_') AS section, CAST(sum(ceil(length(text) / 4)) AS BIGINT) AS tokens FROM documents WHERE repo IS NOT NULL AND text IS NOT NULL GROUP BY ALL)
+            SELECT repo, section, CAST(sum(tokens) OVER (PARTITION BY repo ORDER BY list_position({DROP_ORDER}, section) DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM s WHERE list_contains({DROP_ORDER}, section) QUALIFY used <= {BUDGET}""",
         ),
         "ST-01": (lambda t: t.orders.select(F.col("o_orderdate").cast("timestamp").alias("date"), F.lit("order").alias("origin")).unionByName(t.lineitem.select(F.col("l_shipdate").cast("timestamp").alias("date"), F.lit("ship").alias("origin"))).groupBy("date", "origin").agg(F.count(F.lit(1)).alias("n")).orderBy("date", "origin"), "SELECT date, origin, count(*) AS n FROM (SELECT o_orderdate AS date, 'order' AS origin FROM orders UNION ALL SELECT l_shipdate, 'ship' FROM lineitem) GROUP BY ALL"),
         "ST-02": (lambda t: t.change.where("kind = 'O'").select("path").union(t.change.where("change_type = 'added'").select("path")).distinct(), "SELECT path FROM change WHERE kind = 'O' UNION SELECT path FROM change WHERE change_type = 'added'"),
@@ -298,15 +337,13 @@ QUERIES = domain.catalogue(
             "SELECT path, symbol_id FROM change WHERE kind = 'O' EXCEPT SELECT path, symbol_id FROM change WHERE kind = 'F'",
         ),
         "ST-04": (
-            lambda t: t.change.groupBy("path").agg(F.collect_set(F.when(F.col("kind") == "O", F.col("symbol_id"))).alias("a"), F.collect_set(F.when(F.col("kind") == "F", F.col("symbol_id"))).alias("b")).select("path", F.round(F.try_divide(F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))), 6).alias("jaccard")),
+            lambda t: t.change.groupBy("path", "symbol_id").agg(F.max(F.col("kind") == "O").alias("a"), F.max(F.col("kind") == "F").alias("b")).groupBy("path").agg(F.round(F.count_if(F.col("a") & F.col("b")) / F.count(F.lit(1)), 6).alias("jaccard")),
             ", g AS (SELECT path, symbol_id, bool_or(kind = 'O') AS a, bool_or(kind = 'F') AS b FROM change GROUP BY ALL) SELECT path, round(count(*) FILTER (a AND b) / count(*), 6) AS jaccard FROM g GROUP BY path",
         ),
         "ST-05": (
-            lambda t: R.first_n(
-                t.symbols.select(F.lower("dna_id").alias("dna"), "change_type", "id", F.lit(0).alias("side")).unionByName(t.symbol_history.select(F.lower("symbol_dna_id").alias("dna"), F.lower("change_type").alias("change_type"), "id", F.lit(1).alias("side"))).where("dna IS NOT NULL").withColumn("prio", F.when(F.col("change_type") == "added", 2).when(F.col("change_type") == "modified", 1).otherwise(0)),
-                1, ["dna"], F.col("prio").desc(), F.col("side"), F.col("id"),
-            ).select("dna", "side", "id"),
-            ", u AS (SELECT lower(dna_id) AS dna, change_type, id, 0 AS side FROM symbols UNION ALL SELECT lower(symbol_dna_id), lower(change_type), id, 1 FROM symbol_history) SELECT dna, side, id FROM u WHERE dna IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dna ORDER BY CASE change_type WHEN 'added' THEN 2 WHEN 'modified' THEN 1 ELSE 0 END DESC, side, id) = 1",
+            _merged,
+            """, u AS (SELECT lower(dna_id) AS dna, lower(change_type) AS change_type, id, 0 AS side, name IS NOT NULL AND signature IS NOT NULL AS complete FROM symbols UNION ALL SELECT lower(symbol_dna_id), lower(change_type), id, 1, name IS NOT NULL AND signature IS NOT NULL FROM symbol_history)
+            SELECT dna, side, id FROM u WHERE dna IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dna ORDER BY complete DESC, CASE change_type WHEN 'priority_click' THEN 3 WHEN 'added' THEN 2 WHEN 'modified' THEN 1 ELSE 0 END DESC, side, id) = 1""",
         ),
         "ST-06": (
             lambda t: t.change.where("kind = 'O'").groupBy("path").agg(F.max("lines").alias("score")).withColumn("side", F.lit(0)).unionByName(t.change.where("kind = 'F'").groupBy("path").agg(F.max("lines").alias("score")).withColumn("side", F.lit(1))).groupBy("path").agg(F.max(F.struct("score", (-F.col("side")).alias("s"))).alias("b")).select("path", F.col("b.score").alias("score"), (-F.col("b.s")).alias("side")),

@@ -28,6 +28,26 @@ def numstat(rows: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+def log_records(records: DataFrame, mark: str, record: str = "value") -> DataFrame:
+    """Records of a commit log as columns sha, author, date, message, parent; a record of fewer fields has empty ones, an empty record none."""
+    part = F.split(record, mark, -1)
+    names = ["sha", "author", "date", "message", "parent"]
+    return records.where(F.col(record).isNotNull() & (F.col(record) != "")).select(*(F.coalesce(F.get(part, i), F.lit("")).alias(n) for i, n in enumerate(names)))
+
+
+def name_status(rows: DataFrame, line: str = "line") -> DataFrame:
+    """``status<TAB>path`` lines as columns; renames and copies carry a similarity and the old path before the new one."""
+    part = F.split(line, "\t", 3)
+    pair = part[0].rlike("^[RC]")
+    return rows.select("*", F.substring(part[0], 1, 1).alias("status"), F.when(pair, F.substring(part[0], 2, 3).try_cast("int")).alias("similarity"), F.when(pair, F.get(part, 1)).alias("old_path"), F.when(pair, F.get(part, 2)).otherwise(F.get(part, 1)).alias("path"))
+
+
+def status_lines(rows: DataFrame, line: str = "line") -> DataFrame:
+    """``XY path`` lines as (path, status, part): X is the staged state, Y the unstaged one, a blank is none."""
+    states = F.array(F.struct(F.substring(line, 1, 1).alias("status"), F.lit("staged").alias("part")), F.struct(F.substring(line, 2, 1).alias("status"), F.lit("unstaged").alias("part")))
+    return rows.select(F.expr(f"substring({line}, 4)").alias("path"), F.explode(F.filter(states, lambda s: s["status"] != " ")).alias("s")).select("path", "s.status", "s.part")
+
+
 def fill_header(rows: DataFrame, is_header: Column, value: Column, group: str, order: str, name: str) -> DataFrame:
     """Each row with the value of the last header row at or above it in its group."""
     w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
