@@ -6,6 +6,8 @@ after every round by a written table, and stop when nothing new is reached.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,12 +16,18 @@ from ..session import Cut
 from .lookup import skew_lookup
 
 
-def neighbours(edges: DataFrame, node, edge_type: str | None = None) -> DataFrame:
-    """(direction, neighbour) of one node over edges of a type."""
-    typed = edges if edge_type is None else edges.where(F.col("edge_type") == edge_type)
-    out = typed.where(F.col("src") == node).select(F.lit("calls").alias("direction"), F.col("dst").alias("neighbour"))
-    into = typed.where(F.col("dst") == node).select(F.lit("called_by").alias("direction"), F.col("src").alias("neighbour"))
-    return out.unionByName(into).distinct()
+#: Rounds of a frontier loop after which the parts found so far are written as one.
+FOLD = 8
+
+
+def neighbours(edges: DataFrame, node, calls: str, imports: str, cap: int) -> DataFrame:
+    """(direction, neighbour) of one node: what it calls, what calls it and what it imports; distinct, at most ``cap`` per direction (a display limit)."""
+
+    def side(edge_type: str, at: str, to: str, name: str) -> DataFrame:
+        found = edges.where((F.col("edge_type") == edge_type) & (F.col(at) == node)).select(F.lit(name).alias("direction"), F.col(to).alias("neighbour")).distinct()
+        return found.orderBy("neighbour").limit(cap)
+
+    return side(calls, "src", "dst", "calls").unionByName(side(calls, "dst", "src", "called_by")).unionByName(side(imports, "src", "dst", "imports"))
 
 
 def blast_radius(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -39,16 +47,21 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, dire
     if not directed:
         links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     links = cut.put(links.distinct())[1]
-    frontier = cut.put(roots.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))[1]
+    frontier, counts = cut.put_counted(roots.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)), n=F.count(F.lit(1)))
     seen, depth = [frontier], 0
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+    while (max_depth is None or depth < max_depth) and counts["n"]:
         depth += 1
         known = seen[0]
         for part in seen[1:]:
             known = known.unionByName(part)
         step = links.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = cut.put(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))[1]
+        frontier, counts = cut.put_counted(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), n=F.count(F.lit(1)))
         seen.append(frontier)
+        if len(seen) > FOLD:  # few parts to read, however deep the graph is
+            every = seen[0]
+            for part in seen[1:]:
+                every = every.unionByName(part)
+            seen = [cut.put(every)[1]]
     out = seen[0]
     for part in seen[1:]:
         out = out.unionByName(part)
@@ -118,14 +131,37 @@ def resolve_ends(edges: DataFrame, symbols: DataFrame, end: str) -> DataFrame:
     return met.withColumn(end, F.coalesce("_by_id", "_by_name", "_by_kind", F.concat(F.lit("unknown:"), F.col(end)))).drop("_by_id", "_by_name", "_by_kind")
 
 
-def entry_point(name: Column, kind: Column, path: Column, fan_in: Column, fan_out: Column) -> Column:
-    """Whether a symbol is an entry point, by the first rule that applies."""
-    lower, where = F.lower(name), F.lower(path)
-    accessor = name.rlike("^(get|set|is|has|can)[A-Z]") & ~where.rlike("controller|service")
-    runs = kind.isin("function", "method") & (lower.rlike("^(main|run|start|init|setup|bootstrap|create|build)$") | name.rlike("^on[A-Z]") | lower.rlike("handle|process|execute|render|mount|unmount|destroy"))
-    serves = (kind == "class") & lower.rlike("controller|service|provider|component|view|page")
-    placed = where.rlike(r"controller|route|middleware|bootstrap|app\.|main\.|index\.")
-    return F.coalesce(F.when(accessor, False).when(runs, True).when(serves, True).when(placed, True).otherwise((fan_in == 0) & (fan_out > 0)), F.lit(False))
+# Words that make a symbol an entry point, by where they stand.
+ACCESSORS = ["get", "set", "is", "has", "can"]
+STARTS = ["main", "run", "start", "init", "setup", "bootstrap", "create", "build"]
+HANDLES = ["handle", "process", "execute", "render", "mount", "unmount", "destroy"]
+SERVES = ["controller", "service", "provider", "component", "view", "page"]
+SERVING_PATHS = ["controller", "service"]
+ENTRY_PATHS = ["controller", "route", "middleware", "bootstrap", "app.", "main.", "index."]
+
+
+def _any(text: Column, words: list[str]) -> Column:
+    return reduce(Column.__or__, [text.contains(w) for w in words])
+
+
+def entry_point(name: Column, kind: Column, path: Column, fan_in: Column, fan_out: Column, exported: Column) -> Column:
+    """Whether a symbol is an entry point; the first rule that applies decides.
+
+    An accessor outside of controllers and services is none; a function that
+    starts, handles or reacts (``onX``), a class that serves, and whatever lies
+    where programs begin is one; else an exported symbol that nothing calls and
+    that calls something.  Null parts apply to no rule.
+    """
+    small, where = F.lower(name), F.lower(path)
+    begins = reduce(Column.__or__, [name.rlike(f"^{w}[A-Z]") for w in ACCESSORS])
+    rules = [
+        (begins & ~_any(where, SERVING_PATHS), F.lit(False)),
+        (kind.isin("function", "method") & (small.isin(STARTS) | name.rlike("^on[A-Z]") | _any(small, HANDLES)), F.lit(True)),
+        ((kind == "class") & _any(small, SERVES), F.lit(True)),
+        (_any(where, ENTRY_PATHS), F.lit(True)),
+    ]
+    decided = reduce(lambda out, rule: F.coalesce(out, F.when(rule[0], rule[1])), rules, F.lit(None).cast("boolean"))
+    return F.coalesce(decided, exported & (fan_in == 0) & (fan_out > 0), F.lit(False))
 
 
 def dag_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -13,27 +13,30 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import similarity as M
+from ..session import Cut
 from .relational import first_n
 
 
-def candidates(deleted: DataFrame, added: DataFrame, scope: str, commit: str, least: float) -> DataFrame:
-    """The best target of each deleted text block: a, b, source, target, score.
+def candidates(blocks: DataFrame, scope: str, least: float) -> DataFrame:
+    """The best other place of each text block: a, b, source, target, score.
 
-    Both sides have doc_id, the scope and commit columns, file_path and text.
-    Equal normalised text anywhere in the scope scores 1: one target per text
-    is kept, so copies do not multiply.  Within a commit texts of equal shape
-    score by their similarity; there are as many pairs as commits are large.
+    ``blocks`` has doc_id, the scope column, file_path and text.  Equal
+    normalised text in the scope scores 1; the two first blocks of a text
+    suffice as targets, so copies do not multiply.  Different texts of equal
+    shape score by their similarity, each text standing for all its copies.
+    Null texts match nothing; a block without partner gives no row.
     """
-
-    def side(df: DataFrame, name: str, path: str) -> DataFrame:
-        return df.select(F.col("doc_id").alias(name), scope, commit, F.col("file_path").alias(path), F.col("text").alias(f"text_{name}"), H.body_hash(F.col("text"), 64).alias("body"), H.digest(H.shape(F.col("text"))).alias("shape"))
-
-    a, b = side(deleted, "a", "source"), side(added, "b", "target")
-    first = b.groupBy(scope, "body").agg(F.min(F.struct("b", "target")).alias("f")).select(scope, "body", "f.b", "f.target")
-    equal = a.select("a", scope, "source", "body").join(first, [scope, "body"]).select("a", "b", "source", "target", F.lit(1.0).alias("score"))
-    near = a.drop(scope).withColumnRenamed("body", "body_a").join(b.drop(scope).withColumnRenamed("body", "body_b"), [commit, "shape"]).where("body_a <> body_b")
-    near = near.select("a", "b", "source", "target", M.text(F.col("text_a"), F.col("text_b")).alias("score")).where(F.col("score") >= least)
-    return first_n(equal.unionByName(near).withColumn("score", F.round("score", 6)), 1, ["a"], F.col("score").desc(), F.col("b"))
+    side = blocks.where("text IS NOT NULL").select("doc_id", scope, "file_path", "text", H.body_hash(F.col("text"), 64).alias("body"), H.digest(H.shape(F.col("text"))).alias("shape"))
+    side = Cut(blocks.sparkSession, "moves").put(side)[1]
+    a = side.select(F.col("doc_id").alias("a"), scope, F.col("file_path").alias("source"), "body")
+    first = first_n(side.select(F.col("doc_id").alias("b"), scope, F.col("file_path").alias("target"), "body"), 2, [scope, "body"], F.col("b"))
+    equal = a.join(first, [scope, "body"]).where("a <> b").select("a", "b", "source", "target", F.lit(1.0).alias("score"))
+    texts = first_n(side, 1, [scope, "body"], F.col("doc_id"))
+    other = texts.select(scope, "shape", F.col("doc_id").alias("b"), F.col("file_path").alias("target"), F.col("text").alias("_text"), F.col("body").alias("_body"))
+    near = texts.select(scope, "shape", "body", "text").join(other, [scope, "shape"]).where("body <> _body").select(scope, "body", "b", "target", M.text(F.col("text"), F.col("_text")).alias("score")).where(F.col("score") >= least)
+    best = first_n(near.withColumn("score", F.round("score", 6)), 1, [scope, "body"], F.col("score").desc(), F.col("b"))
+    near = a.join(best, [scope, "body"]).select("a", "b", "source", "target", "score")
+    return first_n(equal.unionByName(near), 1, ["a"], F.col("score").desc(), F.col("b"))
 
 
 def lineage(symbols: DataFrame) -> DataFrame:
@@ -45,10 +48,18 @@ def lineage(symbols: DataFrame) -> DataFrame:
 
 
 def replacements(pairs: DataFrame, least: float = 0.6, lead: float = 0.2) -> DataFrame:
-    """The clear replacement of each old symbol: score above ``least``, and alone or ahead of the second by more than ``lead``."""
+    """The clear replacement of each old symbol: score above ``least``, and alone or ahead of the second by more than ``lead``.
+
+    Of 8 points the name gives 4 (1.5 and, as similar as it is, 2, where equal
+    2.5), the kind 1, the path 1 (in the same directory 0.8, else 0.5), and the
+    signature 2 (else 1 and as much of 0.5 as the numbers of parameters agree).
+    """
     name = F.when(F.col("an") == F.col("bn"), 2.5).otherwise(2 * M.edit(F.col("an"), F.col("bn")))
-    signature = F.when(F.col("sa") == F.col("sb"), 2.0).otherwise(2 * M.edit(F.col("sa"), F.col("sb")))
-    scored = pairs.select("a", "b", F.round((1.5 + name + 1 + F.when(F.col("pa") == F.col("pb"), 1.0).otherwise(0.0) + signature) / 8, 6).alias("score")).where(F.col("score") > least)
+    home = [F.regexp_extract(c, "^(.*/)?", 1) for c in ("pa", "pb")]
+    place = F.when(F.col("pa") == F.col("pb"), 1.0).when(home[0] == home[1], 0.8).otherwise(0.5)
+    n = [F.size(F.filter(F.split(F.regexp_extract(c, r"\(([^)]*)\)", 1), ","), lambda p: F.btrim(p) != "")) for c in ("sa", "sb")]
+    signature = F.when(F.col("sa") == F.col("sb"), 2.0).when(n[0] == n[1], 1.5).otherwise(1 + 0.5 * F.least(*n) / F.greatest(*n, F.lit(1)))
+    scored = pairs.select("a", "b", F.round((1.5 + name + 1 + place + signature) / 8, 6).alias("score")).where(F.col("score") > least)
     w = W.partitionBy("a").orderBy(F.col("score").desc(), "b")
     ranked = scored.withColumn("_second", F.lead("score").over(w)).withColumn("_rn", F.row_number().over(w))
     return ranked.where("_rn = 1").where(F.col("_second").isNull() | (F.col("score") > F.round(F.col("_second") + lead, 6))).select("a", "b", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import naming as N
@@ -23,16 +24,26 @@ BUILTINS = ["map", "filter", "reduce", "foreach", "push", "pop", "slice", "splic
 
 
 def _links(t: Tables):
-    """A graph of several hops whose nodes are both ends of line items without discount."""
-    return t.lineitem.where("l_discount = 0").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 17 + F.col("l_linenumber")).alias("dst"), F.round(1 - F.col("l_tax"), 4).alias("confidence")).distinct()
+    """A graph whose nodes are both ends of line items."""
+    return t.lineitem.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 17 + F.col("l_linenumber")).alias("dst"), F.round(1 - F.col("l_tax"), 4).alias("confidence")).distinct()
 
 
-def _all_links(t: Tables):
-    """The graph of all line items."""
-    return t.lineitem.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 17 + F.col("l_linenumber")).alias("dst")).distinct()
+LINKS = ", link AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 17 + l_linenumber AS dst, round(1 - l_tax, 4) AS confidence FROM lineitem) "
 
 
-LINKS = ", link AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 17 + l_linenumber AS dst, round(1 - l_tax, 4) AS confidence FROM lineitem WHERE l_discount = 0) "
+def _entries(t: Tables):
+    """Entry points among the symbols; a symbol's degrees are those of its id in the edges, its name is exported unless it begins with ``_``."""
+    into = t.edge.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("fan_in"))
+    out = t.edge.groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("fan_out"))
+    rows = _symbol_rows(t).join(into, "id", "left").join(out, "id", "left").na.fill(0, ["fan_in", "fan_out"])
+    return rows.select("id", G.entry_point(F.col("name"), F.col("kind"), F.col("path"), F.col("fan_in"), F.col("fan_out"), ~F.col("name").startswith("_")).alias("is_entry"))
+
+
+def _dead(t: Tables):
+    """Nodes in scope (not promotional parts) with some complexity (size above 1) and no utility (container words), neither roots nor reached."""
+    scope = t.part.where("p_type NOT LIKE 'PROMO%' AND p_size > 1 AND lower(p_name) NOT LIKE '%util%'").select(F.col("p_partkey").alias("node"))
+    nodes = _links(t).select(F.col("src").alias("node")).distinct().join(scope, "node", "left_semi")
+    return nodes.join(G.reach(_links(t), _roots(t)).select("node"), "node", "left_anti")
 
 
 def _roots(t: Tables):
@@ -113,18 +124,33 @@ sb AS (SELECT * FROM (SELECT DISTINCT lower(dna_id) AS key, name, lower(signatur
 
 
 def _history(t: Tables):
-    rows = t.symbol_history.where("symbol_dna_id IS NOT NULL").select(F.lower(strip(F.col("symbol_dna_id"))).alias("dna"), "id", "change_type").distinct()
-    newest = R.first_n(rows, 5, ["dna"], F.col("id").desc())
-    return newest.groupBy("dna").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("change_type", F.lit("?")).alias("c")))), lambda x: F.concat_ws(":", x["id"].cast("string"), x["c"])), ",").alias("history"))
+    """Every change of every symbol with the context of its commit, in rows: no history is cut or gathered in one array."""
+    rows = t.symbol_history.where("symbol_dna_id IS NOT NULL").select(F.lower(strip(F.col("symbol_dna_id"))).alias("dna"), "id", "change_type", F.lower(strip(F.col("sha"))).alias("sha")).distinct()
+    commits = t.commits_metadata.where("sha IS NOT NULL").groupBy(F.lower(strip(F.col("sha"))).alias("sha")).agg(F.max_by(F.struct("author", "message"), F.struct("load_batch", F.struct("author", "message"))).alias("c"))
+    return rows.join(commits, "sha", "left").select("dna", "id", F.coalesce("change_type", F.lit("?")).alias("change_type"), "c.author", "c.message")
 
 
 def _bundle(t: Tables):
-    """One nested record of bundle facts from single-row aggregates."""
-    counts = t.commit.agg(F.struct(F.count(F.lit(1)).alias("commits"), F.max("date").alias("last")).alias("scope"))
-    symbols = t.change.agg(F.struct(F.count_if(F.col("change_type") == "added").alias("added"), F.count_if(F.col("change_type") == "removed").alias("removed")).alias("symbols"))
-    edges = t.edge.agg(F.struct(F.count(F.lit(1)).alias("edges"), F.round(F.avg("confidence"), 6).alias("confidence")).alias("graph"))
-    one = F.lit(1).alias("_k")
-    return counts.select("*", one).join(symbols.select("*", one), "_k").join(edges.select("*", one), "_k").select("scope.commits", "scope.last", "symbols.added", "symbols.removed", "graph.edges", "graph.confidence")
+    """One nested record of bundle facts, from single-row aggregates."""
+    scope = t.commit.agg(F.struct(F.count(F.lit(1)).alias("commits"), F.date_format(F.max("date"), "yyyy-MM-dd").alias("last"))).scalar()
+    symbols = t.change.agg(F.struct(F.count_if(F.col("change_type") == "added").alias("added"), F.count_if(F.col("change_type") == "removed").alias("removed"))).scalar()
+    top = t.change.groupBy("path").agg(F.count(F.lit(1)).alias("changes")).orderBy(F.col("changes").desc(), "path").limit(3)
+    hot = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("changes")).alias("k"), "path"))), lambda x: F.struct(x["path"].alias("path"), (-x["k"]).alias("changes")))).scalar()  # three files
+    graph = t.edge.agg(F.struct(F.count(F.lit(1)).alias("edges"), F.countDistinct("edge_type").alias("types")))
+    record = F.struct(scope.alias("scope"), symbols.alias("symbols"), hot.alias("hotspots"), F.col("graph"))
+    return graph.toDF("graph").select(F.to_json(record).alias("facts"))
+
+
+def _conventions(t: Tables):
+    """Adoption of a convention: its timeline, the history of each file, and the files that lag behind (below half at their last load)."""
+    rows = t.symbols.where("naming_convention IS NOT NULL").select("id", "path", "load_batch", (F.col("naming_convention") == "camelCase").alias("yes")).distinct()
+    counts = [F.count_if("yes").alias("adopted"), F.count(F.lit(1)).alias("symbols")]
+    line = R.running_share(rows.groupBy("load_batch").agg(*counts), ["load_batch"], "adopted", "symbols", "adoption").select(F.lit("timeline").alias("part"), F.lit(None).cast("string").alias("path"), "load_batch", "adopted", "symbols", "adoption")
+    w = W.partitionBy("path").orderBy("load_batch").rowsBetween(W.unboundedPreceding, 0)  # a row per load
+    files = rows.where("path IS NOT NULL").groupBy("path", "load_batch").agg(*counts).withColumn("adoption", F.round(100 * F.sum("adopted").over(w) / F.sum("symbols").over(w), 4))
+    files = files.select(F.lit("history").alias("part"), "path", "load_batch", "adopted", "symbols", "adoption")
+    late = R.first_n(files, 1, ["path"], F.col("load_batch").desc()).where("adoption < 50").withColumn("part", F.lit("lagger"))
+    return line.unionByName(files).unionByName(late)
 
 
 def _symbol_rows(t: Tables):
@@ -137,8 +163,9 @@ dm AS (SELECT path, c AS dominant, n FROM cc QUALIFY row_number() OVER (PARTITIO
 QUERIES = domain.catalogue(
     {
         "GR-01": (
-            lambda t: G.neighbours(t.edge, 5, "O"),
-            "SELECT 'calls' AS direction, dst AS neighbour FROM edge WHERE src = 5 AND edge_type = 'O' UNION SELECT 'called_by', src FROM edge WHERE dst = 5 AND edge_type = 'O'",
+            lambda t: G.neighbours(t.edge, 5, "O", "F", 50),
+            """, x AS (SELECT 'calls' AS direction, dst AS neighbour FROM edge WHERE src = 5 AND edge_type = 'O' UNION SELECT 'called_by', src FROM edge WHERE dst = 5 AND edge_type = 'O' UNION SELECT 'imports', dst FROM edge WHERE src = 5 AND edge_type = 'F')
+            SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY direction ORDER BY neighbour) <= 50""",
         ),
         "GR-02": (
             lambda t: G.blast_radius(t.edge, t.change.where("change_type = 'removed' AND lines > 48").select(F.col("path").alias("id")).distinct()),
@@ -152,14 +179,15 @@ QUERIES = domain.catalogue(
         ),
         "GR-04": (lambda t: G.reach(_links(t), _roots(t)).select("node"), LINKS + ", r AS (SELECT unnest([3, 5, 8])::BIGINT AS node UNION SELECT dst FROM r JOIN link ON src = node) SELECT node FROM r"),
         "GR-05": (
-            lambda t: _symbol_rows(t).withColumn("fan_in", F.col("id") % 3).withColumn("fan_out", F.col("id") % 2).select("id", G.entry_point(F.col("name"), F.col("kind"), F.col("path"), F.col("fan_in"), F.col("fan_out")).alias("is_entry")),
-            r""", sr AS (SELECT DISTINCT id, name, path, kind FROM symbols WHERE name IS NOT NULL AND path IS NOT NULL) SELECT id, coalesce(CASE WHEN regexp_matches(name, '^(get|set|is|has|can)[A-Z]') AND NOT regexp_matches(lower(path), 'controller|service') THEN false
-            WHEN kind IN ('function', 'method') AND (regexp_matches(lower(name), '^(main|run|start|init|setup|bootstrap|create|build)$') OR regexp_matches(name, '^on[A-Z]') OR regexp_matches(lower(name), 'handle|process|execute|render|mount|unmount|destroy')) THEN true
-            WHEN kind = 'class' AND regexp_matches(lower(name), 'controller|service|provider|component|view|page') THEN true WHEN regexp_matches(lower(path), 'controller|route|middleware|bootstrap|app\.|main\.|index\.') THEN true ELSE id % 3 = 0 AND id % 2 > 0 END, false) AS is_entry FROM sr""",
+            _entries,
+            rf""", sr AS (SELECT DISTINCT id, name, path, kind FROM symbols WHERE name IS NOT NULL AND path IS NOT NULL), fi AS (SELECT dst AS id, count(DISTINCT src) AS fan_in FROM edge GROUP BY dst), fo AS (SELECT src AS id, count(DISTINCT dst) AS fan_out FROM edge GROUP BY src)
+            SELECT id, coalesce(CASE WHEN regexp_matches(name, '^(get|set|is|has|can)[A-Z]') AND NOT regexp_matches(lower(path), 'controller|service') THEN false
+            WHEN kind IN ('function', 'method') AND (lower(name) IN ('main', 'run', 'start', 'init', 'setup', 'bootstrap', 'create', 'build') OR regexp_matches(name, '^on[A-Z]') OR regexp_matches(lower(name), 'handle|process|execute|render|mount|unmount|destroy')) THEN true
+            WHEN kind = 'class' AND regexp_matches(lower(name), 'controller|service|provider|component|view|page') THEN true WHEN regexp_matches(lower(path), 'controller|route|middleware|bootstrap|app\.|main\.|index\.') THEN true ELSE NOT starts_with(name, '_') AND coalesce(fan_in, 0) = 0 AND coalesce(fan_out, 0) > 0 END, false) AS is_entry FROM sr LEFT JOIN fi USING (id) LEFT JOIN fo USING (id)""",
         ),
         "GR-06": (
-            lambda t: _links(t).select(F.col("src").alias("node")).distinct().join(G.reach(_links(t), _roots(t)).select("node"), "node", "left_anti").where("node % 5 > 0"),
-            LINKS + ", r AS (SELECT unnest([3, 5, 8])::BIGINT AS node UNION SELECT dst FROM r JOIN link ON src = node) SELECT DISTINCT src AS node FROM link WHERE src % 5 > 0 AND src NOT IN (SELECT node FROM r)",
+            _dead,
+            LINKS + ", r AS (SELECT unnest([3, 5, 8])::BIGINT AS node UNION SELECT dst FROM r JOIN link ON src = node) SELECT DISTINCT src AS node FROM link WHERE src IN (SELECT p_partkey FROM part WHERE p_type NOT LIKE 'PROMO%' AND p_size > 1 AND lower(p_name) NOT LIKE '%util%') AND src NOT IN (SELECT node FROM r)",
         ),
         "GR-07": (
             lambda t: t.edge.join(t.change.where("change_type = 'removed'").select(F.col("symbol_id").alias("dst")).distinct(), "dst", "left_semi").groupBy(F.col("dst").alias("symbol_id")).agg(F.countDistinct("src").alias("callers")),
@@ -178,7 +206,7 @@ QUERIES = domain.catalogue(
             lambda t: G.reverse_index(t.edge, 1000).select("node", "part", F.array_join(F.transform("incoming", lambda x: x.cast("string")), ",").alias("incoming")),
             ", p AS (SELECT dst AS node, src, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1) // 1000 AS part FROM (SELECT DISTINCT src, dst FROM edge)) SELECT node, part, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS incoming FROM p GROUP BY ALL",
         ),
-        "GR-10": (lambda t: G.dag_levels(_all_links(t).where("src < dst"), _all_links(t).select(F.explode(F.array("src", "dst")).alias("node"))), None),
+        "GR-10": (lambda t: G.dag_levels(_links(t).where("src < dst"), _links(t).select(F.explode(F.array("src", "dst")).alias("node"))), None),
         "DR-01": (
             lambda t: D.intended(_changes(t), _renames(t)),
             """, ch AS (SELECT CAST(symbol_id AS VARCHAR) AS key, date AS ts, sha, change_type FROM change JOIN commit USING (sha)), rn AS (SELECT DISTINCT CAST(symbol_id AS VARCHAR) AS old_key, symbol_id || 'x' AS new_key, date AS ts, sha FROM change JOIN commit USING (sha) WHERE path % 97 = 0),
@@ -211,8 +239,12 @@ QUERIES = domain.catalogue(
             SELECT top, dominant, round(100 * (total - n) / total, 4) AS drift_percent FROM sd JOIN (SELECT top, count(*) AS total FROM st GROUP BY top) USING (top)""",
         ),
         "DR-10": (
-            lambda t: R.running_share(t.symbols.where("naming_convention IS NOT NULL").groupBy("load_batch").agg(F.count_if(F.col("naming_convention") == "camelCase").alias("adopted"), F.count(F.lit(1)).alias("symbols")), ["load_batch"], "adopted", "symbols", "adoption"),
-            ", m AS (SELECT load_batch, count(*) FILTER (naming_convention = 'camelCase') AS adopted, count(*) AS symbols FROM symbols WHERE naming_convention IS NOT NULL GROUP BY load_batch) SELECT *, round(100 * sum(adopted) OVER w / sum(symbols) OVER w, 4) AS adoption FROM m WINDOW w AS (ORDER BY load_batch)",
+            _conventions,
+            """, c AS (SELECT DISTINCT id, path, load_batch, naming_convention = 'camelCase' AS yes FROM symbols WHERE naming_convention IS NOT NULL),
+            tl AS (SELECT load_batch, count(*) FILTER (yes) AS adopted, count(*) AS symbols FROM c GROUP BY load_batch), fl AS (SELECT path, load_batch, count(*) FILTER (yes) AS adopted, count(*) AS symbols FROM c WHERE path IS NOT NULL GROUP BY ALL),
+            h AS (SELECT path, load_batch, adopted, symbols, round(100 * sum(adopted) OVER w / sum(symbols) OVER w, 4) AS adoption FROM fl WINDOW w AS (PARTITION BY path ORDER BY load_batch))
+            SELECT 'timeline' AS part, NULL AS path, load_batch, adopted, symbols, round(100 * sum(adopted) OVER w / sum(symbols) OVER w, 4) AS adoption FROM tl WINDOW w AS (ORDER BY load_batch)
+            UNION ALL SELECT 'history', * FROM h UNION ALL SELECT 'lagger', * FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY path ORDER BY load_batch DESC) = 1) WHERE adoption < 50""",
         ),
         "DR-11": (
             _hybrid,
@@ -240,11 +272,15 @@ QUERIES = domain.catalogue(
         ),
         "DR-17": (
             _history,
-            ", h AS (SELECT DISTINCT lower(trim(symbol_dna_id, ' \t\n\r')) AS dna, id, coalesce(change_type, '?') AS c FROM symbol_history WHERE symbol_dna_id IS NOT NULL), n AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY dna ORDER BY id DESC) <= 5) SELECT dna, string_agg(id || ':' || c, ',' ORDER BY id) AS history FROM n GROUP BY dna",
+            """, h AS (SELECT DISTINCT lower(trim(symbol_dna_id, ' \t\n\r')) AS dna, id, coalesce(change_type, '?') AS change_type, lower(trim(sha, ' \t\n\r')) AS sha FROM symbol_history WHERE symbol_dna_id IS NOT NULL),
+            c AS (SELECT lower(trim(sha, ' \t\n\r')) AS sha, author, message FROM commits_metadata WHERE sha IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(sha, ' \t\n\r')) ORDER BY load_batch DESC, author DESC NULLS LAST, message DESC NULLS LAST) = 1)
+            SELECT dna, id, change_type, author, message FROM h LEFT JOIN c USING (sha)""",
         ),
         "DR-18": (
             _bundle,
-            "SELECT (SELECT count(*) FROM commit) AS commits, (SELECT max(date) FROM commit) AS last, (SELECT count(*) FROM change WHERE change_type = 'added') AS added, (SELECT count(*) FROM change WHERE change_type = 'removed') AS removed, count(*) AS edges, round(avg(confidence), 6) AS confidence FROM edge",
+            """, hot AS (SELECT path, count(*) AS n FROM change GROUP BY path ORDER BY n DESC, path LIMIT 3)
+            SELECT '{"scope":{"commits":' || (SELECT count(*) FROM commit) || ',"last":"' || (SELECT strftime(max(date), '%Y-%m-%d') FROM commit) || '"},"symbols":{"added":' || (SELECT count(*) FROM change WHERE change_type = 'added') || ',"removed":' || (SELECT count(*) FROM change WHERE change_type = 'removed')
+            || '},"hotspots":[' || (SELECT string_agg('{"path":' || path || ',"changes":' || n || '}', ',' ORDER BY n DESC, path) FROM hot) || '],"graph":{"edges":' || (SELECT count(*) FROM edge) || ',"types":' || (SELECT count(DISTINCT edge_type) FROM edge) || '}}' AS facts""",
         ),
         "DR-19": (lambda t: t.file.join(t.commit, "sha").groupBy("path").agg(F.max_by("sha", F.struct("date", "sha")).alias("sha")), "SELECT path, arg_max(sha, (date, sha)) AS sha FROM file JOIN commit USING (sha) GROUP BY path"),
     }

@@ -9,12 +9,13 @@ from ..functions import hashing as H
 from ..functions import naming as N
 from ..functions import scoring as S
 from ..functions.keys import norm_path
+from ..operators import drift as D
 from ..operators import relational as R
 from ..operators import upserts, vector
 from ..session import Cut
 from ..sources import parsers
 from ..streaming import live
-from . import domain
+from . import domain, drifting, matching
 from .domain import Tables
 
 
@@ -52,34 +53,40 @@ cs AS (SELECT ct.label, vec_id AS item_id, round(list_cosine_similarity(ct.v, CA
 SELECT label, item_id, similarity FROM cs QUALIFY row_number() OVER (PARTITION BY label ORDER BY similarity DESC, item_id) <= 10"""
 
 
+def _reranked(t: Tables):
+    """Hits of two indexes together, boosted where an item's label is among the three most frequent, differs from the query's, or is near it."""
+    both = vector.top_k(_queries(t), _vectors(t).where("label < 5"), 10, 0.0).unionByName(vector.top_k(_queries(t), _vectors(t).where("label >= 5"), 10, 0.0))
+    hot = F.broadcast(t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(3).select("label", F.lit(True).alias("hot")))
+    own = _labels(t).withColumnsRenamed({"item_id": "query_id", "label": "own"})
+    tagged = both.join(_labels(t), "item_id").join(own, "query_id").join(hot, "label", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    ranked = vector.rerank(tagged, (F.col("hot"), 1.3), (F.col("label") != F.col("own"), 1.2), (F.abs(F.col("label") - F.col("own")) <= 1, 1.1))
+    return ranked.select("query_id", "item_id", F.round("score", 6).alias("score"))
+
+
 def _stream(t: Tables):
     return live.edit_stream(t.spark, t.where)
 
 
 def _watched(t: Tables):
-    """Commits of a stream appended batch by batch, each key once."""
-    cut = Cut(t.spark, "watched")
-    path = f"{cut.base}/commits"
-
-    def apply(batch, _):
-        rows = batch.groupBy("entity").agg(F.min("event_id").alias("event_id"))
-        try:
-            done = t.spark.read.parquet(path)
-            rows = live.fresh(rows, done, ["entity"])
-        except Exception:  # nothing written yet
-            pass
-        rows.write.mode("append").parquet(path)
+    """Commits of a stream, each key once: bursts are debounced, and what earlier batches indexed is skipped."""
+    path = f"{Cut(t.spark, 'watched').base}/commits"
+
+    def apply(batch, n: int):
+        rows = live.bursts(batch, "250 milliseconds").groupBy("entity").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.min("ts").alias("ts"))
+        earlier = [f"{path}/{k}" for k in live.written(t.spark, path) if k < n]
+        if earlier:
+            rows = live.fresh(rows, t.spark.read.parquet(*earlier), ["entity"])
+        live.put_batch(rows, path, n)
 
     live.run_batches(_stream(t), apply)
-    return t.spark.read.parquet(path).select("entity", "event_id")
+    return t.spark.read.parquet(*(f"{path}/{k}" for k in live.written(t.spark, path))).groupBy("entity").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
 def _queue(t: Tables):
-    """Upserts of a stream, flushed per micro-batch: the last value of every key over all batches."""
-    cut = Cut(t.spark, "queue")
-    path = f"{cut.base}/rows"
-    live.run_batches(_stream(t), lambda batch, _: upserts.upsert(batch.select("entity", "ts", "event_id"), ["entity"], "ts").write.mode("append").parquet(path))
-    return upserts.upsert(t.spark.read.parquet(path), ["entity"], "ts").select("entity", "event_id")
+    """Upserts of a stream, flushed per micro-batch in files of at most 1000 rows: the last value of every key over all batches."""
+    path = f"{Cut(t.spark, 'queue').base}/rows"
+    live.run_batches(_stream(t), lambda batch, n: live.put_batch(upserts.upsert(batch.select("entity", "ts", "event_id"), ["entity"], "ts"), path, n, flush_rows=1000))
+    return upserts.upsert(t.spark.read.parquet(*(f"{path}/{k}" for k in live.written(t.spark, path))), ["entity"], "ts").select("entity", "event_id")
 
 
 def _range_join(t: Tables):
@@ -91,6 +98,52 @@ def _range_join(t: Tables):
     return R.first_n(per, 10, ["symbol"], F.col("doc_id").desc(), F.col("sha")).select("symbol", "sha")
 
 
+def _symbol_lineage(t: Tables):
+    """Lineage seen from either end, with the symbol's place on the timeline."""
+    steps = matching._lineage(t)
+    ends = steps.withColumn("symbol_id", F.col("old_id")).unionByName(steps.withColumn("symbol_id", F.col("new_id")))
+    at = t.symbols.select(F.col("id").alias("symbol_id"), F.col("load_batch").alias("pos")).distinct()
+    return ends.join(at, "symbol_id").select("symbol_id", "old_id", "new_id", "move_type", "pos").orderBy("symbol_id", "pos")
+
+
+def _counts(t: Tables):
+    """Evidence per category: entries of arrays, keys of objects; null where the value is damaged or of another kind."""
+
+    def whole(c: str):
+        return F.when(F.try_parse_json(c).isNotNull(), F.col(c))
+
+    rows = t.commits_analysis.select("sha", *(whole(c).alias(c) for c in ("risks", "hotspots_json", "raw_llm_json"))).distinct()
+    return rows.select("sha", F.json_array_length("risks").alias("risks"), F.json_array_length("hotspots_json").alias("hotspots"), F.size(F.json_object_keys("raw_llm_json")).alias("sections"))
+
+
+def _cached_reports(t: Tables):
+    """Lookup by fingerprint: every row whose id 100 divides asks which rows have its fingerprint."""
+    prints = t.hybrid_facts.select("id", H.digest(F.concat_ws(":", "file_path", "version")).alias("fingerprint")).distinct()
+    return prints.where("id % 100 = 0").select(F.col("id").alias("query_id"), "fingerprint").join(prints, "fingerprint").select("query_id", "id", "fingerprint")
+
+
+def _debt(t: Tables):
+    """Missing and zombie symbols, dead nodes and left-over callees, as one sum."""
+    drift = D.symbol_drift(drifting._want(t), drifting._have(t))
+    left = t.edge.join(t.change.where("change_type = 'removed'").select(F.col("symbol_id").alias("dst")).distinct(), "dst", "left_semi")
+    out = drift.agg(F.count_if(F.col("drift") == "missing").alias("missing"), F.count_if(F.col("drift") == "zombie").alias("zombies"))
+    out = out.withColumn("dead", drifting._dead(t).agg(F.count(F.lit(1))).scalar()).withColumn("leftovers", left.agg(F.countDistinct("dst")).scalar())
+    return out.withColumn("debt", F.col("missing") + F.col("zombies") + F.col("dead") + F.col("leftovers"))
+
+
+def _folders(t: Tables):
+    """Folders of two levels: files, symbols, files with a risk word, and the sum of the files' greatest finite impact scores."""
+    path = norm_path(F.col("path"))
+    sym = t.symbols.where("path IS NOT NULL").select(path.alias("path"), "id").distinct()
+    per = sym.groupBy("path").agg(F.count(F.lit(1)).alias("symbols"))
+    hot = t.symbol_history.where("file_path IS NOT NULL AND impact_score IS NOT NULL AND NOT isnan(impact_score) AND abs(impact_score) < double('infinity')").groupBy(norm_path(F.col("file_path")).alias("path")).agg(F.max("impact_score").alias("score"))
+    risky = F.lit(False)
+    for flag in S.RISK_WORDS:
+        risky = risky | S.risk_flag(flag, F.col("path"))
+    rows = per.join(hot, "path", "left").select(F.substring_index("path", "/", 2).alias("folder"), "symbols", risky.alias("risky"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("symbols").alias("symbols"), F.count_if("risky").alias("risks"), F.round(F.sum("score"), 4).alias("score"))
+
+
 def _versions(t: Tables):
     """The timeline: position of each load batch of the symbol versions."""
     return t.symbol_versions.select("load_batch").distinct().withColumn("pos", F.row_number().over(W.orderBy("load_batch")) - 1)  # one row per load
@@ -185,16 +238,17 @@ QUERIES = domain.catalogue(
             SIM + "SELECT query_id, item_id, similarity FROM sims WHERE label IN (1, 3, 5) AND similarity >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) <= 5",
         ),
         "VE-05": (
-            lambda t: vector.rerank(_hits(t, 10).join(_labels(t), "item_id"), (F.col("label") % 2 == 0, 1.3), (F.col("label") % 3 == 0, 1.2), (F.col("label") > 7, 1.1)).select("query_id", "item_id", "score"),
-            SIM + "SELECT query_id, item_id, similarity * CASE WHEN label % 2 = 0 THEN 1.3 ELSE 1 END::DOUBLE * CASE WHEN label % 3 = 0 THEN 1.2 ELSE 1 END::DOUBLE * CASE WHEN label > 7 THEN 1.1 ELSE 1 END::DOUBLE AS score FROM hit WHERE rank_no <= 10",
+            _reranked,
+            SIM + """, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, label < 5 ORDER BY similarity DESC, item_id) AS rn FROM sims WHERE similarity >= 0), hot AS (SELECT label FROM embeddings GROUP BY label ORDER BY count(*) DESC, label LIMIT 3)
+            SELECT query_id, item_id, round(similarity * CASE WHEN s.label IN (SELECT label FROM hot) THEN 1.3 ELSE 1 END::DOUBLE * CASE WHEN s.label <> e.label THEN 1.2 ELSE 1 END::DOUBLE * CASE WHEN abs(s.label - e.label) <= 1 THEN 1.1 ELSE 1 END::DOUBLE, 6) AS score FROM s JOIN e ON e.item_id = query_id WHERE rn <= 10""".replace("SELECT query_id, item_id, round", "SELECT query_id, s.item_id, round"),
         ),
         "VE-06": (
             lambda t: _hits(t, 10).join(_labels(t), "item_id").groupBy("query_id", "label").agg(F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ",").alias("evolution")),
             SIM + "SELECT query_id, label, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS evolution FROM hit WHERE rank_no <= 10 GROUP BY ALL",
         ),
         "VE-07": (
-            lambda t: R.dominant(_hits(t, 10).join(_labels(t), "item_id"), ["query_id"], "label").join(_labels(t).withColumnsRenamed({"item_id": "query_id", "label": "own"}), "query_id").where("dominant <> own").select("query_id", "own", F.col("dominant").alias("suggested")),
-            SIM + ", v AS (SELECT query_id, label, count(*) AS n FROM hit WHERE rank_no <= 10 GROUP BY ALL), d AS (SELECT query_id, label FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) = 1) SELECT query_id, e.label AS own, d.label AS suggested FROM d JOIN e ON e.item_id = query_id WHERE d.label <> e.label",
+            lambda t: R.dominant(_hits(t, 10, 0.7).join(_labels(t), "item_id"), ["query_id"], "label").join(_labels(t).withColumnsRenamed({"item_id": "query_id", "label": "own"}), "query_id").where("dominant <> own").select("query_id", "own", F.col("dominant").alias("suggested")),
+            SIM + ", v AS (SELECT query_id, label, count(*) AS n FROM hit WHERE rank_no <= 10 AND similarity >= 0.7 GROUP BY ALL), d AS (SELECT query_id, label FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) = 1) SELECT query_id, e.label AS own, d.label AS suggested FROM d JOIN e ON e.item_id = query_id WHERE d.label <> e.label",
         ),
         "VE-08": (
             lambda t: R.dominant(_hits(t, 10).join(_labels(t), "item_id"), ["query_id"], "label").select("query_id", F.col("dominant").alias("recommended"), F.round(F.col("n") / 10, 4).alias("confidence")),
@@ -204,11 +258,32 @@ QUERIES = domain.catalogue(
             lambda t: R.search(t.symbols, "rebuild", "name").select("id", "name").distinct(),
             "SELECT DISTINCT id, name FROM symbols WHERE name ILIKE '%rebuild%'",
         ),
-        "STR-01": (lambda t: live.run_available(live.buffered(_stream(t))).groupBy("entity").agg(F.max("edits").alias("edits"), F.max_by("buffered", "edits").alias("buffered")), "SELECT user_id AS entity, count(*) AS edits, least(count(*), 1000) AS buffered FROM events GROUP BY user_id"),
-        "STR-02": (lambda t: live.sessions(t.spark, t.where, "30 minutes"), None),
-        "STR-03": (lambda t: live.run_available(live.triggered(_stream(t), resets=False)), None),
-        "STR-04": (lambda t: live.run_available(live.triggered(_stream(t))), None),
-        "STR-05": (_watched, "SELECT user_id AS entity, min(event_id) AS event_id FROM events GROUP BY user_id"),
+        "STR-01": (
+            lambda t: live.run_available(live.buffered(_stream(t), live.lateness(t.spark, t.where))).groupBy("entity").agg(F.max("edits").alias("edits"), F.max_by("buffered", "edits").alias("buffered")),
+            "SELECT user_id AS entity, count(*) AS edits, least(count(*), 1000) AS buffered FROM events GROUP BY user_id",
+        ),
+        "STR-02": (
+            lambda t: live.sessions(t.spark, t.where, "30 minutes"),
+            """, g AS (SELECT user_id AS entity, ts, event_id, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true)::INT AS opens FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+            n AS (SELECT *, sum(opens) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT entity, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS edits FROM n GROUP BY entity, k""",
+        ),
+        "STR-03": (
+            lambda t: live.run_available(live.triggered(_stream(t), resets=False, late=live.lateness(t.spark, t.where))),
+            """, ev AS (SELECT user_id AS entity, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, event_type = 'purchase' AS save, event_id % 9 AS dl, event_id % 2 AS ds FROM events WHERE ts IS NOT NULL),
+            r AS (SELECT DISTINCT entity, 0::BIGINT AS event_id, 0::BIGINT AS rn, 0::BIGINT AS edits, 0::BIGINT AS lines, 0::BIGINT AS symbols, false AS fired FROM ev
+              UNION ALL SELECT entity, event_id, rn, edits, lines, symbols, NOT save AND (lines >= 50 OR symbols >= 5 OR edits >= 50) FROM (SELECT ev.entity, ev.event_id, ev.rn, save,
+              CASE WHEN save THEN CASE WHEN fired THEN 0 ELSE edits END WHEN fired THEN 1 ELSE edits + 1 END AS edits, CASE WHEN save THEN CASE WHEN fired THEN 0 ELSE lines END WHEN fired THEN dl ELSE lines + dl END AS lines, CASE WHEN save THEN CASE WHEN fired THEN 0 ELSE symbols END WHEN fired THEN ds ELSE symbols + ds END AS symbols FROM r JOIN ev ON ev.entity = r.entity AND ev.rn = r.rn + 1))
+            SELECT entity, event_id, edits, lines, symbols FROM r WHERE fired""",
+        ),
+        "STR-04": (
+            lambda t: live.run_available(live.triggered(_stream(t), late=live.lateness(t.spark, t.where))),
+            """, ev AS (SELECT user_id AS entity, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, event_type = 'purchase' AS save, event_id % 9 AS dl, event_id % 2 AS ds FROM events WHERE ts IS NOT NULL),
+            r AS (SELECT DISTINCT entity, 0::BIGINT AS event_id, 0::BIGINT AS rn, 0::BIGINT AS edits, 0::BIGINT AS lines, 0::BIGINT AS symbols, false AS fired FROM ev
+              UNION ALL SELECT entity, event_id, rn, edits, lines, symbols, NOT save AND (lines >= 50 OR symbols >= 5 OR edits >= 50) FROM (SELECT ev.entity, ev.event_id, ev.rn, save,
+              CASE WHEN save THEN 0 WHEN fired THEN 1 ELSE edits + 1 END AS edits, CASE WHEN save THEN 0 WHEN fired THEN dl ELSE lines + dl END AS lines, CASE WHEN save THEN 0 WHEN fired THEN ds ELSE symbols + ds END AS symbols FROM r JOIN ev ON ev.entity = r.entity AND ev.rn = r.rn + 1))
+            SELECT entity, event_id, edits, lines, symbols FROM r WHERE fired""",
+        ),
+        "STR-05": (_watched, "SELECT user_id AS entity, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id"),
         "STR-06": (_queue, "SELECT user_id AS entity, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1"),
         "STR-07": (lambda t: live.fresh(t.symbol_versions.where("load_batch > 40").select("id", F.lower("body_hash").alias("h")).distinct(), t.symbol_versions.where("load_batch <= 40").select(F.lower("body_hash").alias("h")), ["h"]).select("id"), "SELECT DISTINCT id FROM symbol_versions WHERE load_batch > 40 AND (body_hash IS NULL OR lower(body_hash) NOT IN (SELECT lower(body_hash) FROM symbol_versions WHERE load_batch <= 40 AND body_hash IS NOT NULL))"),
         "STR-08": (
@@ -244,10 +319,16 @@ QUERIES = domain.catalogue(
             lambda t: t.change.groupBy("path", "kind").agg(F.sum("lines").alias("s")).select("path", "kind", F.round(F.col("s") / F.greatest(F.max("s").over(W.partitionBy("path")), F.lit(1)), 6).alias("normal")),
             ", s AS (SELECT path, kind, sum(lines) AS s FROM change GROUP BY ALL) SELECT path, kind, round(s / greatest(max(s) OVER (PARTITION BY path), 1), 6) AS normal FROM s",
         ),
-        "VW-06": (lambda t: t.edge.where("src = 7 OR dst = 7").orderBy("src", "dst", "edge_type"), "SELECT * FROM edge WHERE src = 7 OR dst = 7"),
+        "VW-06": (
+            _symbol_lineage,
+            """, s AS (SELECT DISTINCT lower(dna_id) AS dna, id, name, path, change_type, load_batch AS pos FROM symbols WHERE dna_id IS NOT NULL),
+            l AS (SELECT a.id AS old_id, b.id AS new_id, CASE WHEN a.name IS DISTINCT FROM b.name THEN 'rename' WHEN a.path IS DISTINCT FROM b.path THEN 'relocate' ELSE 'refactor' END AS move_type FROM s a JOIN s b ON a.dna = b.dna AND b.pos = a.pos + 1 WHERE a.change_type = 'removed' AND b.change_type = 'added'),
+            e AS (SELECT old_id AS symbol_id, * FROM l UNION ALL SELECT new_id, * FROM l), w AS (SELECT DISTINCT id AS symbol_id, load_batch AS pos FROM symbols) SELECT symbol_id, old_id, new_id, move_type, pos FROM e JOIN w USING (symbol_id)""",
+        ),
         "VW-07": (
-            _rollup,
-            f", s AS (SELECT DISTINCT array_to_string(string_split({_NPATH}, '/')[1:2], '/') AS folder, path, id, confidence FROM symbols WHERE path IS NOT NULL) SELECT folder, count(DISTINCT path) AS files, count(*) AS symbols, round(sum(confidence), 4) AS score FROM s GROUP BY folder",
+            _folders,
+            f""", s AS (SELECT path, count(*) AS symbols FROM (SELECT DISTINCT {_NPATH} AS path, id FROM symbols WHERE path IS NOT NULL) GROUP BY path), h AS (SELECT {_NPATH.replace('path', 'file_path')} AS path, max(impact_score) AS score FROM symbol_history WHERE file_path IS NOT NULL AND isfinite(impact_score) GROUP BY 1)
+            SELECT array_to_string(string_split(path, '/')[1:2], '/') AS folder, count(*) AS files, CAST(sum(symbols) AS BIGINT) AS symbols, count(*) FILTER (regexp_matches(path, '(?i){"|".join(S.RISK_WORDS.values())}')) AS risks, round(sum(coalesce(score, 0.0)), 4) AS score FROM s LEFT JOIN h USING (path) GROUP BY 1""",
         ),
         "VW-08": (
             _prefixes,
@@ -262,8 +343,9 @@ QUERIES = domain.catalogue(
             "SELECT doc_id FROM documents WHERE coalesce(file_path, repo) IN ('src/parse/window.ts', 'lazyworks/scope-payload') AND (file_path IS NULL OR file_path = 'src/parse/window.ts')",
         ),
         "VW-11": (
-            lambda t: t.commits_analysis.where("risks IS NOT NULL").select("sha", F.size(F.from_json("risks", "array<string>")).alias("risk_count")).distinct(),
-            "SELECT DISTINCT sha, CAST(json_array_length(risks) AS INT) AS risk_count FROM commits_analysis WHERE risks IS NOT NULL",
+            _counts,
+            """, v AS (SELECT DISTINCT sha, CASE WHEN json_valid(risks) THEN risks END AS r, CASE WHEN json_valid(hotspots_json) THEN hotspots_json END AS h, CASE WHEN json_valid(raw_llm_json) THEN raw_llm_json END AS l FROM commits_analysis)
+            SELECT sha, CASE WHEN json_type(r) = 'ARRAY' THEN json_array_length(r)::INT END AS risks, CASE WHEN json_type(h) = 'ARRAY' THEN json_array_length(h)::INT END AS hotspots, CASE WHEN json_type(l) = 'OBJECT' THEN len(json_keys(l))::INT END AS sections FROM v""",
         ),
         "VW-12": (
             lambda t: t.documents.where("text IS NOT NULL").select("doc_id", F.when(F.instr("text", "return") > 0, H.line_slice(F.col("text"), F.size(F.split(F.substring_index("text", "return", 1), "\n", -1)) - 5, F.size(F.split(F.substring_index("text", "return", 1), "\n", -1)) + 15)).otherwise(F.substring("text", 1, 1800)).alias("snippet")),
@@ -273,7 +355,13 @@ QUERIES = domain.catalogue(
             lambda t: t.commits_analysis.select("sha", F.round(S.clamp(100 - 10 * F.col("symbols_removed") - 3 * F.col("edges_removed") - 0.5 * F.col("structural_change_score"), 0.0, 100.0), 6).alias("health")).distinct(),
             "SELECT DISTINCT sha, round(least(greatest(100 - 10 * symbols_removed - 3 * edges_removed - 0.5::DOUBLE * structural_change_score, 0.0), 100.0), 6) AS health FROM commits_analysis WHERE structural_change_score IS NOT NULL AND symbols_removed IS NOT NULL AND edges_removed IS NOT NULL",
         ),
-        "VW-14": (lambda t: t.commits_analysis.select("sha", (F.col("symbols_removed") + F.col("edges_removed") + F.col("symbols_modified")).alias("debt")).distinct(), "SELECT DISTINCT sha, symbols_removed + edges_removed + symbols_modified AS debt FROM commits_analysis"),
+        "VW-14": (
+            _debt,
+            drifting.STATES + drifting.LINKS + """, pl AS (SELECT DISTINCT name, path FROM have), j AS (SELECT CASE WHEN expect = 'present' AND h.key IS NULL AND p.path IS NULL THEN 'missing' WHEN expect = 'absent' AND h.key IS NOT NULL THEN 'zombie' END AS drift FROM want w LEFT JOIN have h ON h.key = w.key LEFT JOIN pl p ON p.name = w.name AND p.path = w.path),
+            r AS (SELECT unnest([3, 5, 8])::BIGINT AS node UNION SELECT dst FROM r JOIN link ON src = node), x AS (SELECT (SELECT count(*) FROM j WHERE drift = 'missing') AS missing, (SELECT count(*) FROM j WHERE drift = 'zombie') AS zombies,
+            (SELECT count(DISTINCT src) FROM link WHERE src IN (SELECT p_partkey FROM part WHERE p_type NOT LIKE 'PROMO%' AND p_size > 1 AND lower(p_name) NOT LIKE '%util%') AND src NOT IN (SELECT node FROM r)) AS dead,
+            (SELECT count(DISTINCT dst) FROM edge WHERE dst IN (SELECT symbol_id FROM change WHERE change_type = 'removed')) AS leftovers) SELECT *, missing + zombies + dead + leftovers AS debt FROM x""",
+        ),
         "VW-15": (
             lambda t: t.symbol_versions.select("id", _age(F.col("recorded_at").cast("timestamp")).alias("age")).distinct(),
             f", d AS (SELECT DISTINCT id, CAST(floor((epoch_us(TIMESTAMP '{domain.AS_OF}') - epoch_us(recorded_at)) / 86400000000.0) AS BIGINT) AS d FROM symbol_versions) SELECT id, CASE WHEN d IS NULL THEN 'Unknown' WHEN d = 0 THEN 'Today' WHEN d = 1 THEN 'Yesterday' WHEN d < 7 THEN d || ' days ago' WHEN d < 30 THEN d // 7 || ' weeks ago' WHEN d < 365 THEN d // 30 || ' months ago' ELSE d // 365 || ' years ago' END AS age FROM d",
@@ -297,8 +385,8 @@ QUERIES = domain.catalogue(
             "SELECT 'staged' AS sha UNION ALL SELECT 'unstaged' UNION ALL SELECT CAST(sha AS VARCHAR) FROM commit WHERE sha > 1 UNION ALL SELECT 'HEAD' FROM commit WHERE sha = 1",
         ),
         "VW-22": (
-            lambda t: t.change.where("path = 3").agg(F.count(F.lit(1)).alias("changes"), F.count_if(F.col("change_type") == "removed").alias("drift")).withColumn("outgoing", t.edge.where("src = 3").agg(F.count(F.lit(1))).scalar()),
-            "SELECT (SELECT count(*) FROM edge WHERE src = 3) AS outgoing, count(*) AS changes, count(*) FILTER (change_type = 'removed') AS drift FROM change WHERE path = 3",
+            lambda t: t.change.where("path = 3").agg(F.count(F.lit(1)).alias("changes"), F.count_if(F.col("change_type") == "removed").alias("drift")).withColumn("outgoing", t.edge.where("src = 3").agg(F.count(F.lit(1))).scalar()).withColumn("incoming", t.edge.where("dst = 3").agg(F.count(F.lit(1))).scalar()).withColumn("hotspot", matching._scored(t).where("path = 3").agg(F.round(F.max("score"), 4)).scalar()),
+            matching._FILE_METRICS + "SELECT (SELECT count(*) FROM edge WHERE src = 3) AS outgoing, (SELECT count(*) FROM edge WHERE dst = 3) AS incoming, (SELECT round(max(score), 4) FROM h WHERE path = 3) AS hotspot, count(*) AS changes, count(*) FILTER (change_type = 'removed') AS drift FROM change WHERE path = 3",
         ),
         "SP-01": (_skeleton, f", f AS (SELECT DISTINCT {_NPATH} AS path FROM files WHERE path IS NOT NULL) SELECT path FROM f WHERE (path = 'src' OR starts_with(path, 'src/')) AND NOT regexp_matches(path, '^src/core/.*$') AND NOT regexp_matches(path, '^src/[^/]*/edge[^/]*/[^/]*$')"),
         "SP-02": (
@@ -326,8 +414,8 @@ QUERIES = domain.catalogue(
             ", n AS (SELECT DISTINCT sha AS bundle, path AS file FROM change WHERE kind = 'O' AND sha % 2 = 0) SELECT * FROM n UNION ALL SELECT DISTINCT sha, path FROM change WHERE kind = 'F' AND sha NOT IN (SELECT bundle FROM n)",
         ),
         "SP-11": (
-            lambda t: t.hybrid_facts.select("id", H.digest(F.concat_ws(":", "file_path", "version")).alias("fingerprint")).distinct().where(F.substring("fingerprint", 1, 1) == "a").select("id", "fingerprint"),
-            "SELECT DISTINCT id, sha256(concat_ws(':', file_path, version)) AS fingerprint FROM hybrid_facts WHERE sha256(concat_ws(':', file_path, version))[1] = 'a'",
+            _cached_reports,
+            ", f AS (SELECT DISTINCT id, sha256(concat_ws(':', file_path, version)) AS fingerprint FROM hybrid_facts) SELECT q.id AS query_id, f.id, fingerprint FROM f q JOIN f USING (fingerprint) WHERE q.id % 100 = 0",
         ),
         "SP-12": (_gaps, "SELECT * FROM (VALUES ('symbols', 'convention_confidence'), ('files', 'size')) v(table_name, missing)"),
     }

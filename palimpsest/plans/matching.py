@@ -19,16 +19,42 @@ from .scans import _CODE
 
 
 def _pairs(t: Tables):
-    """Removed and added symbols of one commit and kind: the candidate pairs of a change, as many as commits are large."""
+    """Removed and added symbols of one commit and kind, lined up by name: as many pairs as the shorter side has."""
     sha = F.lower(F.btrim("sha")).alias("sha")
     rows = t.symbols.where("name IS NOT NULL AND signature IS NOT NULL")
     old = rows.where("change_type = 'removed'").select(sha, "kind", F.col("id").alias("a"), F.col("name").alias("an"), F.col("signature").alias("sa"), F.col("path").alias("pa")).distinct()
     new = rows.where("change_type = 'added'").select(sha, "kind", F.col("id").alias("b"), F.col("name").alias("bn"), F.col("signature").alias("sb"), F.col("path").alias("pb")).distinct()
+
+    def place(df, name: str, key: str):
+        return df.withColumn("k", F.row_number().over(W.partitionBy("sha", "kind").orderBy(name, key)))
+
+    return place(old, "an", "a").join(place(new, "bn", "b"), ["sha", "kind", "k"])
+
+
+def _replacement_pairs(t: Tables):
+    """Removed and added symbols of one commit and kind: as many pairs as a commit's two sides have."""
+    sha = F.lower(F.btrim("sha")).alias("sha")
+    rows = t.symbols.where("name IS NOT NULL AND signature IS NOT NULL AND path IS NOT NULL")
+    old = rows.where("change_type = 'removed'").select(sha, "kind", F.col("id").alias("a"), F.col("name").alias("an"), F.col("signature").alias("sa"), F.col("path").alias("pa")).distinct()
+    new = rows.where("change_type = 'added'").select(sha, "kind", F.col("id").alias("b"), F.col("name").alias("bn"), F.col("signature").alias("sb"), F.col("path").alias("pb")).distinct()
     return old.join(new, ["sha", "kind"])
 
 
+def _moved(t: Tables):
+    """Removed and added symbols of one commit, kind and name with the confidence of a move above 0.7: nothing else can reach it."""
+    sha = F.lower(F.btrim("sha")).alias("sha")
+    rows = t.symbols.where("name IS NOT NULL AND signature IS NOT NULL")
+
+    def side(kind: str, i: str, s: str, p: str):
+        return rows.where(F.col("change_type").isin(kind, "moved")).select(sha, "kind", "name", F.col("id").alias(i), F.col("signature").alias(s), N.extension(F.col("path")).alias(p)).distinct()
+
+    met = side("removed", "a", "sa", "la").join(side("added", "b", "sb", "lb"), ["sha", "kind", "name"]).where("a <> b")
+    return met.select("a", "b", F.round(M.move((F.col("name"), F.col("name")), (F.col("kind"), F.col("kind")), (F.col("sa"), F.col("sb")), (F.col("la"), F.col("lb"))), 6).alias("confidence")).where("confidence > 0.7")
+
+
 _PAIRS = """, o AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, id AS a, name AS an, signature AS sa, path AS pa FROM symbols WHERE change_type = 'removed' AND name IS NOT NULL AND signature IS NOT NULL),
-n AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, id AS b, name AS bn, signature AS sb, path AS pb FROM symbols WHERE change_type = 'added' AND name IS NOT NULL AND signature IS NOT NULL), pr AS (SELECT * FROM o JOIN n USING (sha, kind)) """
+n AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, id AS b, name AS bn, signature AS sb, path AS pb FROM symbols WHERE change_type = 'added' AND name IS NOT NULL AND signature IS NOT NULL), ok AS (SELECT *, row_number() OVER (PARTITION BY sha, kind ORDER BY an, a) AS k FROM o), nk AS (SELECT *, row_number() OVER (PARTITION BY sha, kind ORDER BY bn, b) AS k FROM n), pr AS (SELECT * FROM ok JOIN nk USING (sha, kind, k)) """
+_EXT = "lower(regexp_extract(regexp_extract(replace(path, chr(92), '/'), '[^/]*$'), '.\\.([^.]*)$', 1))"
 
 
 def _edit(a: str, b: str) -> str:
@@ -46,6 +72,10 @@ def _words(x: str) -> str:
     return f"list_distinct(list_filter(regexp_split_to_array({x}, '[^A-Za-z0-9_]+'), lambda w: w <> ''))"
 
 
+def _params(x: str) -> str:
+    return f"len(list_filter(string_split(regexp_extract({x}, '\\(([^)]*)\\)', 1), ','), lambda p: trim(p) <> ''))"
+
+
 def _versions(t: Tables):
     """Versions of a symbol in order: dna, position, id, name, path."""
     rows = t.symbol_versions.where("dna_id IS NOT NULL").select(F.lower("dna_id").alias("dna"), "id", "name", "path", "load_batch").distinct()
@@ -53,16 +83,20 @@ def _versions(t: Tables):
 
 
 def _moves(t: Tables):
-    """Blocks of one half of the code files in the other half: equal text in any file of a language, similar text in the same file."""
-    code = t.documents.where(_CODE).select("doc_id", "lang", F.concat("repo", F.lit(":"), "file_path").alias("place"), "file_path", "text")
-    return moves.candidates(code.where("doc_id % 2 = 0"), code.where("doc_id % 2 = 1"), "lang", "place", 0.6)
+    """Blocks of code found again: equal text, or text of equal shape, in any other document of a language."""
+    code = t.documents.where(_CODE).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "file_path", "text")
+    return moves.candidates(code, "lang", 0.6)
+
 
+_MOVES = f""", c AS (SELECT doc_id, coalesce(lang, '') AS lang, file_path, text, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS h, sha256({_SHAPE}) AS s FROM documents WHERE {_CODE}),
+rep AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, h ORDER BY doc_id) = 1),
+near AS (SELECT a.lang, a.h, b.doc_id AS b, b.file_path AS target, CASE WHEN greatest(length(a.text), length(b.text)) > 2000 THEN {_dice("a.text", "b.text")} ELSE {_edit("a.text", "b.text")} END::DOUBLE AS score FROM rep a JOIN rep b ON a.lang = b.lang AND a.s = b.s AND a.h <> b.h),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, a.file_path AS source, b.file_path AS target, 1.0::DOUBLE AS score FROM c a JOIN c b ON a.lang = b.lang AND a.h = b.h AND a.doc_id <> b.doc_id
+  UNION ALL SELECT c.doc_id, b, c.file_path, target, score FROM c JOIN near USING (lang, h) WHERE score >= 0.6),
+m AS (SELECT a, b, source, target, round(score, 6) AS score FROM x QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, b) = 1) """
 
-_MOVES = f""", c AS (SELECT doc_id, lang, repo || ':' || file_path AS place, file_path, text, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS h, sha256({_SHAPE}) AS s FROM documents WHERE {_CODE}),
-x AS (SELECT a.doc_id AS a, b.doc_id AS b, a.file_path AS source, b.file_path AS target, 1.0::DOUBLE AS score FROM c a JOIN c b ON a.lang = b.lang AND a.h = b.h WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1
-  UNION ALL SELECT a.doc_id, b.doc_id, a.file_path, b.file_path, CASE WHEN greatest(length(a.text), length(b.text)) > 2000 THEN {_dice("a.text", "b.text")} ELSE {_edit("a.text", "b.text")} END::DOUBLE
-  FROM c a JOIN c b ON a.place = b.place AND a.s = b.s WHERE a.h <> b.h AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1),
-m AS (SELECT a, b, source, target, round(score, 6) AS score FROM x WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, b) = 1) """
+
+# No SQL for the similarities of whole texts: DuckDB's edit distance counts bytes, not characters.
 
 
 def _lineage(t: Tables):
@@ -99,7 +133,7 @@ def _risk(t: Tables):
     rows = t.symbols.where("sha IS NOT NULL").select(F.lower(F.btrim("sha")).alias("sha"), "path", "name", "kind", "change_type", "mod_reason", "id").distinct()
     flags = [F.max(S.risk_flag(f, F.col("path"), F.col("name"))).alias(f) for f in ("schema-migration", "security", "performance", "auth", "payment")]
     breaking = F.max(F.coalesce(F.col("kind").isin("function", "method") & (F.col("mod_reason") == "signature_changed") & ~F.col("name").startswith("_"), F.lit(False)) | F.coalesce((F.col("change_type") == "removed") & ~F.col("name").startswith("_"), F.lit(False)))
-    per = rows.groupBy("sha").agg(*flags, breaking.alias("breaking-api"), ((F.countDistinct("path") > 10) | (F.countDistinct("id") > 20)).alias("refactor"))
+    per = rows.groupBy("sha").agg(*flags, breaking.alias("breaking-api"), ((F.countDistinct("path") > 10) | (F.countDistinct(F.when(F.col("change_type") == "renamed", F.col("id"))) > 5) | (F.countDistinct("id") > 20)).alias("refactor"))
     names = ["breaking-api", "schema-migration", "refactor", "security", "performance", "auth", "payment"]
     return per.select("sha", F.array_join(F.array_compact(F.array(*(F.when(F.col(f"`{n}`"), n) for n in names))), ",").alias("risks"))
 
@@ -110,7 +144,7 @@ def _risk_sql() -> str:
 
     return f""", r AS (SELECT DISTINCT lower(trim(sha)) AS sha, path, name, kind, change_type, mod_reason, id FROM symbols WHERE sha IS NOT NULL)
     SELECT sha, concat_ws(',', CASE WHEN bool_or(coalesce(kind IN ('function', 'method') AND mod_reason = 'signature_changed' AND NOT starts_with(name, '_'), false) OR coalesce(change_type = 'removed' AND NOT starts_with(name, '_'), false)) THEN 'breaking-api' END,
-    CASE WHEN {flag("schema-migration")} THEN 'schema-migration' END, CASE WHEN count(DISTINCT path) > 10 OR count(DISTINCT id) > 20 THEN 'refactor' END, CASE WHEN {flag("security")} THEN 'security' END, CASE WHEN {flag("performance")} THEN 'performance' END, CASE WHEN {flag("auth")} THEN 'auth' END, CASE WHEN {flag("payment")} THEN 'payment' END) AS risks FROM r GROUP BY sha"""
+    CASE WHEN {flag("schema-migration")} THEN 'schema-migration' END, CASE WHEN count(DISTINCT path) > 10 OR count(DISTINCT id) FILTER (change_type = 'renamed') > 5 OR count(DISTINCT id) > 20 THEN 'refactor' END, CASE WHEN {flag("security")} THEN 'security' END, CASE WHEN {flag("performance")} THEN 'performance' END, CASE WHEN {flag("auth")} THEN 'auth' END, CASE WHEN {flag("payment")} THEN 'payment' END) AS risks FROM r GROUP BY sha"""
 
 
 def _diff_scan(t: Tables):
@@ -154,24 +188,27 @@ QUERIES = domain.catalogue(
             _PAIRS + f"SELECT a, b, round(least(1.0, 0.3 + CASE WHEN {_SIG.replace('signature', 'sa')} = {_SIG.replace('signature', 'sb')} THEN 0.4 ELSE 0.0 END + CASE WHEN an <> bn THEN 0.3 * {_edit('an', 'bn')} ELSE 0.0 END)::DOUBLE, 6) AS confidence FROM pr",
         ),
         "SM-08": (
-            lambda t: _pairs(t).withColumn("c", F.round(M.move((F.col("an"), F.col("bn")), (F.col("kind"), F.col("kind")), (F.col("sa"), F.col("sb")), (F.lit("x"), F.lit("x"))), 6)).where("c > 0.3").select("a", "b", F.col("c").alias("confidence")),
-            _PAIRS + f", k AS (SELECT a, b, round(CASE WHEN an = bn THEN 0.5 ELSE 0.0 END + CASE WHEN sa = sb THEN 0.4 WHEN {_edit('sa', 'sb')} > 0.8 THEN 0.3 ELSE 0.0 END + 0.1, 6)::DOUBLE AS confidence FROM pr) SELECT * FROM k WHERE confidence > 0.3",
+            _moved,
+            f""", r AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, name, id, signature, {_EXT} AS ext, change_type FROM symbols WHERE name IS NOT NULL AND signature IS NOT NULL),
+            p AS (SELECT DISTINCT o.id AS a, n.id AS b, o.signature AS sa, n.signature AS sb, o.ext AS la, n.ext AS lb FROM r o JOIN r n USING (sha, kind, name) WHERE o.change_type IN ('removed', 'moved') AND n.change_type IN ('added', 'moved') AND o.id <> n.id),
+            k AS (SELECT a, b, round(0.5 + CASE WHEN sa = sb THEN 0.4 WHEN {_edit('sa', 'sb')} > 0.8 THEN 0.3 ELSE 0.0 END + CASE WHEN la = lb THEN 0.1 ELSE 0.0 END, 6)::DOUBLE AS confidence FROM p) SELECT * FROM k WHERE confidence > 0.7""",
         ),
         "SM-09": (
-            lambda t: moves.replacements(_pairs(t).select("a", "b", "an", "bn", "pa", "pb", "sa", "sb")),
-            _PAIRS + f""", s AS (SELECT a, b, round((1.5 + CASE WHEN an = bn THEN 2.5 ELSE 2 * {_edit('an', 'bn')} END + 1 + CASE WHEN pa = pb THEN 1.0 ELSE 0.0 END + CASE WHEN sa = sb THEN 2.0 ELSE 2 * {_edit('sa', 'sb')} END)::DOUBLE / 8, 6) AS score FROM pr),
+            lambda t: moves.replacements(_replacement_pairs(t)),
+            f""", o AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, id AS a, name AS an, signature AS sa, path AS pa FROM symbols WHERE change_type = 'removed' AND name IS NOT NULL AND signature IS NOT NULL AND path IS NOT NULL),
+            n AS (SELECT DISTINCT lower(trim(sha)) AS sha, kind, id AS b, name AS bn, signature AS sb, path AS pb FROM symbols WHERE change_type = 'added' AND name IS NOT NULL AND signature IS NOT NULL AND path IS NOT NULL),
+            pr AS (SELECT *, {_params('sa')} AS qa, {_params('sb')} AS qb, regexp_extract(pa, '^(.*/)?', 1) AS da, regexp_extract(pb, '^(.*/)?', 1) AS db FROM o JOIN n USING (sha, kind)),
+            s AS (SELECT a, b, round((1.5 + CASE WHEN an = bn THEN 2.5 ELSE 2 * {_edit('an', 'bn')} END + 1 + CASE WHEN pa = pb THEN 1.0 WHEN da = db THEN 0.8 ELSE 0.5 END
+            + CASE WHEN sa = sb THEN 2.0 WHEN qa = qb THEN 1.5 ELSE 1 + 0.5 * least(qa, qb) / greatest(qa, qb, 1) END)::DOUBLE / 8, 6) AS score FROM pr),
             k AS (SELECT *, lead(score) OVER (PARTITION BY a ORDER BY score DESC, b) AS second, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM s WHERE score > 0.6) SELECT a, b, score FROM k WHERE rn = 1 AND (second IS NULL OR score > round(second + 0.2, 6))""",
         ),
         "SM-10": (
             lambda t: t.symbol_versions.where("path IS NOT NULL").groupBy(F.lower("dna_id").alias("dna")).agg(F.min("path").alias("p"), F.max("path").alias("q")).select("dna", F.round(M.path(F.col("p"), F.col("q")), 6).alias("similarity")),
             ", x AS (SELECT lower(dna_id) AS dna, string_split(min(path), '/') AS p, string_split(max(path), '/') AS q FROM symbol_versions WHERE path IS NOT NULL GROUP BY 1), y AS (SELECT dna, greatest(len(p), len(q)) AS m, list_position(list_transform(range(1, greatest(len(p), len(q)) + 1), lambda i: coalesce(p[i] = q[i], false)), false) AS f FROM x) SELECT dna, round(CASE WHEN f IS NULL OR f = 0 THEN m ELSE f - 1 END / m::DOUBLE, 6) AS similarity FROM y",
         ),
-        "SM-11": (lambda t: _moves(t).select("a", "b", "score"), _MOVES + "SELECT a, b, score FROM m"),
-        "SM-12": (
-            lambda t: _moves(t).where("source IS NOT NULL AND target IS NOT NULL").select("a", "b", M.move_reason(F.col("source"), F.col("target"), F.col("score")).alias("reason")),
-            _MOVES + r"SELECT a, b, CASE WHEN regexp_extract(source, '[^/]*$') = regexp_extract(target, '[^/]*$') AND source <> target THEN 'file_rename' WHEN regexp_matches(target, '(?i)(^|/)(utils|helpers|lib|common|shared)/') AND NOT regexp_matches(source, '(?i)(^|/)(utils|helpers|lib|common|shared)/') THEN 'extraction' WHEN score >= 0.95 THEN 'refactoring' ELSE 'unclear' END AS reason FROM m WHERE source IS NOT NULL AND target IS NOT NULL",
-        ),
-        "SM-13": (lambda t: _moves(t).where("a <> b").select(F.col("b").alias("symbol_id"), F.col("a").alias("previous_symbol_id"), F.lit("symbol_rename").alias("move_type")), _MOVES + "SELECT b AS symbol_id, a AS previous_symbol_id, 'symbol_rename' AS move_type FROM m WHERE a <> b"),
+        "SM-11": (lambda t: _moves(t).select("a", "b", "score"), None),
+        "SM-12": (lambda t: _moves(t).where("source IS NOT NULL AND target IS NOT NULL").select("a", "b", M.move_reason(F.col("source"), F.col("target"), F.col("score")).alias("reason")), None),
+        "SM-13": (lambda t: _moves(t).where("a <> b").select(F.col("b").alias("symbol_id"), F.col("a").alias("previous_symbol_id"), F.lit("symbol_rename").alias("move_type")), None),
         "SM-14": (
             _lineage,
             """, s AS (SELECT DISTINCT lower(dna_id) AS dna, id, name, path, change_type, load_batch AS pos FROM symbols WHERE dna_id IS NOT NULL)
@@ -203,8 +240,8 @@ QUERIES = domain.catalogue(
             "SELECT path, sum(lines) AS new FROM change GROUP BY path HAVING sum(CASE WHEN kind = 'F' THEN lines ELSE 0 END) > 0 AND abs(sum(lines) - sum(CASE WHEN kind = 'F' THEN lines ELSE 0 END)) / greatest(sum(CASE WHEN kind = 'F' THEN lines ELSE 0 END), 1) >= 0.05",
         ),
         "HS-07": (
-            lambda t: _scored(t).where("path % 3 = 0").select("path", F.round("score", 4).alias("score")).orderBy(F.col("score").desc(), "path").limit(20),
-            _FILE_METRICS + "SELECT path, round(score, 4) AS score FROM h WHERE path % 3 = 0 ORDER BY 2 DESC, path LIMIT 20",
+            lambda t: _scored(t).select("path", F.round("score", 4).alias("score")).orderBy(F.col("score").desc(), "path").limit(20),
+            _FILE_METRICS + "SELECT path, round(score, 4) AS score FROM h ORDER BY 2 DESC, path LIMIT 20",
         ),
         "HS-08": (
             lambda t: t.change.join(t.commit.where(F.col("date") >= F.lit("1998-01-01").cast("timestamp")), "sha").groupBy("path", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("changes")).orderBy("path", "month"),

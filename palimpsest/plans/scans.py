@@ -49,7 +49,7 @@ def markdown(t: Tables):
     path = f"{Cut(t.spark, 'report').base}/report"
     lines = title.unionByName(totals).unionByName(top).unionByName(files)
     lines.coalesce(1).sortWithinPartitions("section", "rank").select("line").write.text(path)  # some thirty lines
-    return t.spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("n", "line")).select(F.col("n").cast("long").alias("n"), "line")
+    return t.spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("n", "line")).select(F.col("n").cast("long").alias("n"), "line")
 
 
 #: Marks between the records and fields of a log, as a log command writes them on demand.
@@ -156,9 +156,10 @@ QUERIES = domain.catalogue(
             "SELECT DISTINCT id, path, name, kind, signature FROM symbols",
         ),
         "SRC-14": (
-            lambda t: parsers.headings(t.documents, "doc_id"),
-            r"""SELECT doc_id, line_no, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(line, '^#+', '')) AS title
-            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(line, '^#{1,6}\s+\S')""",
+            lambda t: parsers.declarations(t.documents, "doc_id"),
+            ", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents WHERE text IS NOT NULL), f AS ("
+            + " UNION ALL ".join(f"SELECT doc_id, line_no, '{kind}' AS kind, length(regexp_extract(line, '{pattern}', 1)) AS mark, trim(regexp_extract(line, '{pattern}', 2)) AS name FROM l" for kind, pattern in parsers.DECLARES.items())
+            + ") SELECT doc_id, line_no, kind, CASE kind WHEN 'heading' THEN mark ELSE mark // 2 END AS level, name FROM f WHERE name <> ''",
         ),
         "SRC-15": (
             lambda t: parsers.import_edges(parsers.lines(t.documents, "doc_id"), "doc_id"),
@@ -170,8 +171,10 @@ QUERIES = domain.catalogue(
             SELECT * FROM f WHERE import_path <> ''""",
         ),
         "SRC-16": (
-            lambda t: parsers.call_edges(t.documents.where(_CODE), "doc_id"),
-            rf"SELECT doc_id, callee, count(*) AS calls FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(\w+)\s*\(', 1)) AS callee FROM documents WHERE {_CODE}) WHERE callee NOT IN ({', '.join(repr(x) for x in parsers.NO_CALLS)}) GROUP BY ALL",
+            lambda t: parsers.dependency_edges(t.documents.where(_CODE), "doc_id"),
+            rf""", d AS (SELECT doc_id, text FROM documents WHERE {_CODE}), c AS (SELECT doc_id, 'calls' AS edge_type, unnest(regexp_extract_all(text, '(\w+)\s*\(', 1)) AS target FROM d), u AS (SELECT doc_id, 'uses' AS edge_type, unnest(regexp_extract_all(text, '\b(?:{"|".join(parsers.USES)})\s+([A-Za-z_]\w*)', 1)) AS target FROM d),
+            l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM d), i AS ({" UNION ALL ".join("SELECT doc_id, 'imports' AS edge_type, regexp_extract(line, '" + p.replace("'", "''") + "', 1) AS target FROM l" for p in parsers.IMPORT_FORMS.values())})
+            SELECT doc_id, edge_type, target, count(*) AS n FROM (SELECT * FROM c WHERE target NOT IN ({', '.join(repr(x) for x in parsers.NO_CALLS)}) UNION ALL SELECT * FROM u UNION ALL SELECT * FROM i WHERE target <> '') GROUP BY ALL""",
         ),
         "SRC-17": (
             gated,

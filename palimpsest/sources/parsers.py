@@ -54,15 +54,19 @@ def fill_header(rows: DataFrame, is_header: Column, value: Column, group: str, o
     return rows.withColumn(name, F.last(F.when(is_header, value), ignorenulls=True).over(w))
 
 
+def _called(words: list[str]) -> str:
+    return rf"(?:{'|'.join(words)})\s*\(\s*{_QUOTED}\s*\)"
+
+
+_QUOTED = r"""['"]([^'"]+)['"]"""
+#: How a line names what it imports, by form; the first group is the path.
+IMPORT_FORMS = {"import": rf"import\s+.*?\s+from\s+{_QUOTED}", "require": _called(["require"]), "use": r"^use\s+([^;]+);", "include": _called(["require_once", "include", "include_once"])}
+
+
 def import_edges(numbered: DataFrame, key: str) -> DataFrame:
     """Imports of numbered lines: key, line_no, import_path, form (import, require, use, include)."""
     text = F.btrim("line")
-    found = F.array(
-        F.struct(F.lit("import").alias("form"), F.regexp_extract(text, r"""import\s+.*?\s+from\s+['"]([^'"]+)['"]""", 1).alias("import_path")),
-        F.struct(F.lit("require").alias("form"), F.regexp_extract(text, r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""", 1).alias("import_path")),
-        F.struct(F.lit("use").alias("form"), F.regexp_extract(text, r"^use\s+([^;]+);", 1).alias("import_path")),
-        F.struct(F.lit("include").alias("form"), F.regexp_extract(text, r"""(?:require_once|include|include_once)\s*\(\s*['"]([^'"]+)['"]\s*\)""", 1).alias("import_path")),
-    )
+    found = F.array(*(F.struct(F.lit(form).alias("form"), F.regexp_extract(text, pattern, 1).alias("import_path")) for form, pattern in IMPORT_FORMS.items()))
     return numbered.select(key, "line_no", F.explode(F.filter(found, lambda x: x["import_path"] != "")).alias("x")).select(key, "line_no", "x.import_path", "x.form")
 
 
@@ -72,10 +76,28 @@ def call_edges(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(key, F.explode(words).alias("callee")).where(~F.col("callee").isin(NO_CALLS)).groupBy(key, "callee").agg(F.count(F.lit(1)).alias("calls"))
 
 
-def headings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Markdown headings: key, line_no, level, title."""
+#: What a line declares in a structured text, by kind: a pattern for its indent or marks, and its name.
+DECLARES = {"heading": r"^(#{1,6})\s+(\S[^\r]*)\r?$", "yaml_key": r"^((?:  )*)(?:- )?([A-Za-z_][A-Za-z0-9_-]*):(?: |\r?$)", "json_key": r'^( *)"([^"]+)"\s*:', "css_rule": r"^( *)([.#]?[A-Za-z][A-Za-z0-9_ .#>:-]*?)\s*\{\r?$"}
+
+
+def declarations(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Structural facts of Markdown, YAML, JSON and CSS lines: key, line_no, kind, level (marks, or indent by two), name."""
     line = F.col("line")
-    return lines(texts, key, text=text).where(line.rlike(r"^#{1,6}\s+\S")).select(key, "line_no", F.length(F.regexp_extract(line, "^(#+)", 1)).cast("long").alias("level"), F.btrim(F.regexp_replace(line, "^#+", "")).alias("title"))
+    found = F.array(*(F.struct(F.lit(kind).alias("kind"), F.length(F.regexp_extract(line, pattern, 1)).alias("mark"), F.btrim(F.regexp_extract(line, pattern, 2)).alias("name")) for kind, pattern in DECLARES.items()))
+    each = lines(texts, key, text=text).select(key, "line_no", F.explode(F.filter(found, lambda x: x["name"] != "")).alias("x"))
+    return each.select(key, "line_no", "x.kind", F.when(F.col("x.kind") == "heading", F.col("x.mark")).otherwise(F.floor(F.col("x.mark") / 2)).cast("long").alias("level"), "x.name")
+
+
+#: Words before the name of a type that is used.
+USES = ["new", "extends", "implements", "instanceof"]
+
+
+def dependency_edges(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, edge_type, target, n): imports, calls and uses of types."""
+    imports = import_edges(lines(texts, key, text=text), key).select(key, F.lit("imports").alias("edge_type"), F.col("import_path").alias("target"))
+    uses = texts.select(key, F.lit("uses").alias("edge_type"), F.explode(F.regexp_extract_all(text, F.lit(rf"\b(?:{'|'.join(USES)})\s+([A-Za-z_]\w*)"), F.lit(1))).alias("target"))
+    calls = call_edges(texts, key, text).select(key, F.lit("calls").alias("edge_type"), F.col("callee").alias("target"), F.col("calls").alias("n"))
+    return imports.unionByName(uses).groupBy(key, "edge_type", "target").agg(F.count(F.lit(1)).alias("n")).unionByName(calls)
 
 
 def processable(path: Column, size: Column | None = None) -> Column:

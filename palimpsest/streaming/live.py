@@ -20,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import Cut
 
 WATERMARK = "10 minutes"
+#: The state of an entity ends after so long without an edit.
+IDLE_MS = 30 * 86_400_000
 MAX_BUFFER = 1000
 MAX_LINES, MAX_SYMBOLS, MAX_EDITS = 50, 5, 50
 
@@ -87,7 +89,7 @@ def run_available(stream: DataFrame, mode: str = "append", cut: Cut | None = Non
 
 
 def run_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None]) -> None:
-    """Runs a function on every micro-batch of what is available."""
+    """Runs a function on every micro-batch of what is available; a batch may be given again after a failure."""
     cut = Cut(stream.sparkSession, "stream")
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{cut.base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -97,19 +99,25 @@ _BUFFER = T.StructType([T.StructField("edits", T.LongType()), T.StructField("lin
 _COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("edits", "lines", "symbols")])
 
 
-def buffered(stream: DataFrame) -> DataFrame:
-    """Per entity and batch: edits so far, and size and lines of its buffer of the last MAX_BUFFER changes."""
+def buffered(stream: DataFrame, late: str = WATERMARK) -> DataFrame:
+    """Per entity and batch: edits so far, and size and lines of its buffer of the last MAX_BUFFER changes; both end after IDLE_MS without an edit."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         edits, lines = state.get if state.exists else (0, [])
-        lines = list(lines)
+        lines, newest = list(lines), 0
         for pdf in batches:
             edits += len(pdf)
             lines = (lines + pdf.sort_values(["ts", "event_id"])["lines"].tolist())[-MAX_BUFFER:]
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
         state.update((edits, lines))
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + IDLE_MS)
         yield pd.DataFrame({"entity": [key[0]], "edits": [edits], "buffered": [len(lines)], "lines": [sum(lines)]})
 
-    return stream.groupBy("entity").applyInPandasWithState(update, "entity long, edits long, buffered long, lines long", _BUFFER, "append", GroupStateTimeout.NoTimeout)
+    timed = stream.where("ts IS NOT NULL").withWatermark("ts", late)
+    return timed.groupBy("entity").applyInPandasWithState(update, "entity long, edits long, buffered long, lines long", _BUFFER, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def debounced(stream: DataFrame, quiet: str = "500 milliseconds") -> DataFrame:
@@ -118,29 +126,61 @@ def debounced(stream: DataFrame, quiet: str = "500 milliseconds") -> DataFrame:
     return held.select("entity", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "edits")
 
 
-def triggered(stream: DataFrame, resets: bool = True) -> DataFrame:
+def bursts(batch: DataFrame, quiet: str) -> DataFrame:
+    """Bursts of a batch's edits: entity, and the first event of each run of edits that follow each other within the quiet period."""
+    w = W.partitionBy("entity").orderBy("ts", "event_id")
+    begins = F.coalesce(F.col("ts") > F.lag("ts").over(w) + F.expr(f"INTERVAL {quiet}"), F.lit(True))
+    return batch.withColumn("_begins", begins).where("_begins").select("entity", "ts", "event_id")
+
+
+def triggered(stream: DataFrame, resets: bool = True, late: str = WATERMARK) -> DataFrame:
     """Analyses to start: an event when an entity's edits since the last one reach a threshold; then counts begin anew.
 
-    Thresholds are lines, symbols or edits; a save clears the counts too.
+    Thresholds are lines, symbols or edits; a save clears the counts too, and
+    so do IDLE_MS without an edit.
     """
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         edits, lines, symbols = state.get if state.exists else (0, 0, 0)
-        fired = []
+        fired, newest = [], 0
         for pdf in batches:
-            for row in pdf.sort_values(["ts", "event_id"]).itertuples():
-                if row.kind == "save":
+            pdf = pdf.sort_values(["ts", "event_id"])
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
+            for event, save, more, named in zip(pdf["event_id"].tolist(), (pdf["kind"] == "save").tolist(), pdf["lines"].tolist(), pdf["symbols"].tolist()):
+                if save:
                     if resets:
                         edits = lines = symbols = 0
                     continue
-                edits, lines, symbols = edits + 1, lines + int(row.lines), symbols + int(row.symbols)
+                edits, lines, symbols = edits + 1, lines + more, symbols + named
                 if lines >= MAX_LINES or symbols >= MAX_SYMBOLS or edits >= MAX_EDITS:
-                    fired.append((key[0], row.event_id, edits, lines, symbols))
+                    fired.append((key[0], event, edits, lines, symbols))
                     edits = lines = symbols = 0
         state.update((edits, lines, symbols))
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + IDLE_MS)
         yield pd.DataFrame(fired, columns=["entity", "event_id", "edits", "lines", "symbols"])
 
-    return stream.groupBy("entity").applyInPandasWithState(update, "entity long, event_id long, edits long, lines long, symbols long", _COUNTS, "append", GroupStateTimeout.NoTimeout)
+    timed = stream.where("ts IS NOT NULL").withWatermark("ts", late)
+    return timed.groupBy("entity").applyInPandasWithState(update, "entity long, event_id long, edits long, lines long, symbols long", _COUNTS, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def written(spark: SparkSession, path: str) -> list[int]:
+    """The batches that have been written below a folder, none where the folder is not there; other errors are raised."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    names = [x.getPath().getName() for x in files.listStatus(at)]
+    return sorted(int(n) for n in names if n.isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def put_batch(rows: DataFrame, path: str, batch: int, flush_rows: int | None = None) -> None:
+    """Writes a batch to a folder of its own, so that a repeated batch replaces itself; no file holds more than ``flush_rows``."""
+    writer = rows.write.mode("overwrite")
+    (writer.option("maxRecordsPerFile", flush_rows) if flush_rows else writer).parquet(f"{path}/{batch}")
 
 
 def fresh(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators of the reference's catalogue on hand-made fixtures and invariants."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -152,7 +153,11 @@ def test_parsers(spark, rows):
     text = "import x from './a'\n  const y = require('b')\nuse App\\Foo;\ninclude_once('c.php')\n# Title\n##  Sub\nrun(go(1)); if (x) {}\n"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
     assert [r[2:] for r in rows(parsers.import_edges(parsers.lines(df, "id"), "id"))] == [("./a", "import"), ("b", "require"), ("App\\Foo", "use"), ("c.php", "include")]
-    assert rows(parsers.headings(df, "id")) == [(1, 5, 1, "Title"), (1, 6, 2, "Sub")]
+    assert rows(parsers.declarations(df, "id")) == [(1, 5, "heading", 1, "Title"), (1, 6, "heading", 2, "Sub")]
+    facts = spark.createDataFrame([(1, 'a: 1\r\n  - b_c:\n{\n  "k": {\n.x > li {\nplain')], "id int, text string")
+    assert rows(parsers.declarations(facts, "id")) == [(1, 1, "yaml_key", 0, "a"), (1, 2, "yaml_key", 1, "b_c"), (1, 4, "json_key", 1, "k"), (1, 5, "css_rule", 0, ".x > li")]
+    uses = spark.createDataFrame([(1, "class A extends B { go(new C()); go(1) }")], "id int, text string")
+    assert rows(parsers.dependency_edges(uses, "id")) == [(1, "calls", "C", 1), (1, "calls", "go", 2), (1, "uses", "B", 1), (1, "uses", "C", 1)]
     assert {r[1] for r in rows(parsers.call_edges(df, "id"))} == {"require", "include_once", "run", "go"}
     stat = spark.createDataFrame([("3\t1\ta b.ts",), ("-\t-\tx.png",), ("bad",)], "line string")
     assert rows(parsers.numstat(stat), "added", "removed", "path") == [(None, None, "x.png"), (3, 1, "a b.ts")]
@@ -206,7 +211,9 @@ def test_blast_radius(spark, rows):
     e = _edges(spark, [("B", "A"), ("C", "A"), ("A", "D"), ("A", "D")])
     ids = spark.createDataFrame([("A",), ("Z",)], "id string")
     assert rows(graphs.blast_radius(e, ids)) == [("A", 2, 1), ("Z", 0, 0)]
-    assert rows(graphs.neighbours(e, "A")) == [("called_by", "B"), ("called_by", "C"), ("calls", "D")]
+    typed = e.withColumn("edge_type", F.lit("c")).unionByName(_edges(spark, [("A", "I"), ("I", "A")]).withColumn("edge_type", F.lit("i")))
+    assert rows(graphs.neighbours(typed, "A", "c", "i", 50)) == [("called_by", "B"), ("called_by", "C"), ("calls", "D"), ("imports", "I")]
+    assert rows(graphs.neighbours(typed, "A", "c", "i", 1)) == [("called_by", "B"), ("calls", "D"), ("imports", "I")]
 
 
 def test_reach(spark, rows):
@@ -282,12 +289,75 @@ def test_symbol_diff(spark, rows):
 
 
 def test_move_candidates(spark, rows):
-    schema = "doc_id int, repo string, sha string, file_path string, text string"
-    code = "function f(x) { return x + 1; }"
-    gone = spark.createDataFrame([(1, "r", "s1", "a/f.ts", code), (2, "r", "s2", "a/g.ts", "let alpha = beta(1)"), (3, "r", "s3", "a/h.ts", ""), (4, None, None, "q", code)], schema)
-    new = spark.createDataFrame([(11, "r", "s9", "b/f.ts", code + " // moved"), (12, "r", "s2", "a/g2.ts", "let alpha = gamma(1)"), (13, "r", "s1", "b/x.ts", code), (14, "other", "s8", "b/f.ts", code), (15, "r", "s7", "z", "let alpha = betb(1)")], schema)
-    got = rows(moves.candidates(gone, new, "repo", "sha", 0.6), "a", "b", "score")
-    assert got[0] == (1, 11, 1.0) and got[1][:2] == (2, 12) and 0.6 <= got[1][2] < 1 and len(got) == 2
+    rng = random.Random(7)
+    codes = ["function f(x) { return x + 1; }", "let alpha = beta(1)", "let alpha = gamma(1)", "let ä = bé(12)", "", "class A {}\n// one", "class A {} // two", "if (a) { b(); }", None]
+    data = [(i, rng.choice(["ts", "js"]), rng.choice(["a/f.ts", None, "b/f.ts"]), rng.choice(codes), 0) for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id int, lang string, file_path string, text string, score int")
+    hashed = df.where("text IS NOT NULL").select("doc_id", "lang", "text", H.body_hash(F.col("text"), 64).alias("h"), H.digest(H.shape(F.col("text"))).alias("s")).collect()
+
+    def score(x, y):
+        if x.h == y.h:
+            return 1.0
+        return round(1 - edit(x.text, y.text) / max(len(x.text), len(y.text)), 6) if x.s == y.s else 0.0
+
+    # a text stands for all its copies by its first block
+    first = {}
+    for r in hashed:
+        first.setdefault((r.lang, r.h), r)
+    want = []
+    for x in hashed:
+        there = [(-1.0, y.doc_id) for y in hashed if y.lang == x.lang and y.h == x.h and y.doc_id != x.doc_id]
+        there += [(-score(first[x.lang, x.h], y), y.doc_id) for (lang, h), y in first.items() if lang == x.lang and h != x.h]
+        best = min(there, default=(0, 0))
+        if best[0] <= -0.6:
+            want.append((x.doc_id, best[1], -best[0]))
+    assert rows(moves.candidates(df, "lang", 0.6), "a", "b", "score") == sorted(want) and {w[2] for w in want} - {1.0}
+    assert moves.candidates(df.limit(0), "lang", 0.6).count() == 0
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [0.8, 0.6, 0.9])
+def test_similar_names_meet_all_of_them(spark, rows, least):
+    rng = random.Random(2)
+
+    def name():
+        return "".join(rng.choices("abcé", k=rng.randrange(0, 14)))
+
+    left = [(i, name(), "k") for i in range(60)] + [(900, None, "k"), (901, "abc", None)]
+    right = []
+    for i in range(80):
+        chars = list(rng.choice(left[:60])[1]) if rng.random() < 0.7 else list(name())
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(chars) + 1)
+            chars[at : at + rng.randrange(2)] = rng.choices("abz", k=rng.randrange(2))
+        right.append((i, "".join(chars), rng.choice("kj")))
+    want = sorted({(i, j, round(s, 6)) for i, a, p in left for j, b, q in right if p == q and a and b and round(s := 1 - edit(a, b) / max(len(a), len(b)), 6) >= least})
+    a, b = spark.createDataFrame(left, "i int, a string, block string"), spark.createDataFrame(right, "j int, b string, block string")
+    assert rows(relational.similar_names(a, b, ["block"], "i", "a", "j", "b", least)) == want and want
+
+
+def test_entry_points(spark):
+    cases = [("getName", "function", "src/a.ts", 0, 3, True, False), ("getName", "method", "src/user.controller.ts", 0, 0, True, True), ("main", "function", "x", 9, 0, True, True), ("onClick", "method", "x", 9, 0, False, True),
+             ("UserService", "class", "x", 1, 0, True, True), ("thing", "const", "src/main.ts", 1, 0, True, True), ("thing", "function", "x", 0, 2, True, True), ("thing", "function", "x", 0, 2, False, False), ("thing", "function", "x", 1, 2, True, False), (None, None, None, 0, 1, True, True)]
+    df = spark.createDataFrame(cases, "name string, kind string, path string, i int, o int, exported boolean, want boolean")
+    out = df.select("want", graphs.entry_point(*(F.col(c) for c in ("name", "kind", "path", "i", "o", "exported"))).alias("got")).collect()
+    assert [r.got for r in out] == [r.want for r in out]
+
+
+def test_log_and_status_lines(spark, rows):
+    log = spark.createDataFrame([("a\x1fAnn\x1f2020\x1fline 1\nline 2\x1fb",), ("b\x1fBob",), ("",), (None,)], "value string")
+    assert rows(parsers.log_records(log, "\x1f")) == [("a", "Ann", "2020", "line 1\nline 2", "b"), ("b", "Bob", "", "", "")]
+    changes = spark.createDataFrame([("M\ta b.ts",), ("R087\told.ts\tnew.ts",)], "line string")
+    assert rows(parsers.name_status(changes), "status", "similarity", "old_path", "path") == [("M", None, None, "a b.ts"), ("R", 87, "old.ts", "new.ts")]
+    assert rows(parsers.status_lines(spark.createDataFrame([("MM x y.ts",), (" D z",), ("A  w",)], "line string"))) == [("w", "A", "staged"), ("x y.ts", "M", "staged"), ("x y.ts", "M", "unstaged"), ("z", "D", "unstaged")]
 
 
 def test_name_clusters(spark):
