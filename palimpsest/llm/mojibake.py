@@ -57,7 +57,7 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 _LETTER = re.compile(r"[A-Za-z]")
 #: Controls that stand for bytes which common encodings leave undefined; text garbled twice passes through them.
 _PASSING = set("\x81\x8d\x8f\x90\x9d")
-_MARK, _JOIN, _EXACT = "\x00", "\x01", "\x02"
+_MARK, _JOIN, _EXACT, _BYTES = "\x00", "\x01", "\x02", "\x04"
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,10 @@ def windows(text: str) -> set[tuple[str, str]]:
     """(skeleton, filling) of the windows around the tokens with non-ASCII characters.
 
     A window is a token with both neighbours.  Where it has too few ASCII
-    letters to tell texts apart, the skeleton also holds the runs' lengths.
+    letters to tell texts apart, the skeleton also holds the runs' lengths.  A
+    token of a script without ASCII letters stands alone too, under the lengths
+    of its runs and under their lengths in UTF-8: garbled text has as many
+    characters as its clean twin has bytes.
     """
     found = set()
     for line in re.split(r"[\n\r]+", text):
@@ -128,6 +131,11 @@ def windows(text: str) -> set[tuple[str, str]]:
                 found.add((_RUN.sub(_MARK, window), _JOIN.join(runs)))
             if sum(map(len, runs)) >= ENOUGH:
                 found.add((_EXACT + _RUN.sub(lambda m: f"{_MARK}{len(m.group())}{_MARK}", window), _JOIN.join(runs)))
+            own = _RUN.findall(token)
+            if sum(len(r.encode("utf-8", "replace")) for r in own) >= ENOUGH and len(_LETTER.findall(token)) < TELLING:
+                found.add((_BYTES + _RUN.sub(lambda m: f"{_MARK}{len(m.group().encode('utf-8', 'replace'))}{_MARK}", token), _JOIN.join(own)))
+                if sum(map(len, own)) >= ENOUGH:
+                    found.add((_BYTES + _RUN.sub(lambda m: f"{_MARK}{len(m.group())}{_MARK}", token), _JOIN.join(own)))
     return found
 
 
@@ -282,7 +290,7 @@ def lost_twins(every: DataFrame) -> DataFrame:
     is formed.  Kept are twins whose other characters agree.
     """
     lengths = F.array_join(F.transform(F.split("filling", _JOIN), lambda r: F.length(r).cast("string")), ",")
-    sized = every.withColumn("at", F.concat_ws("\x03", lengths, "skeleton"))
+    sized = every.where(~F.col("skeleton").startswith(_BYTES)).withColumn("at", F.concat_ws("\x03", lengths, "skeleton"))
     broken = sized.where(F.col("filling").contains(LOST)).withColumnRenamed("filling", "garbled")
     clean = sized.where(~F.col("filling").contains(LOST)).groupBy("at", "filling").agg(F.count(F.lit(1)).alias("n"))
     clean = clean.groupBy("at").agg(F.max_by("filling", F.struct("n", "filling")).alias("filling"))
