@@ -3,25 +3,31 @@
 A passage is a window of ``words`` consecutive words of a test item.  With an
 error budget of k words, each passage is split into k+1 pieces, of which at
 least one occurs unchanged wherever the passage occurs with at most k edits
-(pigeonhole).  The exact piece hits come from one Aho-Corasick pass over the
-document's normalised words; each hit is verified around its place by Myers'
-bit-parallel edit distance over words.
+(pigeonhole).  One pass over the documents looks every window of a piece's
+length up in a bit table of the pieces' hashes, whose size is bounded whatever
+the number of items; what passes meets the pieces by a join on the hash, with
+the words around it, and is verified there by Myers' bit-parallel edit distance
+over words.  So no task holds all items, and none holds a document's pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Cut
 from ..sources.tables import table
 
 WORDS, ERRORS = 12, 1
-#: Words of test items in one automaton; more items go in further passes over the documents.
-BLOCK_WORDS = 2_000_000
+#: Bits of the table per piece, and in all (32 MB): more pieces let more windows pass to the join, which is exact.
+BITS_PER_PIECE, MOST_BITS = 32, 1 << 28
+#: Distinct words whose hashes a worker remembers.
+REMEMBERED = 1_000_000
 
 _WORD_BYTES = bytes(b if chr(b).isascii() and chr(b).isalnum() else 32 for b in range(256))
 
@@ -55,89 +61,138 @@ def myers(pattern: list[str], text: list[str]) -> int:
     return best
 
 
-class Matcher:
-    """Finds passages of test items in documents, up to an error budget."""
-
-    def __init__(self, items: list[tuple[int, str]], words: int = WORDS, errors: int = ERRORS):
-        self.words, self.errors = words, errors
-        self.items = {i: w for i, text in items if len(w := words_of(text)) >= words}
-        size = words // (errors + 1)
-        cuts = [k * size for k in range(errors)] + [words - (words - errors * size)]
-        self.cuts = [(a, b) for a, b in zip(cuts, cuts[1:] + [words])]
-        pieces: dict[str, set[tuple[int, int]]] = {}
-        for item, w in self.items.items():
-            for at in range(len(w) - words + 1):
-                for a, b in self.cuts:
-                    pieces.setdefault(" ".join(w[at + a : at + b]), set()).add((item, at + a))
-        self.auto = ahocorasick.Automaton()
-        for piece, places in pieces.items():
-            self.auto.add_word(f" {piece} ", (piece.count(" ") + 1, sorted(places)))
-        if pieces:
-            self.auto.make_automaton()
-        self.empty = not pieces
-
-    def find(self, text: str | None) -> dict[int, int]:
-        """Item -> least distance of one of its passages to the text, where within the budget."""
-        if self.empty or not (w := words_of(text)) or len(w) < self.words - self.errors:
-            return {}
-        joined = " " + " ".join(w) + " "
-        found: dict[int, int] = {}
-        tried: set[tuple[int, int, int]] = set()
-        seen, counted = 0, 0
-        for end, (length, places) in self.auto.iter(joined):
-            seen += joined.count(" ", counted, end)  # spaces before the piece's last space: words that end there
-            counted = end
-            last = seen  # number of words up to the piece's end
-            for item, at in places:
-                if found.get(item) == 0:
+def cuts_of(words: int, errors: int) -> list[tuple[int, int]]:
+    """Where a passage's pieces begin and end."""
+    size = words // (errors + 1)
+    return [(k * size, (k + 1) * size) for k in range(errors)] + [(errors * size, words)]
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_hashes: dict[str, int] = {}
+
+
+def window_hashes(words: list[str], length: int) -> np.ndarray:
+    """A 64-bit hash of every window of ``length`` consecutive words."""
+    if len(_hashes) > REMEMBERED:
+        _hashes.clear()
+    for w in words:
+        if w not in _hashes:
+            _hashes[w] = xxhash.xxh3_64_intdigest(w)
+    own = np.array([_hashes[w] for w in words], dtype=np.uint64)
+    n = len(words) - length + 1
+    out = np.zeros(max(n, 0), dtype=np.uint64)
+    for i in range(length if n > 0 else 0):
+        out = out * _STEP + own[i : i + n]
+    return out ^ (out >> np.uint64(29))
+
+
+def places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two bits of each hash in a table of so many bits (a power of two)."""
+    return [(h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x85EBCA6B) & np.uint64(bits - 1)).astype(np.int64)]
+
+
+def _pieces(words: int, errors: int):
+    """Pieces of items with the words of all passages that hold them."""
+    columns = ["h", "item_id", "item_words", "item_at", "length"]
+
+    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for item, text in zip(pdf["item_id"], pdf["item_text"]):
+                w = words_of(text)
+                for length in {b - a for a, b in cuts_of(words, errors)}:
+                    h = window_hashes(w, length).view(np.int64)
+                    starts = {at + a for at in range(len(w) - words + 1) for a, b in cuts_of(words, errors) if b - a == length}
+                    for at in starts:
+                        first = max(0, at + length - words)
+                        out.append((h[at], item, " ".join(w[first : at + words]), at - first, length))
+            yield pd.DataFrame(out, columns=columns)
+
+    return rows
+
+
+def _hits(shared, words: int, errors: int):
+    """Windows of documents that the bit table knows, with the words around them."""
+
+    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for pdf in it:
+            out = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                w = words_of(text)
+                if len(w) < words - errors:
                     continue
-                self._verify(w, last - length, item, at, length, found, tried)
-        return found
-
-    def _verify(self, w: list[str], here: int, item: int, at: int, length: int, found: dict[int, int], tried: set) -> None:
-        source, n, k = self.items[item], self.words, self.errors
-        for start in range(max(0, at + length - n), min(at, len(source) - n) + 1):
-            key = (item, start, here - at)
-            if key in tried:
-                continue
-            tried.add(key)
-            from_ = here - (at - start)
-            stretch = w[max(0, from_ - k) : max(0, from_ + n + k)]
-            passage = source[start : start + n]
-            distance = 0 if w[from_ : from_ + n] == passage and from_ >= 0 else myers(passage, stretch)
-            if distance <= k and distance < found.get(item, k + 1):
-                found[item] = distance
-                if not distance:
-                    return
+                for length in {b - a for a, b in cuts_of(words, errors)}:
+                    h = window_hashes(w, length)
+                    one, two = places(h, len(known) * 8)
+                    there = (known[one >> 3] >> (one & 7) & 1) & (known[two >> 3] >> (two & 7) & 1)
+                    for at in np.flatnonzero(there).tolist():
+                        first = max(0, at + length - words - errors)
+                        out.append((h[at].astype(np.int64), doc, " ".join(w[first : at + words + errors]), at - first, length))
+            yield pd.DataFrame(out, columns=["h", "doc_id", "doc_words", "doc_at", "length"])
+
+    return rows
+
+
+def distance(item: list[str], item_at: int, doc: list[str], doc_at: int, length: int, words: int, errors: int) -> int:
+    """Least edits of a passage of the item that holds the piece at ``item_at`` to the document around the piece at ``doc_at``; errors + 1 if none is within the budget."""
+    starts = range(max(0, item_at + length - words), min(item_at, len(item) - words) + 1)
+    offsets = [(s, doc_at - item_at + s) for s in starts]
+    if any(at >= 0 and doc[at : at + words] == item[s : s + words] for s, at in offsets):
+        return 0
+    if doc[doc_at : doc_at + length] != item[item_at : item_at + length]:
+        return errors + 1  # equal hashes of different words
+    return min((myers(item[s : s + words], doc[max(0, at - errors) : max(0, at + words + errors)]) for s, at in offsets), default=errors + 1) if errors else 1
+
+
+def _verify(words: int, errors: int):
+    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            found: dict[tuple[int, int], int] = {}
+            for doc, item, dw, da, iw, ia, length in zip(*(pdf[c].tolist() for c in ("doc_id", "item_id", "doc_words", "doc_at", "item_words", "item_at", "length"))):
+                least = found.get((doc, item), errors + 1)
+                if least and (d := distance(iw.split(), ia, dw.split(), da, length, words, errors)) < least:
+                    found[doc, item] = d
+            yield pd.DataFrame([(*k, d) for k, d in found.items()], columns=["doc_id", "item_id", "distance"])
+
+    return rows
+
+
+def bit_table(pieces: DataFrame, n: int) -> np.ndarray:
+    """The bits of all pieces; their number follows the pieces up to MOST_BITS."""
+    bits = 1 << 10
+    while bits < min(n * BITS_PER_PIECE, MOST_BITS):
+        bits *= 2
+
+    def marks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            every = np.unique(np.concatenate(places(pdf["h"].to_numpy(dtype=np.int64).view(np.uint64), bits)))
+            yield pd.DataFrame({"byte": every >> 3, "mark": 1 << (every & 7)})
+
+    rows = pieces.select("h").mapInPandas(marks, "byte long, mark long").groupBy("byte").agg(F.bit_or("mark").alias("mark")).toPandas()  # no more than MOST_BITS / 8
+    known = np.zeros(bits // 8, dtype=np.uint8)
+    known[rows["byte"].to_numpy(dtype=np.int64)] = rows["mark"].to_numpy(dtype=np.uint8)
+    return known
 
 
 def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, errors: int = ERRORS) -> DataFrame:
     """(doc_id, item_id, distance): documents that hold a passage of ``words`` words of an item with at most ``errors`` word edits.
 
     ``documents`` has doc_id and text, ``items`` item_id and item_text.  The
-    items are the stated query set: they are taken in blocks of at most
-    BLOCK_WORDS words, one pass over the documents for each, so what a worker
-    holds is bounded whatever their number.  Null and empty texts, null ids and
-    items shorter than a passage find nothing; items with equal text each count.
+    documents are read once, whatever the number of items.  Null and empty
+    texts, null ids and items shorter than a passage find nothing; items with
+    equal text each count.
     """
     spark = documents.sparkSession
-    counted = items.where("item_id IS NOT NULL AND item_text IS NOT NULL").select("item_id", "item_text", F.size(F.split("item_text", "[^A-Za-z0-9]+")).alias("_w"))
-    total = counted.agg(F.sum("_w")).first()[0] or 0
-    blocks = 1 + 2 * total // BLOCK_WORDS  # twice as many as would just do, for uneven blocks
-    out = None
-    for block in range(blocks):
-        rows = counted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "item_text").distinct().collect()
-        shared = spark.sparkContext.broadcast([(r.item_id, r.item_text) for r in rows])
-
-        def scan(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, words, errors)
-            for pdf in it:
-                hits = [(d, i, x) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, x in matcher.find(t).items()]
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "distance"])
-
-        part = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(scan, "doc_id long, item_id long, distance long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    cut = Cut(spark, "leakage")
+    asked = items.where("item_id IS NOT NULL AND item_text IS NOT NULL").select("item_id", "item_text").distinct()
+    pieces, counts = cut.put_counted(asked.mapInPandas(_pieces(words, errors), "h long, item_id long, item_words string, item_at int, length int"), all=F.count(F.lit(1)))
+    shared = spark.sparkContext.broadcast(bit_table(pieces, counts["all"]))
+    texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    hits = texts.mapInPandas(_hits(shared, words, errors), "h long, doc_id long, doc_words string, doc_at int, length int")
+    met = hits.join(pieces, ["h", "length"])
+    found = met.mapInPandas(_verify(words, errors), "doc_id long, item_id long, distance long")
+    return found.where(F.col("distance") <= errors).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def corpus_leaks(spark: SparkSession, where: str) -> DataFrame:

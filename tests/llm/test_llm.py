@@ -84,11 +84,17 @@ def test_leaks_with_one_edit(spark, rows):
     assert rows(leakage.leaks(df, spark.createDataFrame([(1, item)], "item_id long, item_text string"))) == [(0, 1, 1), (1, 1, 1), (2, 1, 1)]
 
 
-def test_leaks_in_blocks(spark, rows, monkeypatch):
-    items = spark.createDataFrame([(i, " ".join(f"{i}x{k}" for k in range(15))) for i in range(20)], "item_id long, item_text string")
-    docs = items.withColumnsRenamed({"item_id": "doc_id", "item_text": "text"})
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 60)
-    assert rows(leakage.leaks(docs, items), "doc_id", "item_id") == [(i, i) for i in range(20)]
+def test_leaks_of_many_items_in_a_small_table(spark, rows, monkeypatch):
+    """A bit table too small for its pieces lets windows pass that the join then refuses."""
+    items = spark.createDataFrame([(i, " ".join(f"{i}x{k}" for k in range(15))) for i in range(60)], "item_id long, item_text string")
+    docs = items.withColumnsRenamed({"item_id": "doc_id", "item_text": "text"}).unionByName(spark.createDataFrame([(1000 + i, " ".join(f"y{i}z{k}" for k in range(200))) for i in range(20)], "doc_id long, text string"))
+    monkeypatch.setattr(leakage, "MOST_BITS", 1 << 10)
+    assert rows(leakage.leaks(docs, items), "doc_id", "item_id", "distance") == [(i, i, 0) for i in range(60)]
+
+
+def test_distance_of_equal_hashes():
+    item, doc = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(14)]
+    assert leakage.distance(item, 0, doc, 1, 6, 12, 1) == 2 and leakage.distance(item, 6, item, 6, 6, 12, 1) == 0
 
 
 # mixing
