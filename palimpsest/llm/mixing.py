@@ -30,8 +30,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Blocks that the shard with the least room is divided into, where no block size is given.
 LEAST_BLOCKS = 200
 #: Documents of one shard, about; and the most shards of a source, so that the quotas (sources x shards) stay small.
+#: Larger shards are lined up in segments of about SHARD_DOCS documents each.
 SHARD_DOCS, MAX_SHARDS = 50_000, 4096
-MAX_SOURCES = 1000
 
 
 @functools.cache
@@ -100,12 +100,11 @@ def mix(sized: DataFrame, targets: list[tuple[str, float, int]], total_tokens: i
     """
     spark = sized.sparkSession
     rules = {s: (share, cap) for s, share, cap in targets if s and share and share > 0 and cap and cap > 0}
-    if len(rules) > MAX_SOURCES:
-        raise ValueError(f"{len(rules)} target sources; at most {MAX_SOURCES}")
     empty = spark.createDataFrame([], "doc_id long, source string, tokens long, copies long")
     if not rules:
         return empty
-    docs = sized.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens")).where(F.col("doc_id").isNotNull() & F.col("source").isin(list(rules)))
+    listed = spark.createDataFrame([(x,) for x in rules], "source string")
+    docs = sized.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens")).where("doc_id IS NOT NULL").join(listed, "source", "left_semi")
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")).collect()
     if not counts:
         return empty
@@ -114,20 +113,24 @@ def mix(sized: DataFrame, targets: list[tuple[str, float, int]], total_tokens: i
         most = min(MAX_SHARDS, 1 + r.docs // SHARD_DOCS)
         return most if block_tokens is None else max(1, min(most, rules[r.source][1] * r.tokens // (LEAST_BLOCKS * block_tokens)))
 
-    shards = F.create_map(*(F.lit(x) for r in counts for x in (r.source, n_shards(r))))
-    placed = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), shards[F.col("source")]).cast("int"))
-    sums = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").orderBy("source", "shard").collect()  # at most MAX_SOURCES x MAX_SHARDS numbers
-    line: dict[str, list[tuple[int, int]]] = {}
+    plan = [(r.source, n_shards(r), 1 + r.docs // (SHARD_DOCS * n_shards(r))) for r in counts]
+    placed = docs.join(spark.createDataFrame(plan, "source string, _shards int, _segments int"), "source")
+    # the line of a shard goes by a hash; its segments are ranges of the hash
+    at = F.xxhash64(F.lit(seed + 1), "doc_id")
+    segment = F.floor((F.shiftright(at, 40) + (1 << 23)) * F.col("_segments") / (1 << 24)).cast("int")
+    placed = placed.select("doc_id", "source", "tokens", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_shards")).cast("int").alias("shard"), segment.alias("segment"), at.alias("_at"))
+    sums = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").orderBy("source", "shard").collect()  # at most MAX_SHARDS numbers a listed source
+    held: dict[str, list[tuple[int, int]]] = {}
     for r in sums:
-        line.setdefault(r.source, []).append((r.shard, r.tokens))
-    names = sorted(line)
+        held.setdefault(r.source, []).append((r.shard, r.tokens))
+    names = sorted(held)
     if not names:
         return empty
     whole = sum(rules[s][0] for s in names)
     shares = [rules[s][0] / whole for s in names]
     if block_tokens is None:
-        block_tokens = max(1, min(rules[s][1] * t for s in names for _, t in line[s]) // LEAST_BLOCKS)
-    room = [[rules[s][1] * t // block_tokens for _, t in line[s]] for s in names]
+        block_tokens = max(1, min(rules[s][1] * t for s in names for _, t in held[s]) // LEAST_BLOCKS)
+    room = [[rules[s][1] * t // block_tokens for _, t in held[s]] for s in names]
     caps = [sum(x) for x in room]
     if total_tokens is None:
         seats = int(min(c / w for c, w in zip(caps, shares)))
@@ -135,11 +138,14 @@ def mix(sized: DataFrame, targets: list[tuple[str, float, int]], total_tokens: i
         seats = total_tokens // block_tokens
     quotas = []
     for s, seat, here in zip(names, apportion(shares, seats, caps), room):
-        for (shard, tokens), q in zip(line[s], apportion([float(t) for _, t in line[s]], seat, here)):
+        for (shard, tokens), q in zip(held[s], apportion([float(t) for _, t in held[s]], seat, here)):
             quotas.append((s, shard, q * block_tokens, tokens, rules[s][1]))
     quota = F.broadcast(spark.createDataFrame(quotas, "source string, shard int, budget long, there long, cap int"))
-    w = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    begun = placed.withColumn("_before", F.sum("tokens").over(w) - F.col("tokens"))
+    line = ["source", "shard", "segment"]
+    w = W.partitionBy(*line).orderBy("_at", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy("source", "shard").orderBy("segment").rowsBetween(W.unboundedPreceding, 0)  # a row per segment
+    offsets = placed.groupBy(*line).agg(F.sum("tokens").alias("_sum")).select(*line, (F.sum("_sum").over(ahead) - F.col("_sum")).alias("_ahead"))
+    begun = placed.withColumn("_in", F.sum("tokens").over(w) - F.col("tokens")).join(offsets, line).withColumn("_before", F.col("_in") + F.col("_ahead"))
     copies = F.least(F.ceil((F.col("budget") - F.col("_before")) / F.col("there")), F.col("cap")).cast("long")
     return begun.join(quota, ["source", "shard"]).withColumn("copies", copies).where("copies > 0").select("doc_id", "source", "tokens", "copies")
 
@@ -148,7 +154,7 @@ def corpus_mixture(spark: SparkSession, where: str) -> tuple[DataFrame, DataFram
     docs = table(spark, where, "documents").select("doc_id", norm_source(F.col("source")).alias("source"), "text")
     sized = Cut(spark, "mixing").put(count_tokens(docs))[1]
     rules = table(spark, where, "mix_targets").groupBy(norm_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
-    rules = rules.where("source IS NOT NULL").limit(MAX_SOURCES + 1).collect()
+    rules = rules.where("source IS NOT NULL").collect()  # the list of targets
     targets = [(r.source, r.share, r.cap) for r in rules]
     return mix(sized, targets), sized, targets
 

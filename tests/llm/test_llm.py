@@ -152,6 +152,19 @@ def test_mix_of_more_shards_than_blocks(spark, monkeypatch, block, total):
     assert a > 0.97 * there and (not total or a + b > 0.97 * total)
 
 
+def test_mix_in_segments_is_the_same(spark, rows, monkeypatch):
+    df = spark.createDataFrame([(i, f"s{i % 3}", 5 + i % 11) for i in range(3000)], "doc_id long, source string, tokens long")
+    targets = [(f"s{k}", 0.2 + 0.1 * k, 2) for k in range(3)] + [(f"none{k}", 0.0001, 1) for k in range(1500)]
+    monkeypatch.setattr(mixing, "MAX_SHARDS", 2)
+    want = rows(mixing.mix(df, targets, 30_000, 50))
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 500)
+    assert mixing.mix(df, targets, 30_000, 50).count() and want
+    monkeypatch.setattr(mixing, "MAX_SHARDS", 1)
+    one = rows(mixing.mix(df, targets, 30_000, 50))
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 20)  # some fifty segments a shard
+    assert rows(mixing.mix(df, targets, 30_000, 50)) == one
+
+
 def test_mix_edges(spark):
     clash = spark.createDataFrame([(1, "a", 50, 1, 2, 3), (None, "a", 9, 1, 2, 3), (3, "a", None, 1, 2, 3)], "doc_id long, source string, tokens long, budget int, shard int, copies int")
     assert {r.doc_id: r.copies for r in mixing.mix(clash, [("a", 1.0, 1)]).collect()} == {1: 1, 3: 1}
