@@ -65,6 +65,16 @@ def set_hash(items: Column, length: int = 16) -> Column:
     return digest(F.array_join(F.array_sort(items), "|"), length)
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON with the keys of every object sorted and no white space; the entries of an array at the top are sorted too, further in their order counts.
+
+    Null where the text is no JSON.
+    """
+    whole = F.try_parse_json(text)
+    entries = F.transform(F.try_variant_get(whole, "$", "array<variant>"), lambda x: F.to_json(x))
+    return F.when(F.schema_of_variant(whole).startswith("ARRAY"), F.concat(F.lit("["), F.array_join(F.array_sort(entries), ","), F.lit("]"))).otherwise(F.to_json(whole))
+
+
 def rolling_hash(text: Column) -> Column:
     """31-multiplier hash of a text as unsigned 32-bit number, 0 replaced by 1; an empty text gives 1."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")

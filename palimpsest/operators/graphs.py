@@ -68,10 +68,21 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, dire
     return out
 
 
+#: Node numbers of one bucket: no more callers of a node are sorted together, however many it has.
+BUCKET = 4096
+
+
 def reverse_index(edges: DataFrame, size: int) -> DataFrame:
-    """(node, part, incoming): callers of each node in sorted arrays of at most ``size``, so no array grows with a hub."""
-    order = F.row_number().over(W.partitionBy("dst").orderBy("src"))
-    parts = edges.select("src", "dst").distinct().withColumn("part", F.floor((order - 1) / size))
+    """(node, part, incoming): callers of each node in sorted arrays of at most ``size``, so no array grows with a hub.
+
+    Nodes are numbers.  A caller's rank is its rank in its bucket of numbers
+    and the callers in the buckets before.
+    """
+    pairs = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct().withColumn("_b", F.floor(F.col("src") / BUCKET))
+    ahead = W.partitionBy("dst").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+    before = pairs.groupBy("dst", "_b").agg(F.count(F.lit(1)).alias("_n")).select("dst", "_b", (F.sum("_n").over(ahead) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("dst", "_b").orderBy("src")) - 1
+    parts = pairs.withColumn("_in", inside).join(before, ["dst", "_b"]).withColumn("part", F.floor((F.col("_before") + F.col("_in")) / size))
     return parts.groupBy(F.col("dst").alias("node"), "part").agg(F.sort_array(F.collect_list("src")).alias("incoming"))
 
 

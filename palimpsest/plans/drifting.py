@@ -107,11 +107,14 @@ FACTS = """, fa AS (SELECT DISTINCT concat_ws('/', file_path, fact_id) AS id, fa
 
 
 def _hybrid(t: Tables):
-    """Structural facts: wanted (old half) against there (new half) by (path, fact)."""
+    """Structural facts: wanted (old half) against there (new half) by (path, fact); one whose wanted state is among the fact's last three rows was modified, another is divergent."""
     a = _facts(t, "old").select("kind", "name", F.struct("hash").alias("a"))
     b = _facts(t, "new").select("kind", "name", F.struct("hash").alias("b"))
-    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "zombie").when(F.col("a.hash").eqNullSafe(F.col("b.hash")), "same").otherwise("divergent")
-    return a.join(b, ["kind", "name"], "full_outer").groupBy(F.col("kind").alias("file_path"), state.alias("state")).agg(F.count(F.lit(1)).alias("facts"))
+    rows = t.hybrid_facts.where("fact_id IS NOT NULL").select(F.coalesce("file_path", F.lit("")).alias("kind"), F.col("fact_id").alias("name"), "hash", "id").distinct()
+    recent = R.first_n(rows, 3, ["kind", "name"], F.col("id").desc()).where("hash IS NOT NULL").select("kind", "name", F.col("hash").alias("_h")).distinct().withColumn("recent", F.lit(True))
+    met = a.join(b, ["kind", "name"], "full_outer").withColumn("_h", F.col("a.hash")).join(recent, ["kind", "name", "_h"], "left")
+    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "zombie").when(F.col("a.hash").eqNullSafe(F.col("b.hash")), "same").when(F.col("recent"), "modified").otherwise("divergent")
+    return met.groupBy(F.col("kind").alias("file_path"), state.alias("state")).agg(F.count(F.lit(1)).alias("facts"))
 
 
 def _snapshot(t: Tables, low: int, high: int):
@@ -248,7 +251,8 @@ QUERIES = domain.catalogue(
         ),
         "DR-11": (
             _hybrid,
-            FACTS + "SELECT coalesce(a.kind, b.kind) AS file_path, CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN 'zombie' WHEN a.hash IS NOT DISTINCT FROM b.hash THEN 'same' ELSE 'divergent' END AS state, count(*) AS facts FROM fo a FULL JOIN fn b ON a.kind = b.kind AND a.name = b.name GROUP BY ALL",
+            FACTS + """, l3 AS (SELECT kind, name, hash FROM (SELECT DISTINCT kind, name, hash, n FROM fa) QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY n DESC) <= 3), rc AS (SELECT DISTINCT kind, name, hash FROM l3 WHERE hash IS NOT NULL)
+            SELECT coalesce(a.kind, b.kind) AS file_path, CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN 'zombie' WHEN a.hash IS NOT DISTINCT FROM b.hash THEN 'same' WHEN rc.hash IS NOT NULL THEN 'modified' ELSE 'divergent' END AS state, count(*) AS facts FROM fo a FULL JOIN fn b ON a.kind = b.kind AND a.name = b.name LEFT JOIN rc ON rc.kind = a.kind AND rc.name = a.name AND rc.hash = a.hash GROUP BY ALL""",
         ),
         "DR-12": (
             lambda t: D.fact_delta(_facts(t, "old"), _facts(t, "new")),

@@ -51,6 +51,28 @@ styled AS (SELECT path, CASE WHEN contains(s, '_') AND s = upper(s) THEN 'SCREAM
 WHEN contains(d, '_') AND NOT contains(d, '-') THEN 'snake_case' WHEN contains(d, '-') AND NOT contains(d, '_') THEN 'kebab-case' ELSE 'camelCase' END AS style FROM f) """
 
 
+def _fact_dna(t: Tables):
+    """Identity of structural facts from kind, name, level, shape of the signature and length of the timeline; damaged facts have none."""
+    rows = t.hybrid_facts.select("id", F.try_parse_json("serialized_fact").alias("v"), F.coalesce(F.json_array_length(F.when(F.try_parse_json("timeline_json").isNotNull(), F.col("timeline_json"))), F.lit(0)).alias("n")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    part = {c: F.coalesce(F.try_variant_get("v", f"$.{c}", "string"), F.lit("")) for c in ("kind", "name", "level", "signature")}
+    return rows.select("id", H.digest(F.concat_ws("::", part["kind"], part["name"], part["level"], H.shape(part["signature"]), F.col("n").cast("string")), 16).alias("dna")).distinct()
+
+
+def _fingerprints(t: Tables):
+    """Fingerprints of versions of facts, and of bundles: all facts of a version, told as JSON with keys in a fixed order."""
+    facts = t.hybrid_facts.select("id", "file_path", "version", "fact_id").distinct()
+    one = facts.select(F.lit("version").alias("scope"), F.col("id").cast("string").alias("key"), H.digest(F.concat_ws(":", "file_path", "version", "fact_id")).alias("fingerprint"))
+    bundle = facts.where("version IS NOT NULL").groupBy("version").agg(F.count(F.lit(1)).alias("facts"), F.min("id").alias("first"), F.max("id").alias("last"))
+    return one.unionByName(bundle.select(F.lit("bundle").alias("scope"), F.col("version").alias("key"), H.digest(F.to_json(F.struct("version", "facts", "first", "last"))).alias("fingerprint")))
+
+
+def _canonical(t: Tables):
+    """Fingerprints of JSON whose keys came in another order: of an object with nested ones, and of an array."""
+    rows = t.commits_analysis.where("risks IS NOT NULL AND symbols_removed IS NOT NULL AND edges_added IS NOT NULL AND edges_removed IS NOT NULL")
+    mixed = F.to_json(F.struct(F.col("symbols_removed").alias("z"), F.from_json("risks", "array<string>").alias("r"), F.struct(F.col("edges_added").alias("y"), F.col("edges_removed").alias("x")).alias("a")))
+    return rows.select("sha", H.digest(H.canonical_json(mixed), 16).alias("nested"), H.digest(H.canonical_json(F.col("risks")), 16).alias("list")).distinct()
+
+
 def _lower_hash(t: Tables):
     return _names(t).select("name", H.rolling_hash(F.col("name")).alias("h"))
 
@@ -90,20 +112,24 @@ QUERIES = domain.catalogue(
             _NAMES + f", p AS (SELECT name, {_PARTS} AS w FROM n), q AS (SELECT name, list_sort(list_distinct(list_concat(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ',')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ','))))) AS g FROM p) SELECT name, array_to_string(g, '|') AS grams, sha256(array_to_string(list_transform(g, lambda x: x || ':1'), '|'))[1:12] AS fingerprint FROM q",
         ),
         "SC-12": (
-            lambda t: t.hybrid_facts.select("id", H.digest(F.concat_ws("::", F.coalesce("fact_id", F.lit("")), F.coalesce("version", F.lit("")), F.length(F.coalesce("timeline_json", F.lit(""))).cast("string")), 16).alias("dna")).distinct(),
-            "SELECT DISTINCT id, sha256(coalesce(fact_id, '') || '::' || coalesce(version, '') || '::' || length(coalesce(timeline_json, '')))[1:16] AS dna FROM hybrid_facts",
+            _fact_dna,
+            f""", v AS (SELECT DISTINCT id, serialized_fact AS j, CASE WHEN json_valid(timeline_json) AND json_type(timeline_json) = 'ARRAY' THEN json_array_length(timeline_json) ELSE 0 END AS n FROM hybrid_facts WHERE json_valid(serialized_fact) AND json_type(serialized_fact) = 'OBJECT'),
+            p AS (SELECT id, coalesce(json_extract_string(j, '$.kind'), '') AS kind, coalesce(json_extract_string(j, '$.name'), '') AS name, coalesce(json_extract_string(j, '$.level'), '') AS level, coalesce(json_extract_string(j, '$.signature'), '') AS signature, n FROM v)
+            SELECT id, sha256(kind || '::' || name || '::' || level || '::' || {_SHAPE.replace('text', 'signature')} || '::' || n)[1:16] AS dna FROM p""",
         ),
         "SC-13": (
             lambda t: t.symbol_versions.where("body_hash IS NOT NULL AND path IS NOT NULL").groupBy("path").agg(H.set_hash(F.collect_set(F.lower("body_hash"))).alias("hash")),
             "SELECT path, sha256(string_agg(DISTINCT lower(body_hash), '|' ORDER BY lower(body_hash)))[1:16] AS hash FROM symbol_versions WHERE body_hash IS NOT NULL AND path IS NOT NULL GROUP BY path",
         ),
         "SC-14": (
-            lambda t: t.hybrid_facts.select("id", H.digest(F.concat_ws(":", "file_path", "version", "fact_id")).alias("fingerprint")).distinct(),
-            "SELECT DISTINCT id, sha256(concat_ws(':', file_path, version, fact_id)) AS fingerprint FROM hybrid_facts",
+            _fingerprints,
+            """, f AS (SELECT DISTINCT id, file_path, version, fact_id FROM hybrid_facts) SELECT 'version' AS scope, CAST(id AS VARCHAR) AS key, sha256(concat_ws(':', file_path, version, fact_id)) AS fingerprint FROM f
+            UNION ALL SELECT 'bundle', version, sha256('{"version":"' || version || '","facts":' || count(*) || ',"first":' || min(id) || ',"last":' || max(id) || '}') FROM f WHERE version IS NOT NULL GROUP BY version""",
         ),
         "SC-15": (
-            lambda t: t.commits_analysis.where("risks IS NOT NULL").select("sha", H.digest(F.to_json(F.array_sort(F.from_json("risks", "array<string>"))), 16).alias("fingerprint")).distinct(),
-            """SELECT DISTINCT sha, sha256(CASE WHEN len(l) = 0 THEN '[]' ELSE '["' || array_to_string(list_sort(l), '","') || '"]' END)[1:16] AS fingerprint FROM (SELECT sha, CAST(CAST(risks AS JSON) AS VARCHAR[]) AS l FROM commits_analysis WHERE risks IS NOT NULL)""",
+            _canonical,
+            """, v AS (SELECT DISTINCT sha, symbols_removed AS z, edges_added AS y, edges_removed AS x, CAST(CAST(risks AS JSON) AS VARCHAR[]) AS l FROM commits_analysis WHERE risks IS NOT NULL AND symbols_removed IS NOT NULL AND edges_added IS NOT NULL AND edges_removed IS NOT NULL)
+            SELECT sha, sha256('{"a":{"x":' || x || ',"y":' || y || '},"r":' || CASE WHEN len(l) = 0 THEN '[]' ELSE '["' || array_to_string(l, '","') || '"]' END || ',"z":' || z || '}')[1:16] AS nested, sha256(CASE WHEN len(l) = 0 THEN '[]' ELSE '["' || array_to_string(list_sort(l), '","') || '"]' END)[1:16] AS list FROM v""",
         ),
         "SC-16": (
             lambda t: t.documents.where("repo IS NOT NULL").groupBy("repo").agg(H.set_hash(F.collect_set(F.sha2("text", 256))).alias("workspace_hash")),
