@@ -216,6 +216,20 @@ def test_blast_radius(spark, rows):
     assert rows(graphs.neighbours(typed, "A", "c", "i", 1)) == [("called_by", "B"), ("calls", "D"), ("imports", "I")]
 
 
+def test_reverse_index_of_a_hub(spark, rows, monkeypatch):
+    monkeypatch.setattr(graphs, "BUCKET", 7)
+    pairs = [(i * 3 % 101, 1) for i in range(150)] + [(5, 2), (None, 2), (5, None)]
+    got = rows(graphs.reverse_index(spark.createDataFrame(pairs, "src long, dst long"), 10))
+    callers = sorted({a for a, b in pairs if b == 1 and a is not None})
+    assert got == [(1, k, callers[k * 10 : k * 10 + 10]) for k in range(-(-len(callers) // 10))] + [(2, 0, [5])]
+
+
+@pytest.mark.parametrize("a, b, same", [('{"b": 1, "a": {"d": [1, 2], "c": null}}', '{ "a": {"c": null, "d": [1,2]}, "b": 1}', True), ("[2, 1]", "[1, 2]", True), ('{"a": [2, 1]}', '{"a": [1, 2]}', False), ('[[2, 1], "x"]', '["x", [1, 2]]', False)])
+def test_canonical_json(spark, a, b, same):
+    x, y = (one(spark, H.canonical_json(F.col("t")), t=t) for t in (a, b))
+    assert (x == y) == same and one(spark, H.canonical_json(F.col("t")), t="{oops") is None
+
+
 def test_reach(spark, rows):
     e = _edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "c"), ("c", "e"), ("e", "f"), ("x", "a"), (None, "q")])
     roots = spark.createDataFrame([("a",), (None,)], "node string")
