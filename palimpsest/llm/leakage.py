@@ -134,26 +134,34 @@ def _hits(shared, words: int, errors: int):
     return rows
 
 
-def distance(item: list[str], item_at: int, doc: list[str], doc_at: int, length: int, words: int, errors: int) -> int:
-    """Least edits of a passage of the item that holds the piece at ``item_at`` to the document around the piece at ``doc_at``; errors + 1 if none is within the budget."""
+def distance(item: list[str], item_at: int, doc: list[str], doc_at: int, length: int, words: int, errors: int, known: int | None = None) -> int:
+    """Least edits of a passage of the item that holds the piece at ``item_at`` to the document around the piece at ``doc_at``; errors + 1 if none is within the budget.
+
+    Where a distance of 1 is ``known`` already, only 0 is looked for.
+    """
     starts = range(max(0, item_at + length - words), min(item_at, len(item) - words) + 1)
     offsets = [(s, doc_at - item_at + s) for s in starts]
     if any(at >= 0 and doc[at : at + words] == item[s : s + words] for s, at in offsets):
         return 0
     if doc[doc_at : doc_at + length] != item[item_at : item_at + length]:
         return errors + 1  # equal hashes of different words
+    if known == 1:
+        return 1
     return min((myers(item[s : s + words], doc[max(0, at - errors) : max(0, at + words + errors)]) for s, at in offsets), default=errors + 1) if errors else 1
 
 
 def _verify(words: int, errors: int):
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple[int, int], int] = {}
         for pdf in it:
-            found: dict[tuple[int, int], int] = {}
             for doc, item, dw, da, iw, ia, length in zip(*(pdf[c].tolist() for c in ("doc_id", "item_id", "doc_words", "doc_at", "item_words", "item_at", "length"))):
                 least = found.get((doc, item), errors + 1)
-                if least and (d := distance(iw.split(), ia, dw.split(), da, length, words, errors)) < least:
+                if least and (d := distance(iw.split(), ia, dw.split(), da, length, words, errors, least)) < least:
                     found[doc, item] = d
-            yield pd.DataFrame([(*k, d) for k, d in found.items()], columns=["doc_id", "item_id", "distance"])
+            if len(found) > REMEMBERED:  # the least of a pair is taken once more behind it
+                yield pd.DataFrame([(*k, d) for k, d in found.items()], columns=["doc_id", "item_id", "distance"])
+                found.clear()
+        yield pd.DataFrame([(*k, d) for k, d in found.items()], columns=["doc_id", "item_id", "distance"])
 
     return rows
 
