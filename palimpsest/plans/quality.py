@@ -52,6 +52,22 @@ SELECT node AS sha, root AS root_sha, depth FROM down
 UNION ALL SELECT node, min(far), -1 FROM reach WHERE far IN (SELECT node FROM ring) GROUP BY node
 """
 
+P4_TREE = (
+    P4[: P4.index("down AS (")]
+    + f"""down AS (SELECT node, node AS root, CAST(0 AS BIGINT) AS depth, node AS path, CAST(NULL AS VARCHAR) AS path_after, node AS whole FROM edge WHERE parent IS NULL
+  UNION ALL SELECT e.node, d.root, d.depth + 1, CASE WHEN (d.depth + 1) % {hierarchy.PATH_BLOCK} = 0 THEN e.node ELSE d.path || '/' || e.node END, CASE WHEN (d.depth + 1) % {hierarchy.PATH_BLOCK} = 0 THEN d.node ELSE d.path_after END, d.whole || '/' || e.node FROM down d JOIN edge e ON e.parent = d.node),
+lost AS (SELECT node, parent FROM edge WHERE node NOT IN (SELECT node FROM down)),
+reach AS (SELECT node, parent AS far FROM lost UNION SELECT r.node, l.parent FROM reach r JOIN lost l ON l.node = r.far),
+ring AS (SELECT DISTINCT node FROM reach WHERE node = far),
+above AS (SELECT node, parent AS over_ FROM edge WHERE parent IS NOT NULL AND node IN (SELECT node FROM down) UNION ALL SELECT a.node, e.parent FROM above a JOIN edge e ON e.node = a.over_ WHERE e.parent IS NOT NULL),
+below AS (SELECT over_ AS node, count(*) AS n FROM above GROUP BY over_),
+placed AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY whole) - 1 AS pre FROM down),
+loops AS (SELECT node, min(far) AS root FROM reach WHERE far IN (SELECT node FROM ring) GROUP BY node)
+SELECT node AS sha, root AS root_sha, depth, pre, pre + coalesce(n, 0) AS last, coalesce(n, 0) AS n_descendants, path, path_after, false AS back_edge FROM placed LEFT JOIN below USING (node)
+UNION ALL SELECT l.node, l.root, -1, NULL, NULL, NULL, NULL, NULL, l.node IN (SELECT node FROM ring) AND e.parent = l.root FROM loops l JOIN edge e USING (node)
+"""
+)
+
 P6_ROWS = f"""
 WITH norm AS (SELECT {_dna("dna_id")} AS dna_id, id, recorded_at, lower(signature_hash) AS s, lower(body_hash) AS b,
     regexp_replace(regexp_replace(replace(path, chr(92), '/'), '/+', '/', 'g'), '^(\\./)+', '') AS p FROM symbol_versions),
@@ -72,7 +88,7 @@ QUERIES = {
     "p3_symbols": (nested.p3_symbols, None),
     "p3_evidence": (nested.p3_evidence, None),
     "p4_found": (hierarchy.p4_found, P4),
-    "p4_tree": (hierarchy.p4_tree, None),
+    "p4_tree": (hierarchy.p4_tree, P4_TREE),
     "p5_found": (instants.p5_found, None),
     "p5_masks": (instants.p5_masks, None),
     "p5_zone_transitions": (instants.p5_zone_transitions, None),

@@ -293,7 +293,16 @@ QUERIES = domain.catalogue(
             """, r AS (SELECT lower(trim(sha)) AS sha, array_to_string(list_sort(list_distinct(CAST(CAST(risks AS JSON) AS VARCHAR[]))), '|') AS theme, blast_radius FROM commits_analysis WHERE risks IS NOT NULL AND json_valid(risks))
             SELECT theme, count(DISTINCT sha) AS commits, CAST(sum(blast_radius) AS BIGINT) AS impact, array_to_string(list_sort(list(DISTINCT sha))[1:5], ',') AS sample, sha256(theme)[1:16] AS theme_id FROM r WHERE theme <> '' GROUP BY theme""",
         ),
-        "AG-23": (_treemap, None),
+        "AG-23": (
+            _treemap,
+            """, f AS (SELECT regexp_replace(regexp_replace(replace(path, chr(92), '/'), '/+', '/', 'g'), '^(\\./)+', '') AS p, round(coalesce(confidence, 0.0) * 100) AS s FROM symbols WHERE path IS NOT NULL),
+            x AS (SELECT string_split(p, '/') AS a, p, s FROM f), e AS (SELECT array_to_string(a[1:n], '/') AS node, n AS depth, CASE WHEN n = len(a) THEN s ELSE 0.0 END AS own FROM (SELECT a, s, unnest(range(1, len(a) + 1)) AS n FROM x)),
+            nodes AS (SELECT node, depth, sum(own) AS own, count(*) AS added, CASE WHEN depth > 1 THEN array_to_string(string_split(node, '/')[1:depth - 1], '/') END AS up FROM e GROUP BY node, depth),
+            top AS (SELECT max(depth) AS d FROM nodes),
+            lv AS (SELECT node, depth, up, own AS score FROM nodes WHERE depth = (SELECT d FROM top) UNION ALL
+              SELECT n.node, n.depth, n.up, greatest(n.own, coalesce(k.s, 0.0)) FROM (SELECT max(depth) - 1 AS depth FROM lv) q JOIN nodes n ON n.depth = q.depth LEFT JOIN (SELECT up, sum(score) AS s FROM lv GROUP BY up) k ON k.up = n.node)
+            SELECT node, round(score, 3) AS score, added, round(greatest(score / (SELECT max(score) FROM lv), 0.05), 5)::DOUBLE AS weight FROM lv JOIN nodes USING (node, depth)""",
+        ),
         "AG-24": (
             lambda t: t.edge.select(F.format_string("%s -> %s (%s)", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("edge_type")).alias("e")).select(F.regexp_extract("e", r"^(.*) -> (.*) \((\w+)\)$", 2).alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("refs")),
             "SELECT CAST(dst AS VARCHAR) AS target, count(*) AS refs FROM edge GROUP BY dst",
