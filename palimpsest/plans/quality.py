@@ -79,10 +79,25 @@ opened AS (SELECT *, lead(id) OVER w AS next_id, lead(recorded_at) OVER w AS nex
 P6 = P6_ROWS + "SELECT dna_id, id AS first_row_id, coalesce(next_id, -1) AS next_row_id FROM opened"
 P6_HISTORY = P6_ROWS + "SELECT dna_id, recorded_at AT TIME ZONE 'UTC' AS valid_from, next_at AT TIME ZONE 'UTC' AS valid_to, s AS signature_hash, b AS body_hash, p AS path FROM opened"
 
+_KEY = "CASE WHEN lower(trim(sha, ' \t\n\r')) LIKE 'unknown:%' OR ltrim(lower(trim(sha, ' \t\n\r')), '0') = '' THEN NULL ELSE lower(trim(sha, ' \t\n\r')) END"
+_FENCED = r"```[ \t]*[A-Za-z0-9_+.-]*\s*([\s\S]*?)```"
+P3_FOUND = f"""
+WITH RECURSIVE v AS (
+  SELECT 'commits_analysis.raw_llm_json' AS source_field, {_KEY} AS record_key, raw_llm_json AS value FROM commits_analysis UNION SELECT 'commits_analysis.hotspots_json', {_KEY}, hotspots_json FROM commits_analysis
+  UNION SELECT 'hybrid_facts.serialized_fact', CAST(id AS VARCHAR), serialized_fact FROM hybrid_facts UNION SELECT 'hybrid_facts.timeline_json', CAST(id AS VARCHAR), timeline_json FROM hybrid_facts),
+opened AS (SELECT source_field, record_key, CASE WHEN json_valid(value) AND json_type(value) = 'VARCHAR' THEN json_extract_string(value, '$') ELSE value END AS value FROM v WHERE value IS NOT NULL AND record_key IS NOT NULL),
+fenced AS (SELECT source_field, record_key, CASE WHEN json_valid(value) THEN value ELSE trim(regexp_extract(value, '{_FENCED}', 1), ' \t\n\r') END AS value FROM opened),
+doc AS MATERIALIZED (SELECT row_number() OVER () AS rid, source_field, record_key, value FROM fenced WHERE json_valid(value) AND json_type(value) IN ('OBJECT', 'ARRAY')),
+tree AS MATERIALIZED (SELECT rid, t.id, t.parent, t.key, t.type FROM doc, json_tree(doc.value) t),
+walk AS (SELECT rid, id, type, true AS top, '' AS node_path, '' AS parent_path FROM tree WHERE parent IS NULL
+  UNION ALL SELECT t.rid, t.id, t.type, false, CASE WHEN w.top THEN t.key ELSE w.node_path || '/' || t.key END, CASE WHEN w.type = 'OBJECT' THEN w.node_path ELSE w.parent_path END FROM walk w JOIN tree t ON t.rid = w.rid AND t.parent = w.id)
+SELECT source_field, record_key, node_path, parent_path FROM walk JOIN doc USING (rid) WHERE type = 'OBJECT' AND NOT top
+"""
+
 QUERIES = {
     "p1_found": (references.p1_found, P1_FOUND),
     "p1_orphans_per_period": (references.p1_orphans_per_period, P1_PERIODS),
-    "p3_found": (nested.p3_found, None),
+    "p3_found": (nested.p3_found, P3_FOUND),
     "p3_variants": (nested.p3_variants, None),
     "p3_typed": (nested.p3_typed, None),
     "p3_symbols": (nested.p3_symbols, None),
