@@ -23,19 +23,22 @@ def candidates(blocks: DataFrame, scope: str, least: float) -> DataFrame:
     ``blocks`` has doc_id, the scope column, file_path and text.  Equal
     normalised text in the scope scores 1; the two first blocks of a text
     suffice as targets, so copies do not multiply.  Different texts of equal
-    shape score by their similarity, each text standing for all its copies.
-    Null texts match nothing; a block without partner gives no row.
+    shape in files of equal name, whatever the directory, score by their
+    similarity, each text standing for all its copies under that name.
+    Null texts match nothing, a block without path only equal ones; a block
+    without partner gives no row.
     """
-    side = blocks.where("text IS NOT NULL").select("doc_id", scope, "file_path", "text", H.body_hash(F.col("text"), 64).alias("body"), H.digest(H.shape(F.col("text"))).alias("shape"))
+    side = blocks.where("text IS NOT NULL").select("doc_id", scope, "file_path", "text", H.body_hash(F.col("text"), 64).alias("body"), H.digest(H.shape(F.col("text"))).alias("shape"), F.substring_index("file_path", "/", -1).alias("_name"))
     side = Cut(blocks.sparkSession, "moves").put(side)[1]
-    a = side.select(F.col("doc_id").alias("a"), scope, F.col("file_path").alias("source"), "body")
+    a = side.select(F.col("doc_id").alias("a"), scope, F.col("file_path").alias("source"), "body", "_name")
     first = first_n(side.select(F.col("doc_id").alias("b"), scope, F.col("file_path").alias("target"), "body"), 2, [scope, "body"], F.col("b"))
     equal = a.join(first, [scope, "body"]).where("a <> b").select("a", "b", "source", "target", F.lit(1.0).alias("score"))
-    texts = first_n(side, 1, [scope, "body"], F.col("doc_id"))
-    other = texts.select(scope, "shape", F.col("doc_id").alias("b"), F.col("file_path").alias("target"), F.col("text").alias("_text"), F.col("body").alias("_body"))
-    near = texts.select(scope, "shape", "body", "text").join(other, [scope, "shape"]).where("body <> _body").select(scope, "body", "b", "target", M.text(F.col("text"), F.col("_text")).alias("score")).where(F.col("score") >= least)
-    best = first_n(near.withColumn("score", F.round("score", 6)), 1, [scope, "body"], F.col("score").desc(), F.col("b"))
-    near = a.join(best, [scope, "body"]).select("a", "b", "source", "target", "score")
+    texts = first_n(side.where("_name IS NOT NULL"), 1, [scope, "body", "_name"], F.col("doc_id"))
+    other = texts.select(scope, "shape", "_name", F.col("doc_id").alias("b"), F.col("file_path").alias("target"), F.col("text").alias("_text"), F.col("body").alias("_body"))
+    alike = F.least(F.length("text"), F.length("_text")) >= least * F.greatest(F.length("text"), F.length("_text")) - 1e-6
+    near = texts.select(scope, "shape", "_name", "body", "text").join(other, [scope, "shape", "_name"]).where("body <> _body").where(alike | (F.greatest(F.length("text"), F.length("_text")) > M.LONG_TEXT)).select(scope, "body", "_name", "b", "target", M.text(F.col("text"), F.col("_text")).alias("score")).where(F.col("score") >= least)
+    best = first_n(near.withColumn("score", F.round("score", 6)), 1, [scope, "body", "_name"], F.col("score").desc(), F.col("b"))
+    near = a.join(best, [scope, "body", "_name"]).select("a", "b", "source", "target", "score")
     return first_n(equal.unionByName(near), 1, ["a"], F.col("score").desc(), F.col("b"))
 
 

@@ -307,21 +307,23 @@ def test_move_candidates(spark, rows):
     codes = ["function f(x) { return x + 1; }", "let alpha = beta(1)", "let alpha = gamma(1)", "let ä = bé(12)", "", "class A {}\n// one", "class A {} // two", "if (a) { b(); }", None]
     data = [(i, rng.choice(["ts", "js"]), rng.choice(["a/f.ts", None, "b/f.ts"]), rng.choice(codes), 0) for i in range(40)]
     df = spark.createDataFrame(data, "doc_id int, lang string, file_path string, text string, score int")
-    hashed = df.where("text IS NOT NULL").select("doc_id", "lang", "text", H.body_hash(F.col("text"), 64).alias("h"), H.digest(H.shape(F.col("text"))).alias("s")).collect()
+    hashed = df.where("text IS NOT NULL").select("doc_id", "lang", "file_path", "text", H.body_hash(F.col("text"), 64).alias("h"), H.digest(H.shape(F.col("text"))).alias("s")).collect()
 
     def score(x, y):
         if x.h == y.h:
             return 1.0
         return round(1 - edit(x.text, y.text) / max(len(x.text), len(y.text)), 6) if x.s == y.s else 0.0
 
-    # a text stands for all its copies by its first block
+    # a text stands for all its copies of a file name by its first block
     first = {}
     for r in hashed:
-        first.setdefault((r.lang, r.h), r)
+        if r.file_path is not None:
+            first.setdefault((r.lang, r.h, r.file_path.split("/")[-1]), r)
     want = []
     for x in hashed:
+        name = x.file_path and x.file_path.split("/")[-1]
         there = [(-1.0, y.doc_id) for y in hashed if y.lang == x.lang and y.h == x.h and y.doc_id != x.doc_id]
-        there += [(-score(first[x.lang, x.h], y), y.doc_id) for (lang, h), y in first.items() if lang == x.lang and h != x.h]
+        there += [(-score(first[x.lang, x.h, name], y), y.doc_id) for (lang, h, n), y in first.items() if lang == x.lang and h != x.h and n == name]
         best = min(there, default=(0, 0))
         if best[0] <= -0.6:
             want.append((x.doc_id, best[1], -best[0]))
