@@ -89,10 +89,10 @@ def _moves(t: Tables):
 
 
 _MOVES = f""", c AS (SELECT doc_id, coalesce(lang, '') AS lang, file_path, text, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS h, sha256({_SHAPE}) AS s FROM documents WHERE {_CODE}),
-rep AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, h ORDER BY doc_id) = 1),
-near AS (SELECT a.lang, a.h, b.doc_id AS b, b.file_path AS target, CASE WHEN greatest(length(a.text), length(b.text)) > 2000 THEN {_dice("a.text", "b.text")} ELSE {_edit("a.text", "b.text")} END::DOUBLE AS score FROM rep a JOIN rep b ON a.lang = b.lang AND a.s = b.s AND a.h <> b.h),
+rep AS (SELECT *, regexp_extract(file_path, '[^/]*$') AS fname FROM c WHERE file_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang, h, fname ORDER BY doc_id) = 1),
+near AS (SELECT a.lang, a.h, a.fname, b.doc_id AS b, b.file_path AS target, CASE WHEN greatest(length(a.text), length(b.text)) > 2000 THEN {_dice("a.text", "b.text")} ELSE {_edit("a.text", "b.text")} END::DOUBLE AS score FROM rep a JOIN rep b ON a.lang = b.lang AND a.s = b.s AND a.fname = b.fname AND a.h <> b.h),
 x AS (SELECT a.doc_id AS a, b.doc_id AS b, a.file_path AS source, b.file_path AS target, 1.0::DOUBLE AS score FROM c a JOIN c b ON a.lang = b.lang AND a.h = b.h AND a.doc_id <> b.doc_id
-  UNION ALL SELECT c.doc_id, b, c.file_path, target, score FROM c JOIN near USING (lang, h) WHERE score >= 0.6),
+  UNION ALL SELECT c.doc_id, b, c.file_path, target, score FROM c JOIN near ON c.lang = near.lang AND c.h = near.h AND regexp_extract(c.file_path, '[^/]*$') = near.fname WHERE score >= 0.6),
 m AS (SELECT a, b, source, target, round(score, 6) AS score FROM x QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, b) = 1) """
 
 
